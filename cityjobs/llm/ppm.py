@@ -2,7 +2,7 @@
 
 A text is its lower-cased words joined by single spaces, then one end symbol. Words hold no white space, so the
 newline byte stands for the end and four control bytes never occur: 252 symbols. A context is the ORDER bytes before
-a symbol; NUL bytes stand before the text. A code holds five bytes, oldest in the low bits and the symbol on top, so
+a symbol; NUL bytes stand before the text. A code holds ORDER + 1 bytes, oldest in the low bits and the symbol on top, so
 the code for a shorter context is a right shift.
 
 Escape estimation is method D: with t symbols of d kinds left after exclusion, a symbol seen n times has
@@ -12,7 +12,7 @@ under the trained trie. The last resort is uniform over the symbols never seen.
 
 The plan: (1) documents are dealt into batches by hash; each batch lists the distinct codes and words that it holds,
 with the counts of its training texts; (2) shuffles add up the counts; (3) the trie is resolved in groups by the last
-two context bytes (at most 256 ** 3 codes each), with the dense tables of orders 0 and 1 (65,536 numbers) sent to
+two context bytes, a few hundredths of all codes each, with the dense tables of orders 0 and 1 (65,536 numbers) sent to
 all; (4) the answers go back to the batches, where each document adds up its own. No model passes through the driver
 or has to fit into a task.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, scratch, utf8
 
-ORDER, END, SYMBOLS = 4, 10, 252
+ORDER, END, SYMBOLS = 5, 10, 252
 BATCH_BYTES, LEAST_BATCHES = 16 << 20, 64
 PIECE = 1 << 20
 PAD = bytes(ORDER)
@@ -78,7 +78,7 @@ def codes(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(n, bool)
     keep[(starts[:, None] + np.arange(ORDER)).ravel()] = False
     window = np.ndarray((n,), "<u8", data, 0, (1,))[keep]
-    return (window >> np.uint64(24)).astype(np.int64), np.cumsum(sizes - ORDER) - (sizes - ORDER)
+    return (window >> np.uint64(8 * (7 - ORDER))).astype(np.int64), np.cumsum(sizes - ORDER) - (sizes - ORDER)
 
 
 class Powers:

@@ -1,9 +1,10 @@
 """Toxicity by a convolutional text classifier.
 
-Hashed embeddings of lower-cased words, filters over one, two and three words, the maximum of each filter over the
-whole text, a linear layer. Trained in numpy on a bounded sample; only the words at a filter's maximum get a
-gradient. One embedding coordinate starts as the word's log odds between the classes. The first of every width's
-filters starts by reading it. Cuts are calibrated by predicted language and moved onto one cut of the score.
+Hashed embeddings of lower-cased words (a word's own plus its first five bytes' one), filters over one, two and three
+words, the maximum of each filter over the whole text, a linear layer. Trained in numpy on a bounded sample; only the
+words at a filter's maximum get a gradient. Two embedding coordinates start as a cautious estimate of the log odds
+between the classes, one for whole words and one for their beginnings, and the first two filters of every width start
+by reading them. Cuts are calibrated by predicted language and moved onto one cut of the score.
 """
 
 from __future__ import annotations
@@ -21,15 +22,30 @@ from . import langid
 from .common import labelled_sample, remainder, utf8
 from .quality import best_cut
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
+WORDS, BEGINNINGS, DIM, WIDTHS, FILTERS = 1 << 20, 1 << 16, 8, (1, 2, 3), 8
+BUCKETS = WORDS + BEGINNINGS
 EDGE = b".,;:!?\"'()[]{}<>#$%&*+-=_/\\|~^`@"
 PIECE = 1 << 16
 
 
 def word_ids(text: bytes) -> np.ndarray:
-    """A bucket for every word; two empty places at either end, in a bucket of their own."""
-    found = [crc32(w.strip(EDGE)) & (BUCKETS - 1) or 1 for w in text.lower().split()]
-    return np.array([0, 0, *found, 0, 0], np.int32)
+    """Two buckets for every word, its own and its beginning's; two empty places at either end, in bucket 0."""
+    words = [w.strip(EDGE) for w in text.lower().split()]
+    out = np.zeros((2, len(words) + 4), np.int32)
+    if words:
+        out[0, 2:-2] = [crc32(w) % (WORDS - 1) + 1 for w in words]
+        out[1, 2:-2] = [WORDS + crc32(w[:5]) % BEGINNINGS for w in words]
+    return out
+
+
+def cautious_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of each bucket: the log odds of its documents' classes less 2.5 standard errors, from 0 to 4."""
+    hits = np.full((2, BUCKETS), 0.5)
+    for row, label in zip(ids, y):
+        hits[int(label), np.unique(row)] += 1
+    odds = np.log(hits[1] / y.sum()) - np.log(hits[0] / (1 - y).sum()) - 2.5 * np.sqrt((1 / hits).sum(0))
+    odds[0] = 0
+    return np.clip(odds, 0, 4)
 
 
 @dataclass
@@ -46,8 +62,9 @@ class Net:
         best, at = [], []
         for width, filters in zip(WIDTHS, self.filters):
             top, where = np.full(FILTERS, -np.inf), np.zeros(FILTERS, np.int64)
-            for lo in range(0, len(ids) - width + 1, PIECE):
-                x = self.embed[ids[lo : lo + PIECE + width - 1]]
+            for lo in range(0, ids.shape[1] - width + 1, PIECE):
+                some = ids[:, lo : lo + PIECE + width - 1]
+                x = self.embed[some[0]] + self.embed[some[1]]
                 n = len(x) - width + 1
                 z = x[:n] @ filters[0]
                 for k in range(1, width):
@@ -64,7 +81,7 @@ class Net:
         return float(np.maximum(self.pooled(word_ids(text))[0], 0) @ self.out + self.bias)
 
 
-def fit(texts: list[bytes], y: np.ndarray, langs: list[str], cut: float, epochs: int = 6, rate: float = 0.05, seed: int = 9) -> Net:
+def fit(texts: list[bytes], y: np.ndarray, langs: list[str], cut: float, epochs: int = 2, rate: float = 0.02, seed: int = 9) -> Net:
     rng = np.random.default_rng(seed)
     n_out = FILTERS * len(WIDTHS)
     net = Net(
@@ -81,17 +98,16 @@ def fit(texts: list[bytes], y: np.ndarray, langs: list[str], cut: float, epochs:
     if not len(use) or not 0 < y[use].sum() < len(use):
         return net
     share = y[use].mean()
-    hits = np.zeros((2, BUCKETS))
-    for r in use:
-        hits[int(y[r]), np.unique(rows[r])] += 1
-    with_, without = (hits[1] + 2 * share) / (y[use].sum() + 2 * share), (hits[0] + 2 * (1 - share)) / ((1 - y[use]).sum() + 2 * (1 - share))
-    odds = np.log(with_ / without) * np.minimum(1, (hits.sum(0) / 5))
-    net.embed[:, 0] = np.clip(odds, -3, 3)
+    for k in range(2):
+        net.embed[:, k] = 0
+    own, begin = (cautious_odds([rows[r][k] for r in use], y[use]) for k in range(2))
+    net.embed[:, 0], net.embed[:, 1] = own, begin
+    reads = np.array([[1, 0], [0, 1]], np.float32)
     for k, filters in enumerate(net.filters):
-        filters[:, :, 0] = 0
-        filters[len(filters) // 2, 0, 0] = 1
-        net.out[k * FILTERS] = 1
-    net.offset[::FILTERS] = -0.5
+        filters[:, :, :2] = 0
+        filters[len(filters) // 2, :2, :2] = reads
+        net.out[k * FILTERS : k * FILTERS + 2] = 0.7
+        net.offset[k * FILTERS : k * FILTERS + 2] = -0.5
     weigh = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -107,9 +123,10 @@ def fit(texts: list[bytes], y: np.ndarray, langs: list[str], cut: float, epochs:
             net.offset -= step * 0.2 * back
             for k, (width, filters) in enumerate(zip(WIDTHS, net.filters)):
                 for f in np.flatnonzero(back[k * FILTERS : (k + 1) * FILTERS]):
-                    b, words = back[k * FILTERS + f], ids[at[k * FILTERS + f] : at[k * FILTERS + f] + width]
-                    x = net.embed[words]
-                    net.embed[words] -= step * b * filters[:, :, f]
+                    b, words = back[k * FILTERS + f], ids[:, at[k * FILTERS + f] : at[k * FILTERS + f] + width]
+                    x = net.embed[words[0]] + net.embed[words[1]]
+                    net.embed[words[0]] -= 0.5 * step * b * filters[:, :, f]
+                    net.embed[words[1]] -= 0.5 * step * b * filters[:, :, f]
                     filters[:, :, f] -= 0.2 * step * b * x
     held = np.flatnonzero(part) if part.any() else use
     z = np.array([net.logit(texts[r]) for r in held])
@@ -122,7 +139,7 @@ def fit(texts: list[bytes], y: np.ndarray, langs: list[str], cut: float, epochs:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, guess: langid.Model, cut: float = 0.7, fold: int = 3, held: int = 1, bound: int = 6_000) -> Net:
+def train(docs: DataFrame, labels: DataFrame, guess: langid.Model, cut: float = 0.7, fold: int = 3, held: int = 1, bound: int = 8_000) -> Net:
     """Fits on about `bound` labelled documents outside the held-out fold, whole texts."""
     rows = labelled_sample(docs, labels, "toxic", fold, held, bound).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
     texts = utf8(rows.column("text").combine_chunks()) if rows.num_rows else []
@@ -131,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, guess: langid.Model, cut: float =
 
 def score(docs: DataFrame, net: Net, guess: langid.Model, cut: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted): `cut` is where the predicted language's own cut lies."""
-    sent = docs.sparkSession.sparkContext.broadcast((net, guess))  # fixed table sizes, about 2.5 MB
+    sent = docs.sparkSession.sparkContext.broadcast((net, guess))  # fixed table sizes, about 37 MB
     level = float(np.log(cut / (1 - cut)))
 
     def one(text: bytes) -> float:

@@ -104,15 +104,15 @@ def test_near_duplicates_and_edges(spark, docs):
 def slow_ppm(train, texts):
     count = defaultdict(Counter)
     for t in train:
-        data = bytes(4) + t + b"\n"
-        for i in range(4, len(data)):
-            for k in range(5):
+        data = bytes(5) + t + b"\n"
+        for i in range(5, len(data)):
+            for k in range(6):
                 count[data[i - k : i]][data[i]] += 1
 
     def cost(context, s):
         excluded, total = set(), 0.0
-        for k in range(4, -1, -1):
-            seen = {x: n for x, n in count[context[4 - k :]].items() if x not in excluded}
+        for k in range(5, -1, -1):
+            seen = {x: n for x, n in count[context[5 - k :]].items() if x not in excluded}
             if not seen:
                 continue
             t = sum(seen.values())
@@ -124,8 +124,8 @@ def slow_ppm(train, texts):
 
     out = []
     for t in texts:
-        data = bytes(4) + t + b"\n"
-        out.append(sum(cost(data[i - 4 : i], data[i]) for i in range(4, len(data))))
+        data = bytes(5) + t + b"\n"
+        out.append(sum(cost(data[i - 5 : i], data[i]) for i in range(5, len(data))))
     return out, cost
 
 
@@ -147,7 +147,7 @@ def test_ppm_against_byte_by_byte(docs):
         base = sum(math.log10((n + 0.5) / (words_n + 0.5 * (kinds + 1))) for n in [words[w] for w in own] + [len(train)])
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
     symbols = [b for b in range(256) if b not in (9, 11, 12, 13)]
-    assert sum(10 ** cost(b"the ", s) for s in symbols) == pytest.approx(1)
+    assert sum(10 ** cost(b" the ", s) for s in symbols) == pytest.approx(1)
 
 
 def test_ppm_long_texts_and_nothing(spark, docs, monkeypatch):
