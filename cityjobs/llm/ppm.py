@@ -11,10 +11,11 @@ What exclusion leaves of a shorter context depends on the longer context alone,
 under the trained trie. The last resort is uniform over the symbols never seen.
 
 The plan: (1) documents are dealt into batches by hash; each batch lists the distinct codes and words that it holds,
-with the counts of its training texts; (2) shuffles add up the counts; (3) the trie is resolved in groups by the last
-two context bytes, a few hundredths of all codes each, with the dense tables of orders 0 and 1 (65,536 numbers) sent to
-all; (4) the answers go back to the batches, where each document adds up its own. No model passes through the driver
-or has to fit into a task.
+with the counts of its training texts, in one packed row for every shard; codes are sharded by their last two context
+bytes, words by their key; (2) a shuffle brings each shard together, which adds up the counts and resolves its part
+of the trie, with the dense table of orders 0 and 1 (65,536 numbers) sent to all; (3) the answers go back to the
+batches, where each document adds up its own. Neither model passes through the driver or has to fit into a task; a
+shard holds as much as a few batches, however many there are.
 """
 
 from __future__ import annotations
@@ -26,13 +27,12 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import remainder, scratch, utf8
 
 ORDER, END, SYMBOLS = 5, 10, 252
-BATCH_BYTES, LEAST_BATCHES = 16 << 20, 64
+BATCH_BYTES, LEAST_BATCHES, LEAST_SHARDS = 16 << 20, 16, 32
 PIECE = 1 << 20
 PAD = bytes(ORDER)
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -153,8 +153,34 @@ def unpack(column: pa.ChunkedArray) -> list[bytes]:
     return [press.decompress(z) for z in column.to_pylist()]
 
 
-def ask(batch: pa.Table) -> pa.Table:
-    """(b, word, code, n): the distinct codes and words of a batch, n their counts in its training texts."""
+def pressed(values: np.ndarray, rising: bool = False) -> bytes:
+    """An array in byte planes, compressed; rising numbers as differences."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expanded(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values) if rising else values
+
+
+def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
+    """By the last two context bytes."""
+    last = (code >> (8 * (ORDER - 2))) & 65535
+    return (last * 40503 & 65535) * shards >> 16
+
+
+def word_shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key & 65535) * shards >> 16
+
+
+ASKED = "b int, shard int, code binary, code_n binary, word binary, word_n binary, low_code array<int>, low_n array<long>"
+
+
+def ask(batch: pa.Table, shards: int) -> pa.Table:
+    """A row for each shard, and one of shard -1 with the batch's counts of order 1."""
     texts, held = unpack(batch.column("z")), np.array(batch.column("held_out").to_pylist(), bool)
     found = (Tally(), Tally())
     for some, of in pieces(texts):
@@ -163,15 +189,22 @@ def ask(batch: pa.Table) -> pa.Table:
         found[0].add(keys, np.repeat(trained, np.diff(np.append(starts, len(keys)))))
         keys, sizes = words(some)
         found[1].add(keys, np.repeat(trained, sizes))
+    b, rows = batch.column("b")[0].as_py(), []
     (code, n), (word, m) = found[0].done(), found[1].done()
-    return pa.table(
-        {
-            "b": pa.array(np.full(len(code) + len(word), batch.column("b")[0].as_py(), np.int32)),
-            "word": pa.array(np.arange(len(code) + len(word)) >= len(code)),
-            "code": pa.array(np.concatenate([code, word])),
-            "n": pa.array(np.concatenate([n, m]).astype(np.int64)),
-        }
-    )
+    low, inverse = np.unique(code >> (8 * (ORDER - 1)), return_inverse=True)
+    rows.append((b, -1, None, None, None, None, low.tolist(), np.bincount(inverse, n, len(low)).astype(np.int64).tolist()))
+    cut = [by_shard(code, n, shard_of(code, shards), shards), by_shard(word, m, word_shard_of(word, shards), shards)]
+    for shard, ((code, n), (word, m)) in enumerate(zip(*cut)):
+        rows.append((b, shard, pressed(code, True), pressed(n), pressed(word, True), pressed(m), None, None))
+    names, kinds = [x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+
+def by_shard(keys: np.ndarray, n: np.ndarray, shard: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    order = np.lexsort((keys, shard))
+    at = np.searchsorted(shard[order], np.arange(shards + 1))
+    keys, n = keys[order], n[order].astype(np.int64)
+    return [(keys[x:y], n[x:y]) for x, y in zip(at, at[1:])]
 
 
 def resolve(code: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -213,41 +246,36 @@ def resolve(code: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
         return start[inverse]
 
 
-def resolver(one: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (last, code, n), sorted by last: some whole groups at a time."""
-        rest: list[np.ndarray] = []
-        held, enough = 0, 200_000
-
-        def answer(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cost = resolve(rows[1], rows[2], one)
-            for lo in range(0, len(cost), 50_000):
-                yield pa.RecordBatch.from_pydict({"code": pa.array(rows[1][lo : lo + 50_000]), "cost": pa.array(cost[lo : lo + 50_000])})
+ANSWERS = "b int, code binary, cost binary, word binary, word_n binary, new_words long"
 
-        for batch in batches:
-            rest.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            held += batch.num_rows
-            if held >= enough:
-                rows = np.concatenate(rest, axis=1)
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))
-                if cut:
-                    yield from answer(rows[:, :cut])
-                rest, held = [rows[:, cut:]], rows.shape[1] - cut
-                enough = max(200_000, 2 * held)
-        if held:
-            yield from answer(np.concatenate(rest, axis=1))
 
-    return run
+def answer(shard: pa.Table, one: np.ndarray) -> pa.Table:
+    """One shard's answers to every batch; its distinct trained words are counted once, in the first row."""
+    b = shard.column("b").to_pylist()
+    known = []
+    for name in ("code", "word"):
+        keys = [expanded(x, "<i8", True) for x in shard.column(name).to_pylist()]
+        n = np.concatenate([expanded(x, "<i8") for x in shard.column(f"{name}_n").to_pylist()])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        known.append((keys, distinct, inverse, np.bincount(inverse, n, len(distinct)).astype(np.int64)))
+    (codes_, code, at_code, code_n), (words_, _, at_word, word_n) = known
+    cost = resolve(code, code_n, one)[at_code].astype("<f4")
+    count = word_n[at_word]
+    cost, count = np.split(cost, np.cumsum([len(x) for x in codes_])[:-1]), np.split(count, np.cumsum([len(x) for x in words_])[:-1])
+    rows = [(b[i], pressed(codes_[i], True), pressed(cost[i]), pressed(words_[i], True), pressed(count[i]), 0 if i else int((word_n > 0).sum())) for i in range(len(b))]
+    names, kinds = [x.split()[0] for x in ANSWERS.split(", ")], [pa.int32(), *[pa.binary()] * 4, pa.int64()]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
 
 def add_up(docs: pa.Table, answers: pa.Table, ends: int) -> pa.Table:
     """Scores of one batch's documents from the answers to what it asked; new_words counts those it answers for."""
-    is_word, code, value = (answers.column(c).to_numpy() for c in ("word", "code", "value"))
-    new = int((is_word & answers.column("lead").to_numpy() & (value > 0)).sum())
+    new = sum(answers.column("new_words").to_pylist())
     tables = []
-    for kind in (~is_word, is_word):
-        order = np.argsort(code[kind])
-        tables.append((code[kind][order], value[kind][order]))
+    for key, value, kind in (("code", "cost", "<f4"), ("word", "word_n", "<i8")):
+        keys = np.concatenate([expanded(x, "<i8", True) for x in answers.column(key).to_pylist()])
+        values = np.concatenate([expanded(x, kind) for x in answers.column(value).to_pylist()]).astype(float)
+        order = np.argsort(keys)
+        tables.append((keys[order], values[order]))
     n = docs.num_rows
     score, log_sum, known, tokens = np.zeros(n), np.full(n, np.log10(ends + 0.5)), np.full(n, int(ends > 0)), np.ones(n, np.int64)
     for some, of in pieces(unpack(docs.column("z"))):
@@ -290,33 +318,20 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     facts = rows.agg(F.count_if(~F.col("held_out")).alias("ends"), F.sum(F.octet_length("text")).alias("size")).first()
     ends, size = facts["ends"], facts["size"] or 0
     batches = max(LEAST_BATCHES, -(-size // BATCH_BYTES))
+    shards = max(LEAST_SHARDS, batches // 8)
     b = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("b")
     dealt = rows.select(b, "doc_id", "held_out", "text").mapInArrow(pack, "b int, doc_id long, held_out boolean, z binary").repartition(batches, "b")
 
-    asked_at = scratch(spark, "asked")
-    dealt.groupBy("b").applyInArrow(ask, "b int, word boolean, code long, n long").write.option("compression", "zstd").parquet(asked_at)
+    asked_at, scored_at = scratch(spark, "asked"), scratch(spark, "scored")
+    dealt.groupBy("b").applyInArrow(lambda t: ask(t, shards), ASKED).write.parquet(asked_at)
     asked = spark.read.parquet(asked_at)
-
-    trie_at = scratch(spark, "trie")
-    asked.where("not word").groupBy("code").agg(F.sum("n").alias("n")).write.parquet(trie_at)
-    trie = spark.read.parquet(trie_at)
-    low = trie.groupBy(F.shiftright("code", 8 * (ORDER - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # 256 * 256 rows at most
+    low = asked.where("shard = -1").select(F.explode(F.arrays_zip("low_code", "low_n")).alias("x")).groupBy("x.low_code").agg(F.sum("x.low_n").alias("n")).toArrow()  # 65,536 rows at most
     one = np.zeros((256, 256), np.int64)
-    at = low.column("code").to_numpy().astype(np.int64)
+    at = low.column("low_code").to_numpy()
     one[at & 255, at >> 8] = low.column("n").to_numpy()
 
-    last = F.expr(f"shiftright(code, {8 * (ORDER - 2)}) & 65535").alias("last")
-    costs = trie.select(last, "code", "n").repartition("last").sortWithinPartitions("last").mapInArrow(resolver(one), "code long, cost double")
-    code_replies = asked.where("not word").select("b", "word", "code").join(costs, "code").select("b", "word", "code", F.col("cost").alias("value"), F.lit(False).alias("lead"))
-    same = W.partitionBy("code")
-    word_replies = asked.where("word").select("b", "word", "code", F.sum("n").over(same).cast("double").alias("value"), (F.col("b") == F.min("b").over(same)).alias("lead"))
-    scored_at = scratch(spark, "scored")
-    (
-        dealt.groupBy("b")
-        .cogroup(code_replies.unionByName(word_replies).groupBy("b"))
-        .applyInArrow(lambda left, right: add_up(left, right, ends), SCORED)
-        .write.parquet(scored_at)
-    )
+    replies = asked.where("shard >= 0").select("b", "shard", "code", "code_n", "word", "word_n").groupBy("shard").applyInArrow(lambda t: answer(t, one), ANSWERS)
+    dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(lambda left, right: add_up(left, right, ends), SCORED).write.parquet(scored_at)
     scored = spark.read.parquet(scored_at)
     totals = scored.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("new_words"), F.lit(0))).first()
     train_tokens, kinds = totals[0], totals[1] + (ends > 0)
