@@ -60,9 +60,38 @@ class Items:
         self.gram, self.item, self.place = gram[order], item[order], place[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[slot(self.gram)] = True
+        self.masks = [masks(t) for t in self.texts]
         self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < Q]
 
 
+def masks(item: bytes) -> dict[int, int]:
+    """Of each byte, the places where the item has it, as bits."""
+    out: dict[int, int] = {}
+    for i, byte in enumerate(item):
+        out[byte] = out.get(byte, 0) | 1 << i
+    return out
+
+
+def fewest_edits(places: dict[int, int], m: int, region: bytes) -> int:
+    """The least edit distance of an item of m bytes and any part of the region: a column a step, as bit vectors."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, best = full, 0, m, m
+    for byte in region:
+        same = places.get(byte, 0)
+        x = same | down
+        d = (((same & up) + up) ^ up) | same
+        plus, minus = down | (full & ~(d | up)), up & d
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+            if score < best:
+                best = score
+        plus, minus = plus << 1 & full, minus << 1 & full
+        up, down = minus | (full & ~(x | plus)), plus & x
+    return best
+
+
 def distance(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best match of the item inside the region, by a banded alignment; None above k.
 
@@ -119,7 +148,12 @@ def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int, i
     step = items.edits[item] + 1
     band = diagonal // step
     bands = np.int64(len(data) + 2 * int(items.size.max(initial=0)) + 2)
-    key, count = np.unique(np.concatenate([item * bands + band + 1, item * bands + band]), return_counts=True)
+    both, place = np.concatenate([item * bands + band + 1, item * bands + band]), np.tile(items.place[hit], 2)
+    key, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
+    likely = (count >= items.least[key // bands])[inverse]
+    # the lemma counts the item's q-grams, each once however often the text repeats it
+    longest = np.int64(items.size.max(initial=0) + 1)
+    key, count = np.unique(np.unique(both[likely] * longest + place[likely]) // longest, return_counts=True)
     key = key[count >= items.least[key // bands]]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i, b in zip((key // bands).tolist(), (key % bands).tolist()):
@@ -130,7 +164,9 @@ def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int, i
         for text in {t, int(max(np.searchsorted(starts, first, "right") - 1, 0)), int(min(np.searchsorted(starts, first + 2 * k + m, "right") - 1, len(texts) - 1))}:
             begin, end = int(starts[text]), int(starts[text]) + len(texts[text])
             a, z = max(begin, first - k), min(end, first + 2 * (k + 1) + m + k)
-            found = distance(items.texts[i], data[a:z], k) if z - a >= m - k else None
+            if z - a < m - k or best.get((text, i), (1,))[0] == 0 or fewest_edits(items.masks[i], m, data[a:z]) > k:
+                continue
+            found = distance(items.texts[i], data[a:z], k)
             if found:
                 found = (found[0], found[1] + a - begin, found[2] + a - begin)
                 best[text, i] = min(best.get((text, i), found), found)
