@@ -23,7 +23,7 @@ def crime_stats(df: DataFrame, district: str | None = None, category: str | None
     rows = latest_only(df, "year").where((F.coalesce("district", F.lit("")) != "") | F.col("municipality").contains("rich"))
     rows = rows.where(F.lower("district").contains(district.lower())) if district else rows
     rows = rows.where(F.lower("title").contains(category.lower())) if category else rows
-    return rows.groupBy("district", "title").agg(F.sum("offences").alias("offences"), F.round(F.avg("frequency"), 2).alias("frequency")).orderBy(F.desc("offences"), "district", "title")
+    return rows.groupBy("district", "title").agg(F.sum("offences").alias("offences"), F.round(F.avg("frequency"), 6).alias("frequency")).orderBy(F.desc("offences"), "district", "title")
 
 
 def rent_prices(df: DataFrame, quarter: str | None = None, rooms: str | None = None, nonprofit: bool = False) -> DataFrame:
@@ -127,7 +127,7 @@ def voting_results(df: DataFrame, date_prefix: str | None = None, level: str | N
 
 def upcoming(df: DataFrame, zip_: str | None, days: int, as_of: str) -> DataFrame:
     """Rows whose day parses and is within `days` from as_of."""
-    day = F.try_to_date("day", F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.col("day"), "yyyy-MM-dd")
     rows = df.where(F.col("zip").startswith(zip_)) if zip_ else df
     start = F.lit(as_of).cast("date")
     return rows.withColumn("date", day).where(F.col("date").between(start, F.date_add(start, days)))

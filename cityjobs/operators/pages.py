@@ -218,7 +218,7 @@ def split_articles(df: DataFrame, text: str, style: str = "federal") -> DataFram
     parts = F.split(text, rf"(?m)(?=^{mark})")
     rows = df.select("*", F.posexplode(parts).alias("part_no", "_body"))
     number = F.regexp_extract("_body", rf"^{mark}", 1)
-    rows = rows.withColumn("article_no", F.when(number != "", number).otherwise("preamble")).withColumn("body", F.trim("_body"))
+    rows = rows.withColumn("article_no", F.when(number != "", number).otherwise("preamble")).withColumn("body", F.btrim("_body", F.lit(" \n\r\t")))
     alone = F.size(parts) == 1
     return rows.where((F.col("article_no") != "preamble") | alone | (F.length("body") > 200)).drop("_body")
 
