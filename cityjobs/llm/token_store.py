@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from tokenizers import Tokenizer
 
 from .common import utf8
 
-SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-TABLE_ROWS, TABLE_CHARS = 300_000, 64
+BLANK, LATIN, SIGN = r" \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?;:$%&#*|"
+#: A word of Latin letters alone or before signs, signs before white space, or any other run without white space.
+CHUNK = re.compile(f"[{LATIN}]+(?=[{BLANK}{SIGN}]|$)|[{SIGN}]+(?=[{BLANK}]|$)|[^{BLANK}]+")
+TABLE_ROWS, TABLE_CHARS = 600_000, 64
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
 
@@ -33,19 +36,38 @@ def load(path: str) -> Tokenizer:
 
 
 class WordTable:
-    """Ids of distinct words. This tokenizer drops white space and cuts there, so words are encoded on their own."""
+    """Ids of distinct chunks. This tokenizer folds case, drops white space and never joins a letter with such a sign,
+    so chunks are encoded on their own. A chunk of letters is one pre-token, and only its last id has the mark for a
+    word's end: many are encoded as one text and cut at those ids.
+    """
 
     def __init__(self, path: str, end_id: int) -> None:
         self.tokenizer, self.ids, self.end = load(path), {}, np.array([end_id], "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [SPACE.findall(t) for t in texts]
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def learn(self, letters: list[str], others: list[str]) -> None:
+        encode = self.tokenizer.encode_batch_fast
+        for lo in range(0, len(letters), 5_000):
+            some = letters[lo : lo + 5_000]
+            ids = np.array(encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at, data = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
+            if len(at) != len(some) + 1:
+                raise ValueError("a word of letters is not one pre-token of this tokenizer")
+            self.ids.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:]))
+        for lo in range(0, len(others), 5_000):
+            some = others[lo : lo + 5_000]
+            self.ids.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, encode(some, add_special_tokens=False)))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        # A-Z is folded here already, for fewer distinct chunks; not where that could spell a special token
+        cut = [CHUNK.findall((t if b"<|" in t else t.lower()).decode()) for t in texts]
         if len(self.ids) > TABLE_ROWS:
             self.ids.clear()
-        new = list({w for words in cut for w in words if w not in self.ids})
-        for lo in range(0, len(new), 5_000):
-            for word, found in zip(new[lo : lo + 5_000], self.tokenizer.encode_batch(new[lo : lo + 5_000], add_special_tokens=False)):
-                self.ids[word] = np.array(found.ids, "<u4").tobytes()
+        new = set(chain.from_iterable(cut)).difference(self.ids)
+        letters = {w for w in new if len(w) <= TABLE_CHARS and LETTERS.fullmatch(w)}
+        self.learn(list(letters), list(new - letters))
         out = [b"".join([*map(self.ids.__getitem__, words), self.end]) for words in cut]
         for word in new:
             if len(word) > TABLE_CHARS:
@@ -53,6 +75,9 @@ class WordTable:
         return out
 
 
+LETTERS = re.compile(f"[{LATIN}]+")
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Files of (shard, doc_id, n_tokens, shard_start, ids), each sorted by doc_id, shards in doc_id order.
 
@@ -62,7 +87,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, start, shard = WordTable(tokenizer_path, end_id), 0, TaskContext.get().partitionId()
         for batch in batches:
-            found = table.encode([t.decode() for t in utf8(batch.column(1))])
+            found = table.encode(utf8(batch.column(1)))
             sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
