@@ -2,7 +2,8 @@
 
 A payload is stored as mono 8-bit samples in a WAV file and read back by the wave module. Short-time Fourier
 transforms of the samples give the strongest local peaks of each frame; a peak is paired with the strongest peaks of
-the next frames, and the pairs (two frequencies and their distance) are kept in an array with their times.
+the next frames, and the pairs (two frequencies and their distance) are kept in an array with their times. Frames of
+576 samples are joined by frames of 64, as a short payload is a single frame of the former and has no next one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from .common import utf8
 
 FRAME, HOP, RATE = 576, 288, 8000
 PEAKS, AHEAD, BLOCK = 3, 3, 2048
-WINDOW = np.hanning(FRAME)
+SHORT, STEP, SPREAD, IS_SHORT = 64, 32, 576, 128
+FLOOR = 1e-6  # far below any peak of whole samples, far above rounding
 
 
 def store(payload: bytes) -> bytes:
@@ -46,14 +48,14 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (FRAME - len(text) % FRAME if len(text) % FRAME or not text else 0)
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
+def peaks(samples: np.ndarray, frame: int = FRAME, hop: int = HOP, points: int | None = None) -> np.ndarray:
     """Frequency bins of the PEAKS strongest local maxima of each frame, strongest first; -1 where there are fewer."""
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    out = []
+    frames = np.lib.stride_tricks.sliding_window_view(samples, frame)[::hop]
+    window, out = np.hanning(frame), []
     for lo in range(0, len(frames), BLOCK):
-        size = np.abs(np.fft.rfft((frames[lo : lo + BLOCK] - 128.0) * WINDOW, axis=1))
+        size = np.abs(np.fft.rfft((frames[lo : lo + BLOCK] - 128.0) * window, points, axis=1))
         inner = size[:, 1:-1]
-        inner = np.where((inner > size[:, :-2]) & (inner >= size[:, 2:]), inner, 0.0)
+        inner = np.where((inner > size[:, :-2]) & (inner >= size[:, 2:]) & (inner > FLOOR), inner, 0.0)
         found = np.zeros((len(inner), PEAKS), np.int32)
         rows = np.arange(len(inner))
         for k in range(PEAKS):
@@ -64,11 +66,11 @@ def peaks(samples: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes): every peak with the strongest peak of each of the next AHEAD frames, in order of time."""
+def pairs(found: np.ndarray, within: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(times, codes): every peak with the strongest peak of each of the next AHEAD frames, or of its own one too, in order of time."""
     times, codes = [], []
-    for d in range(1, AHEAD + 1):
-        left, right = found[:-d], np.repeat(found[d:, :1], PEAKS, axis=1)
+    for d in range(0 if within else 1, AHEAD + 1):
+        left, right = found[: max(0, len(found) - d)], np.repeat(found[d:, :1], PEAKS, axis=1)
         good = (left >= 0) & (right >= 0)
         at = np.repeat(np.arange(len(left))[:, None], PEAKS, axis=1)[good]
         times.append(at)
@@ -78,6 +80,22 @@ def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int32), c[order]
 
 
+def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(times, codes) of both kinds of frames, times in steps of 32 samples; codes of short frames have IS_SHORT set.
+
+    Half a short frame of silence on both sides gives the first and the last samples weight. For short frames the
+    samples of 255, which no UTF-8 text has, are silence too: the jump to the padding would outweigh a few letters.
+    Their transforms are of SPREAD points, and their peaks are paired with the strongest one of their own frame too.
+    """
+    silence = np.full(SHORT // 2, 128, np.uint8)
+    text = np.where(samples == 255, np.uint8(128), samples)
+    times, codes = pairs(peaks(samples))
+    near, fine = pairs(peaks(np.concatenate([silence, text, silence]), SHORT, STEP, SPREAD), within=True)
+    t, c = np.concatenate([times * (HOP // STEP), near]), np.concatenate([codes, fine | IS_SHORT])
+    order = np.lexsort((c, t))
+    return t[order], c[order]
+
+
 def media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, wav, pair_times, pair_codes) of every whole text; null counts as empty."""
 
@@ -85,7 +103,7 @@ def media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 wav = store(padded(text))
-                times, codes = pairs(peaks(np.frombuffer(read(wav), np.uint8)))
+                times, codes = landmarks(np.frombuffer(read(wav), np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc_id], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([wav], pa.binary()), pa.array([times], pa.list_(pa.int32())), pa.array([codes], pa.list_(pa.int64()))],
                     names=["doc_id", "n_bytes", "wav", "pair_times", "pair_codes"],
@@ -97,7 +115,7 @@ def media(docs: DataFrame) -> DataFrame:
 def digest(text: bytes) -> tuple:
     wav = store(padded(text))
     payload = read(wav)
-    times, codes = pairs(peaks(np.frombuffer(payload, np.uint8)))
+    times, codes = landmarks(np.frombuffer(payload, np.uint8))
     key = xxhash.xxh64(times.astype("<i4").tobytes())
     key.update(codes.astype("<i8").tobytes())
     feature = f"frames={len(payload) // HOP - 1};pairs={len(times)};xxh64={key.hexdigest()}"

@@ -204,6 +204,15 @@ def test_media_round_trip(docs):
     assert set(media.peaks(tone)[:, 0]) == {36}
 
 
+def test_media_short_unequal_texts_have_unequal_features(spark):
+    rng = np.random.default_rng(3)
+    words = "the quick brown fox jumps over a lazy dog near old river banks while seven grey cats sleep".split()
+    texts = [" ".join(rng.choice(words, n)) for n in (4, 6, 8, 12, 20, 40, 60, 90) for _ in range(20)] + ["", "x" * 576, "y" * 288 + "x" * 288]
+    assert max(map(len, texts)) <= 576 and len(set(texts)) == len(texts)
+    rows = media.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r["feature"] for r in rows}) == len(texts)
+
+
 def test_warc_records(spark):
     page = '<html><head><title>A &amp; B</title><script>x="<p>"</script></head><body><p>One<b>two</b><p>Three &lt;<a href="/x?a=1&amp;b=2">go</a></body>'
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
