@@ -26,7 +26,7 @@ from .common import utf8
 BLANK, LATIN, SIGN = r" \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?;:$%&#*|"
 #: A word of Latin letters alone or before signs, signs before white space, or any other run without white space.
 CHUNK = re.compile(f"[{LATIN}]+(?=[{BLANK}{SIGN}]|$)|[{SIGN}]+(?=[{BLANK}]|$)|[^{BLANK}]+")
-TABLE_ROWS, TABLE_CHARS = 600_000, 64
+TABLE_ROWS, TABLE_CHARS = 400_000, 64
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
 
@@ -39,10 +39,15 @@ class WordTable:
     """Ids of distinct chunks. This tokenizer folds case, drops white space and never joins a letter with such a sign,
     so chunks are encoded on their own. A chunk of letters is one pre-token, and only its last id has the mark for a
     word's end: many are encoded as one text and cut at those ids.
+
+    A table belongs to a worker process and serves all its tasks. When TABLE_ROWS chunks are in it they become the
+    old ones: those that occur again are taken over, the others go when the table is full the next time.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
-        self.tokenizer, self.ids, self.end = load(path), {}, np.array([end_id], "<u4").tobytes()
+        self.tokenizer, self.end = load(path), np.array([end_id], "<u4").tobytes()
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -64,8 +69,11 @@ class WordTable:
         # A-Z is folded here already, for fewer distinct chunks; not where that could spell a special token
         cut = [CHUNK.findall((t if b"<|" in t else t.lower()).decode()) for t in texts]
         if len(self.ids) > TABLE_ROWS:
-            self.ids.clear()
+            self.ids, self.old = {}, self.ids
         new = set(chain.from_iterable(cut)).difference(self.ids)
+        again = new & self.old.keys()
+        self.ids.update((w, self.old[w]) for w in again)
+        new -= again
         letters = {w for w in new if len(w) <= TABLE_CHARS and LETTERS.fullmatch(w)}
         self.learn(list(letters), list(new - letters))
         out = [b"".join([*map(self.ids.__getitem__, words), self.end]) for words in cut]
@@ -78,6 +86,12 @@ class WordTable:
 LETTERS = re.compile(f"[{LATIN}]+")
 
 
+@lru_cache(maxsize=2)
+def word_table(path: str, end_id: int) -> WordTable:
+    """The worker process's table."""
+    return WordTable(path, end_id)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Files of (shard, doc_id, n_tokens, shard_start, ids), each sorted by doc_id, shards in doc_id order.
 
@@ -85,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, start, shard = WordTable(tokenizer_path, end_id), 0, TaskContext.get().partitionId()
+        table, start, shard = word_table(tokenizer_path, end_id), 0, TaskContext.get().partitionId()
         for batch in batches:
             found = table.encode(utf8(batch.column(1)))
             sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
