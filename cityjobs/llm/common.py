@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +38,10 @@ def remainder(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def share(key: str, seed: int) -> Column:
-    """A number from 0 to 1 that depends on the key alone."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def share(key: str | list[str], seed: int) -> Column:
+    """A number from 0 to 1 that depends on the key columns alone."""
+    keys = [key] if isinstance(key, str) else key
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -47,11 +49,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int) -> DataFrame:
-    """(doc_id, text, y) of about `bound` labelled documents outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int, more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, y and `more` columns of docs) of about `bound` labelled documents outside the held-out fold.
 
-    A document labelled more than once takes the rounded mean. The sampled labels are at most about
-    `bound` small rows, whatever the corpus holds, so that side is broadcast.
+    A document labelled more than once takes the rounded mean; of rows that repeat a doc_id the smallest text counts,
+    so that the sample is bounded. The sampled labels are at most about `bound` small rows, whatever the corpus holds,
+    so that side is broadcast.
     """
     known = (
         labels.select("doc_id", F.col(label).alias("y"))
@@ -60,4 +63,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, h
         .agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     )
     rate = min(1.0, bound / max(1, known.count()))
-    return docs.select("doc_id", "text").join(F.broadcast(known.where(share("doc_id", 11) < rate)), "doc_id")
+    sampled = known.where(share("doc_id", 11) < rate).withColumnRenamed("doc_id", "_id")
+    rows = docs.select("doc_id", F.struct("text", *more).alias("_row")).join(F.broadcast(sampled), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "y").agg(F.min("_row").alias("_row")).select("doc_id", "y", "_row.*")
