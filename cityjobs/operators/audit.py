@@ -16,21 +16,32 @@ def audit_flags(chunks: DataFrame) -> DataFrame:
     """Adds a boolean for each check and the array of failed ones. Parents and statutes may start mid-word."""
     heading, display = F.coalesce("heading_path", F.lit("")), F.coalesce("display_text", F.lit(""))
     later = F.coalesce(F.col("chunk_index").try_cast("int"), F.lit(0)) > 0
+    begins = lambda text: F.regexp_replace(text, r"(?U)^\s+", "").startswith(heading)
     flags = {
-        "heading_path": F.trim(heading) == "",
+        "heading_path": ~heading.rlike(r"(?U)\S"),
         "bad_url": ~F.coalesce(F.col("source_url").rlike("^https?://"), F.lit(False)),
-        "mid_word": later & (F.col("doc_type") != "statute") & display.rlike("^[a-zäöüß]{3,}"),
-        "display_has_heading": (heading != "") & F.ltrim(display).startswith(heading),
-        "embed_lacks_heading": (heading != "") & ~F.coalesce(F.col("embed_text"), F.lit("")).contains(heading),
+        "mid_word": later & ~F.col("doc_type").eqNullSafe("statute") & display.rlike(r"(?U)^\s*[a-zäöüß]{3}"),
+        "display_has_heading": (heading != "") & begins(display),
+        "embed_lacks_heading": (heading != "") & ~begins(F.coalesce("embed_text", F.lit(""))),
     }
     failed = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in flags.items()]))
     return chunks.withColumns({f"fail_{k}": v for k, v in flags.items()} | {"failed": failed})
 
 
 def audit_summary(chunks: DataFrame) -> DataFrame:
-    """Fails for each (category, source, check) and for each check over all; total chunks counted alike."""
-    rows = audit_flags(chunks).select("category", "source", F.explode("failed").alias("check"))
-    return rows.groupingSets([["category", "source", "check"], ["check"], []], "category", "source", "check").agg(F.count("*").alias("fails"))
+    """(category, source, check, fails, total, pct): fails of each check by source, of each over all, and all fails.
+
+    total: the chunks of the source, or all of them; pct: fails for each hundred of those. Checks that no chunk of a
+    source fails have no row. One pass counts by source; what follows is a row a source.
+    """
+    counts = [F.count_if(f"fail_{c}").alias(c) for c in CHECKS]
+    small = audit_flags(chunks).groupBy("category", "source").agg(F.count("*").alias("total"), *counts)
+    checks = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("fails"), F.lit(k == 0).alias("once")) for k, c in enumerate(CHECKS)]))
+    rows = small.select("category", "source", "total", checks.alias("c")).select("category", "source", "total", "c.*")
+    found = rows.groupingSets([["category", "source", "check"], ["check"], []], "category", "source", "check").agg(
+        F.sum("fails").alias("fails"), F.when(F.grouping("check") == 1, F.sum(F.when(F.col("once"), F.col("total")))).otherwise(F.sum("total")).alias("total")
+    )
+    return found.where("fails > 0").withColumn("pct", F.round(100 * F.col("fails") / F.col("total"), 2))
 
 
 def audit_top_offenders(chunks: DataFrame, n: int = 15) -> DataFrame:
@@ -50,11 +61,14 @@ def token_histogram(chunks: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select("bucket", "n", F.round(F.col("n") / F.col("_all"), 4).alias("share"))
 
 
-def audit_examples(chunks: DataFrame, n: int = 5) -> DataFrame:
-    """The first n failing chunks of each check (10 for mid_word), by chunk_id."""
-    rows = audit_flags(chunks).select("chunk_id", F.explode("failed").alias("check"))
+def audit_examples(chunks: DataFrame, n: int = 5, more: int = 10) -> DataFrame:
+    """The first n failing chunks of each check, `more` of mid_word and of oversize (over 1000 tokens), by chunk_id."""
+    over = F.when(F.coalesce("token_count", F.lit(0)) > 1000, F.array(F.lit("oversize"))).otherwise(F.array().cast("array<string>"))
+    rows = audit_flags(chunks).select("chunk_id", F.explode(F.concat("failed", over)).alias("check"))
     rank = F.row_number().over(W.partitionBy("check").orderBy("chunk_id"))
-    return rows.withColumn("_n", rank).where(F.col("_n") <= F.when(F.col("check") == "mid_word", 10).otherwise(n)).drop("_n")
+    # the plain limit is what Spark applies before the shuffle, in every task
+    first = rows.withColumn("_n", rank).where(F.col("_n") <= max(n, more))
+    return first.where(F.col("_n") <= F.when(F.col("check").isin("mid_word", "oversize"), more).otherwise(n)).drop("_n")
 
 
 def type_counts(chunks: DataFrame) -> DataFrame:

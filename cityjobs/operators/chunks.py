@@ -18,9 +18,10 @@ TARGET = {"article": 600, "historical": 400}
 PROCEDURE_WHOLE, PROCEDURE_TARGET, STATUTE_WHOLE, PARENT_OVER, SMALL, OVERLAP = 800, 600, 2000, 1200, 100, 0.125
 #: Fixed values of the chunk rules.
 DOC_TYPES = ["article", "procedure", "reference", "statute", "historical"]
-AUTHORITIES = ["federal", "cantonal", "city", "official", "community", "other"]
-CATEGORIES = ["admin", "law", "housing", "health", "transport", "culture", "education", "politics", "history", "leisure", "reference"]
-PIECE = "struct<text:string,heading:string,chunk_index:string,parent:string,step_index:int,paragraph:string>"
+CHUNK_SHAPES = ["prose", "table", "list", "code"]
+AUTHORITIES = ["federal", "cantonal", "city", "wikipedia", "community", "private"]
+CATEGORIES = ["admin", "housing", "mobility", "health", "emergency", "education", "civic", "leisure", "food_drink", "neighborhoods", "law"]
+PIECE = "struct<part:int,sentences:array<int>,chunk_index:string,parent:string,step_index:int,paragraph:int>"
 
 
 def count_tokens(text: Column) -> Column:
@@ -40,20 +41,21 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
-def pack(sentences: list[str], tokens: list[int], target: int) -> list[str]:
-    """Greedy packing to `target` tokens; each piece starts with the last sentences that fit an eighth of it."""
-    out: list[str] = []
+def pack_places(tokens: list[int], target: int) -> list[list[int]]:
+    """Greedy packing to `target` tokens, as the places of each piece's sentences; a piece starts with the last
+    sentences of the one before that fit an eighth of the target.
+    """
+    out: list[list[int]] = []
     held: list[int] = []
     size = 0
     for i, n in enumerate(tokens):
         if n > target:
-            if held:
-                out.append(" ".join(sentences[k] for k in held))
-            out.append(sentences[i])
+            out += [held] if held else []
+            out.append([i])
             held, size = [], 0
             continue
         if held and size + n > target:
-            out.append(" ".join(sentences[k] for k in held))
+            out.append(held)
             tail, room = [], int(target * OVERLAP)
             for k in reversed(held):
                 if tokens[k] > room:
@@ -64,17 +66,20 @@ def pack(sentences: list[str], tokens: list[int], target: int) -> list[str]:
             if size + n > target:
                 tail, size = [], 0
             held = tail
-        held.append(i)
+        held = [*held, i]
         size += n
     if held:
-        last = " ".join(sentences[k] for k in held)
         if out and size < SMALL:
-            out[-1] = f"{out[-1]} {last}"
+            out[-1] = [*out[-1], *held]
         else:
-            out.append(last)
+            out.append(held)
     return out
 
 
+def pack(sentences: list[str], tokens: list[int], target: int) -> list[str]:
+    return [" ".join(sentences[k] for k in places) for places in pack_places(tokens, target)]
+
+
 def pack_sentences(sentences: Column, target: Column, counter: Callable[[str], int] = words_count) -> Column:
     """Arrays of sentences to arrays of pieces; sequential in a row, so a pandas UDF."""
 
@@ -113,92 +118,132 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     article, historical: sections packed at 600 or 400 tokens; sections over 1200 tokens also give a parent, one for
     each heading (its first position, its last text). procedure: a chunk a step; flat ones whole up to 800 tokens,
     else packed at 600. reference: one chunk. statute: one chunk up to 2000 tokens, else a chunk a paragraph.
-    Documents without text, sections or dates must be taken out by validate_documents first.
+    Documents without text, sections or dates must be taken out by validate_documents first. Of a document's own
+    columns those that chunks have too are replaced.
+
+    Texts are split, counted and joined by Spark; only token counts, and the headings of sections, go to the packer,
+    which answers with places.
     """
-    cut = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), F.substring(s["text"], 1, CUT).alias("text")))
-    given = F.coalesce(F.size("sections") > 0, F.lit(False))
-    flat = F.array(F.struct(F.lit("").alias("heading"), F.substring(F.coalesce("text", F.lit("")), 1, CUT).alias("text")))
-    parts = F.when(given, cut).otherwise(flat)
+    own = F.col("_d")
+    cut = F.transform(own["sections"], lambda s: F.struct(F.coalesce(s["heading"], F.lit("")).alias("heading"), F.coalesce(F.substring(s["text"], 1, CUT), F.lit("")).alias("text")))
+    given = F.coalesce(F.size(own["sections"]) > 0, F.lit(False))
+    flat = F.array(F.struct(F.lit("").alias("heading"), F.substring(F.coalesce(own["text"], F.lit("")), 1, CUT).alias("text")))
 
     @F.pandas_udf(f"array<{PIECE}>")
-    def pieces(kind: pd.Series, secs: pd.Series, sectioned: pd.Series, sentences: pd.Series, paragraphs: pd.Series) -> pd.Series:
-        out = []
-        for doc_type, parts, has, split, paras in zip(kind, secs, sectioned, sentences, paragraphs):
-            rows, parents = [], {}
-
-            def add(text, heading="", step=None, paragraph=None, rows=rows, parents=parents):
-                rows.append({"text": text, "heading": heading, "chunk_index": str(len(rows)), "parent": parents.get(heading or "body", (None, None))[0], "step_index": step, "paragraph": paragraph})
-
-            tokens = [words_count(p["text"] or "") for p in parts]
-            if doc_type in TARGET:
-                if has:
-                    for p, n in zip(parts, tokens):
-                        key = p["heading"] or "body"
-                        if n > PARENT_OVER:
-                            parents[key] = (parents[key][0] if key in parents else f"P{len(parents) + 1:02d}", p["text"])
-                for p, s in zip(parts, split):
-                    for text in pack(list(s), [words_count(x) for x in s], TARGET[doc_type]):
-                        add(text, p["heading"])
-            elif doc_type == "procedure" and has:
-                for step, p in enumerate(parts, 1):
-                    add(p["text"], p["heading"], step)
-            elif doc_type == "procedure":
-                whole = tokens[0] <= PROCEDURE_WHOLE
-                texts = [parts[0]["text"]] if whole else pack(list(split[0]), [words_count(x) for x in split[0]], PROCEDURE_TARGET)
-                for step, text in enumerate(texts, 1):
-                    add(text, step=None if whole else step)
-            elif doc_type == "statute" and words_count("\n".join(p["text"] or "" for p in parts)) > STATUTE_WHOLE:
-                for number, text in enumerate(paras, 1):
-                    if text.strip():
-                        add(text.strip(), paragraph=str(number))
-            else:
-                add("\n".join(p["text"] or "" for p in parts))
-            above = [{"text": t, "heading": "" if k == "body" else k, "chunk_index": i, "parent": None, "step_index": None, "paragraph": None} for k, (i, t) in parents.items()]
-            out.append(above + rows)
-        return pd.Series(out)
+    def plan(kind: pd.Series, sectioned: pd.Series, headings: pd.Series, tokens: pd.Series, sentences: pd.Series, whole: pd.Series, paragraphs: pd.Series) -> pd.Series:
+        return pd.Series([plan_pieces(*row) for row in zip(kind, sectioned, headings, tokens, sentences, whole, paragraphs)])
 
+    packs = own["doc_type"].isin(list(TARGET)) | ((own["doc_type"] == "procedure") & ~F.col("_given"))
     whole = F.array_join(F.transform("_parts", lambda p: p["text"]), "\n")
-    starts = F.when(whole.rlike(r"^\s*\d+\s"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    paragraphs = F.concat(starts, F.split(whole, r"(?m)(?=^\s*\d+\s)"))
-    ready = docs.withColumn("_parts", parts).withColumn("_given", given)
-    ready = ready.withColumn("_s", F.transform("_parts", lambda p: split_sentences(F.coalesce(p["text"], F.lit("")))))
-    ready = ready.withColumn("_p", F.explode(pieces("doc_type", "_parts", "_given", "_s", paragraphs)))
-    own = doc_id(F.col("source_url"), F.col("language"))
-    path = heading_path(F.col("source_name"), F.col("title"), F.col("_p.heading"))
-    rest = [c for c in docs.columns if c not in ("sections", "text")]
-    return ready.select(
-        chunk_id(own, F.col("_p.chunk_index")).alias("chunk_id"),
-        own.alias("doc_id"),
-        F.col("_p.chunk_index").alias("chunk_index"),
-        F.when(F.col("_p.parent").isNotNull(), chunk_id(own, F.col("_p.parent"))).alias("parent_chunk_id"),
-        *rest,
-        path.alias("heading_path"),
-        F.lit("prose").alias("chunk_shape"),
-        count_tokens(F.col("_p.text")).alias("token_count"),
-        F.col("_p.step_index").alias("step_index"),
-        F.col("_p.paragraph").alias("paragraph"),
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.col("_p.text").alias("display_text"),
-        embed_text(path, F.col("_p.text")).alias("embed_text"),
+    # an empty part in front where a mark begins the text: paragraphs are numbered by all parts
+    starts = F.when(F.col("_whole").rlike(r"^\s*\d+\s"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    ready = (
+        docs.select(F.struct("*").alias("_d"))
+        .select("_d", F.when(given, cut).otherwise(flat).alias("_parts"), given.alias("_given"))
+        .select("*", whole.alias("_whole"), F.when(packs, F.transform("_parts", lambda p: split_sentences(p["text"]))).otherwise(F.array().cast("array<array<string>>")).alias("_sentences"))
+        .select("*", F.when(own["doc_type"] == "statute", F.concat(starts, F.split("_whole", r"(?m)(?=^\s*\d+\s)"))).otherwise(F.array().cast("array<string>")).alias("_paragraphs"))
+        .select(
+            "*",
+            F.explode(
+                plan(
+                    own["doc_type"],
+                    F.col("_given"),
+                    F.transform("_parts", lambda p: p["heading"]),
+                    F.transform("_parts", lambda p: count_tokens(p["text"])),
+                    F.transform("_sentences", lambda s: F.transform(s, count_tokens)),
+                    count_tokens(F.col("_whole")),
+                    F.transform("_paragraphs", lambda p: F.trim(p) != ""),
+                )
+            ).alias("_p"),
+        )
     )
-
-
-def chunk_faults() -> Column:
-    """Names of the rules that a chunk breaks."""
+    piece, part = F.col("_p"), F.get("_parts", F.col("_p.part"))
+    sentences = F.transform(piece["sentences"], lambda k: F.get(F.get("_sentences", piece["part"]), k))
+    blanks = r"(?U)^\s+|\s+$"
+    text = (
+        F.when(piece["paragraph"].isNotNull(), F.regexp_replace(F.get("_paragraphs", piece["paragraph"] - 1), blanks, ""))
+        .when(piece["sentences"].isNotNull(), F.array_join(sentences, " "))
+        .when(piece["part"].isNotNull(), part["text"])
+        .otherwise(F.col("_whole"))
+    )
+    ready = ready.select("_d", "_p", text.alias("_text"), F.when(own["doc_type"].isin("reference", "statute"), "").otherwise(F.coalesce(part["heading"], F.lit(""))).alias("_heading"))
+    key = doc_id(own["source_url"], own["language"])
+    path = heading_path(own["source_name"], own["title"], F.col("_heading"))
+    made = {
+        "chunk_id": chunk_id(key, piece["chunk_index"]),
+        "doc_id": key,
+        "chunk_index": piece["chunk_index"],
+        "parent_chunk_id": F.when(piece["parent"].isNotNull(), chunk_id(key, piece["parent"])),
+    }
+    after = {
+        "heading_path": path,
+        "chunk_shape": F.lit("prose"),
+        "token_count": count_tokens(F.col("_text")),
+        "step_index": piece["step_index"],
+        "paragraph": piece["paragraph"].cast("string"),
+        "schema_version": F.lit(SCHEMA_VERSION),
+        "display_text": F.col("_text"),
+        "embed_text": embed_text(path, F.col("_text")),
+    }
+    rest = {c: own[c] for c in docs.columns if c not in ("sections", "text", *made, *after)}
+    return ready.select(*[column.alias(name) for name, column in (made | rest | after).items()])
+
+
+def plan_pieces(kind: str, sectioned: bool, headings: list[str], tokens: list[int], sentences: list[list[int]], whole: int, paragraphs: list[bool]) -> list[dict]:
+    """A document's chunks: of which part, sentences (by their place) or paragraph (from 1) each is; none: the whole text."""
+    rows: list[dict] = []
+    parents: dict[str, tuple[str, int]] = {}
+
+    def add(part=None, places=None, step=None, paragraph=None):
+        parent = parents.get(headings[part] or "body", (None, None))[0] if part is not None else None
+        rows.append({"part": part, "sentences": places, "chunk_index": str(len(rows)), "parent": parent, "step_index": step, "paragraph": paragraph})
+
+    if kind in TARGET:
+        for k, n in enumerate(tokens) if sectioned else ():
+            if n > PARENT_OVER:
+                key = headings[k] or "body"
+                parents[key] = (parents[key][0] if key in parents else f"P{len(parents) + 1:02d}", k)
+        for k, counts in enumerate(sentences):
+            for places in pack_places(list(counts), TARGET[kind]):
+                add(k, places)
+    elif kind == "procedure" and sectioned:
+        for k in range(len(tokens)):
+            add(k, step=k + 1)
+    elif kind == "procedure":
+        if tokens[0] <= PROCEDURE_WHOLE:
+            add(0)
+        else:
+            for step, places in enumerate(pack_places(list(sentences[0]), PROCEDURE_TARGET), 1):
+                add(0, places, step)
+    elif kind == "statute" and whole > STATUTE_WHOLE:
+        for number, filled in enumerate(paragraphs, 1):
+            if filled:
+                add(paragraph=number)
+    else:
+        add()
+    above = [{"part": k, "sentences": None, "chunk_index": index, "parent": None, "step_index": None, "paragraph": None} for index, k in parents.values()]
+    return above + rows
+
+
+def chunk_faults(columns: list[str]) -> Column:
+    """Names of the rules that a chunk breaks; chunk_shape counts as prose where the table has none."""
+    one_of = lambda c, values: ~F.coalesce(F.col(c).isin(values), F.lit(False))
     rules = {
-        "doc_type": ~F.coalesce(F.col("doc_type").isin(DOC_TYPES), F.lit(False)),
-        "authority": ~F.coalesce(F.col("authority").isin(AUTHORITIES), F.lit(False)),
-        "category": ~F.coalesce(F.col("category").isin(CATEGORIES), F.lit(False)),
-        "subcategory": F.col("subcategory").isNotNull() & ~F.col("subcategory").rlike("^[a-z0-9_]+(/[a-z0-9_]+)*$"),
+        "doc_type": one_of("doc_type", DOC_TYPES),
+        "authority": one_of("authority", AUTHORITIES),
+        "category": one_of("category", CATEGORIES),
+        "chunk_shape": one_of("chunk_shape", CHUNK_SHAPES) if "chunk_shape" in columns else F.lit(False),
+        "subcategory": F.col("subcategory").isNotNull() & ~F.col("subcategory").rlike(r"^[a-z_]+/[a-z0-9_]+$"),
         "language": ~F.coalesce(F.col("language").rlike("^[a-z]{2,3}$"), F.lit(False)),
-        "heading_path": F.coalesce(F.trim("heading_path"), F.lit("")) == "",
+        "heading_path": ~F.coalesce(F.col("heading_path").rlike(r"(?U)\S"), F.lit(False)),
         "token_count": F.coalesce(F.col("token_count"), F.lit(-1)) < 0,
     }
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
 
 
 def validate_chunks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    judged = df.withColumn("reasons", chunk_faults())
+    """Chunks that keep all rules, and the others with their `reasons`."""
+    judged = df.withColumn("reasons", chunk_faults(df.columns))
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
 
 

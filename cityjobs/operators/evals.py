@@ -32,6 +32,15 @@ def pattern_counts(results: DataFrame) -> DataFrame:
     return results.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern")
 
 
+def gap_list(results: DataFrame, gap: str = "kb_gap", n: int = 20) -> DataFrame:
+    """(conv_id, gap) of the first n conversations that name a gap."""
+    return results.where(F.col(gap).isNotNull() & (F.lower(gap) != "null") & (gap_text(gap) != "")).select("conv_id", F.col(gap).alias("gap")).orderBy("conv_id").limit(n)
+
+
+def gap_text(gap: str) -> Column:
+    return F.trim(F.coalesce(gap, F.lit("")))
+
+
 def gap_counts(results: DataFrame, gap: str = "connector_gap") -> DataFrame:
     """Null and the text 'null' mean no gap."""
     return results.where(F.col(gap).isNotNull() & (F.lower(gap) != "null")).groupBy(gap).agg(F.count("*").alias("n")).orderBy(F.desc("n"), gap)
@@ -67,12 +76,39 @@ def regression_check(scores: DataFrame, baseline: DataFrame, axis_drop: float =
     return fell("axis", F.avg("score"), axis_drop).unionByName(fell("persona_id", F.sum("score"), persona_drop))
 
 
-def hard_checks(replies: DataFrame, realtime_tools: list[str]) -> DataFrame:
-    """replies: reply, called, expected, forbidden (arrays of tool names)."""
+#: Words that tell a language; the dialect's count as German.
+LANGUAGE_WORDS = {
+    "de": "der die das und ist nicht ich ein eine mit für auf wie wo was isch nöd chunt hät gits wänn öppis".split(),
+    "en": "the and is not of to in with for on how where what are you can please".split(),
+    "fr": "le la les et est pas de des une avec pour sur comment où quoi vous".split(),
+    "it": "il lo gli e è non di del una con per su come dove cosa sono".split(),
+}
+
+
+def language_of(text: Column) -> Column:
+    """The language most of whose words a text has; null without any. Ties go to the first."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+", " "), " ")
+    counts = [F.size(F.filter(words, lambda w: w.isin(own))) for own in LANGUAGE_WORDS.values()]  # noqa: B023 (called at once)
+    most = F.greatest(*counts)
+    out = F.lit(None).cast("string")
+    for lang, n in reversed(list(zip(LANGUAGE_WORDS, counts))):
+        out = F.when((n == most) & (most > 0), F.lit(lang)).otherwise(out)
+    return out
+
+
+def hard_checks(replies: DataFrame, realtime_tools: list[str], connectors: list[str] = ()) -> DataFrame:
+    """replies: question, reply, called, expected, forbidden (arrays of tool names).
+
+    A citation is '[Quelle:', a markdown link or a connector's name. Languages match unless both are told and differ.
+    """
     claims = F.col("reply").rlike(r"(?i)\b(right now|currently|aktuell|jetzt)\b")
+    cited = F.col("reply").rlike(r"\[Quelle:|\[[^\]]+\]\([^)\s]+\)")
+    for name in connectors:
+        cited = cited | F.lower("reply").contains(name.lower())
     return replies.withColumns(
         {
-            "has_citations": F.col("reply").rlike(r"\[\d+\]|https?://"),
+            "language_ok": F.coalesce(language_of(F.col("question")) == language_of(F.col("reply")), F.lit(True)),
+            "has_citations": cited,
             "length_ok": F.length("reply") <= 2000,
             "tools_ok": (F.size(F.array_except("expected", "called")) == 0) & ~F.arrays_overlap("called", "forbidden"),
             "realtime_ok": ~claims | F.arrays_overlap("called", F.array(*map(F.lit, realtime_tools))),
@@ -97,7 +133,7 @@ def conversation_cap(turns: DataFrame, cap: int = 50_000) -> DataFrame:
 def turn_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """prices: (model, price_in, price_out) per million tokens, one row a model."""
     cost = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / 1_000_000
-    return usage.join(F.broadcast(prices), "model", "left").withColumn("cost", cost)
+    return usage.join(prices, "model", "left").withColumn("cost", cost)
 
 
 def cost_rollup(usage: DataFrame, prices: DataFrame) -> DataFrame:

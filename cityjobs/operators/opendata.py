@@ -19,22 +19,36 @@ def latest_available_year(df: DataFrame, year: str, as_of: int, back: int = 2) -
 
 
 def crime_stats(df: DataFrame, district: str | None = None, category: str | None = None) -> DataFrame:
-    """Latest year: offences and mean frequency by district and title. df: year, district, municipality, title, offences, frequency."""
-    rows = latest_only(df, "year").where((F.coalesce("district", F.lit("")) != "") | F.col("municipality").contains("rich"))
-    rows = rows.where(F.lower("district").contains(district.lower())) if district else rows
+    """Latest year: offences and mean frequency by district and title. df: year, district, municipality, title, offences, frequency.
+
+    Rows with a district count; only if no row has one, those of a municipality with "rich" in its name, whose null
+    districts go and whose empty ones are 'Gesamt'. `district` is a number from 1 to 12, or 'kreis N', and matches whole.
+    """
+    rows = latest_only(df, "year")
+    named = F.coalesce("district", F.lit("")) != ""
+    has = rows.agg(F.coalesce(F.bool_or(named), F.lit(False)).alias("_has"))
+    rows = rows.crossJoin(F.broadcast(has)).where(F.when(F.col("_has"), named).otherwise(F.lower("municipality").contains("rich") & F.col("district").isNotNull())).drop("_has")
+    if district:
+        number = district.lower().strip().removeprefix("kreis ")
+        if number not in {str(n) for n in range(1, 13)}:
+            raise ValueError(f"no district {district!r}")
+        rows = rows.where(F.col("district") == f"Kreis {number}")
     rows = rows.where(F.lower("title").contains(category.lower())) if category else rows
-    return rows.groupBy("district", "title").agg(F.sum("offences").alias("offences"), F.round(F.avg("frequency"), 6).alias("frequency")).orderBy(F.desc("offences"), "district", "title")
+    label = F.when(F.col("district") == "", "Gesamt").otherwise(F.col("district"))
+    return rows.groupBy(label.alias("district"), "title").agg(F.sum("offences").alias("offences"), F.bround(F.avg("frequency"), 1).alias("frequency")).orderBy(F.desc("offences"), "district", "title")
 
 
 def rent_prices(df: DataFrame, quarter: str | None = None, rooms: str | None = None, nonprofit: bool = False) -> DataFrame:
-    """Latest year's net rents of flats. The name is looked up in area, and in area_group if no area has it."""
+    """Latest year's net rents of flats. The name is looked up in area, and in area_group if no area has it; rooms
+    are chosen after that.
+    """
     rows = latest_only(df, "year").where((F.col("price_kind") == "net") & (F.col("unit") == "flat") & (F.col("nonprofit") == nonprofit))
-    rows = rows.where(F.col("rooms") == rooms) if rooms else rows
     if quarter:
         in_area, in_group = (F.lower(c).contains(quarter.lower()) for c in ("area", "area_group"))
         hits = F.broadcast(rows.agg(F.count_if(in_area).alias("_hits")))
         rows = rows.crossJoin(hits).where(F.when(F.col("_hits") > 0, in_area).otherwise(in_group)).drop("_hits")
-    return rows.select("area", "rooms", *[F.round(c).cast("long").alias(c) for c in ("qu25", "qu50", "qu75")])
+    rows = rows.where(F.col("rooms") == rooms) if rooms else rows
+    return rows.select("year", "area", "rooms", *[F.bround(c).cast("long").alias(c) for c in ("qu25", "qu50", "mean", "qu75")])
 
 
 def latest_readings(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
@@ -49,16 +63,35 @@ def limit_check(df: DataFrame, keys: list[str], value: str, limit: str) -> DataF
     return df.withColumn("ok", ok).withColumn("all_ok", F.bool_and("ok").over(W.partitionBy(*keys)))
 
 
-def water_quality(df: DataFrame, location: str | None = None) -> DataFrame:
+def water_quality(df: DataFrame, location: str | None = None, key_parameters: list[str] | None = None) -> DataFrame:
+    """Latest non-null value and limit by location and parameter, of the parameters whose name holds a key one; ok,
+    all_ok by location and overall_ok for all.
+    """
     rows = df.where(F.lower("location").contains(location.lower())) if location else df
-    last = latest_readings(rows, ["location", "parameter"], "day", ["value", "max_value"])
-    return limit_check(last, ["location"], "value", "max_value")
+    if key_parameters is not None:
+        rows = rows.where(F.exists(F.array(*map(F.lit, key_parameters)), lambda k: F.contains(F.col("parameter"), k)))
+    last = limit_check(latest_readings(rows, ["location", "parameter"], "day", ["value", "max_value"]), ["location"], "value", "max_value")
+    return last.crossJoin(F.broadcast(last.agg(F.bool_and("ok").alias("overall_ok"))))
+
+
+#: Limits of the key pollutants.
+POLLUTANT_LIMITS = {"NO2": 80.0, "PM10": 50.0, "PM2.5": 25.0, "O3": 120.0, "O3_max_h1": 120.0, "SO2": 100.0, "CO": 8.0}
 
 
-def air_quality(df: DataFrame, limits: DataFrame) -> DataFrame:
-    """Latest day's readings with their pollutant's limit. limits: (parameter, max_value), a handful of rows."""
-    rows = latest_only(df, "day").join(F.broadcast(limits), "parameter", "left")
-    return rows.withColumn("ok", F.coalesce(F.col("value") <= F.col("max_value"), F.lit(True)))
+def air_quality(df: DataFrame, names: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """(station, name, day, measurements, key_pollutants) of the latest day's stations.
+
+    df: day, station, parameter, value (text), unit, status. measurements: all of them in order, values that are no
+    numbers null; key_pollutants: those with a number of the limits' keys, with their limit. names: (station, name),
+    a station's own id where it has none.
+    """
+    limits = POLLUTANT_LIMITS if limits is None else limits
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("parameter"))
+    rows = latest_only(df, "day").withColumn("number", F.col("value").try_cast("double"))
+    one = F.struct("parameter", F.col("number").alias("value"), "unit", "status")
+    key = F.when(F.col("number").isNotNull() & limit.isNotNull(), F.struct("parameter", F.col("number").alias("value"), "unit", limit.alias("limit")))
+    found = rows.groupBy("day", "station").agg(F.array_sort(F.collect_list(one)).alias("measurements"), F.array_sort(F.collect_list(key)).alias("key_pollutants"))
+    return found.join(names, "station", "left").select("station", F.coalesce("name", "station").alias("name"), "day", "measurements", "key_pollutants")
 
 
 def sensor_latest_and_mean(df: DataFrame, key: str, ts: str, val: str, hours: int, as_of: str, zone: str = "Europe/Zurich") -> DataFrame:
@@ -120,9 +153,12 @@ def voting_results(df: DataFrame, date_prefix: str | None = None, level: str | N
         *[F.when(whole, c).otherwise(0).alias(x) for c, x in zip(counts, ("yes", "no"))],
         *[F.when(parsed, c).otherwise(0.0).alias(x) for c, x in zip(shares, ("turnout", "yes_share", "no_share"))],
     )
-    groups = rows.groupBy("day", "text", "level").agg(F.array_sort(F.collect_list(result)).alias("results"))
-    total = F.broadcast(rows.agg(F.count_distinct("day", "text", "level").alias("total")))
-    return groups.orderBy(F.desc("day"), "text", "level").limit(n).crossJoin(total)
+    # the newest votes first, so that results are gathered for n votes alone
+    keys = rows.select("day", "text", "level").distinct()
+    newest = keys.orderBy(F.desc("day"), "text", "level").limit(n).select(*[F.col(c).alias(f"_{c}") for c in keys.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys.columns]
+    groups = rows.join(F.broadcast(newest), same).groupBy("day", "text", "level").agg(F.array_sort(F.collect_list(result)).alias("results"))
+    return groups.crossJoin(F.broadcast(keys.agg(F.count("*").alias("total"))))
 
 
 def upcoming(df: DataFrame, zip_: str | None, days: int, as_of: str) -> DataFrame:
@@ -149,14 +185,17 @@ def all_schedules(df: DataFrame, mobile: DataFrame, zip_: str | None, days: int,
     fixed = dedupe_first(upcoming(df, zip_, days, as_of), ["kind", "date", "zip"], [F.col("station")]).select("kind", "date", "zip", "station")
     rows = fixed.unionByName(upcoming(mobile, zip_, days, as_of).select(F.lit("mobile").alias("kind"), "date", "zip", "station"))
     rank = F.row_number().over(W.partitionBy("kind").orderBy("date", "zip", "station"))
-    return rows.withColumn("n", rank).where(F.col("n") <= F.when(F.col("kind") == "mobile", first_mobile).otherwise(first))
+    # the plain limit is what Spark applies before the shuffle, in every task
+    some = rows.withColumn("n", rank).where(F.col("n") <= max(first, first_mobile))
+    return some.where(F.col("n") <= F.when(F.col("kind") == "mobile", first_mobile).otherwise(first))
 
 
-def collection_points(df: DataFrame, materials: list[str], zip_: str | None = None, material: str | None = None) -> DataFrame:
-    """Stations with the materials that an x marks."""
+def collection_points(df: DataFrame, materials: list[str], zip_: str | None = None, material: str | None = None, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """Stations with the materials that an x marks; `material` may be one of the synonyms of one."""
     marked = F.array_compact(F.array(*[F.when(F.lower(F.trim(m)) == "x", F.lit(m)) for m in materials]))
     rows = df.withColumn("materials", marked)
     rows = rows.where(F.col("zip").startswith(zip_)) if zip_ else rows
+    material = (synonyms or {}).get(material.lower().strip(), material) if material else material
     return rows.where(F.array_contains("materials", material)) if material else rows
 
 
@@ -179,7 +218,7 @@ def bath_lookup(df: DataFrame, name: str, seasonal: DataFrame) -> DataFrame:
 def zip_forecast(df: DataFrame, arrays: list[str], codes: DataFrame) -> DataFrame:
     """Parallel arrays as rows; weather codes looked up, 'Unknown' if not listed."""
     rows = df.select(F.explode(F.arrays_zip(*arrays)).alias("x")).select("x.*")
-    return rows.join(F.broadcast(codes), "code", "left").withColumn("label", F.coalesce("label", F.lit("Unknown")))
+    return rows.join(codes, "code", "left").withColumn("label", F.coalesce("label", F.lit("Unknown")))
 
 
 def departures(df: DataFrame) -> DataFrame:
@@ -202,23 +241,75 @@ def connections(df: DataFrame) -> DataFrame:
 
 
 def events_upcoming(df: DataFrame, rubrics: DataFrame, as_of: str, n: int, category: str | None = None) -> DataFrame:
-    rows = df.join(F.broadcast(rubrics), "rubric_id", "left").withColumn("rubric", F.coalesce("rubric", F.lit("Sonstige"))).where(F.col("begin") >= F.lit(as_of).cast("timestamp"))
+    rows = df.join(rubrics, "rubric_id", "left").withColumn("rubric", F.coalesce("rubric", F.lit("Sonstige"))).where(F.col("begin") >= F.lit(as_of).cast("timestamp"))
     rows = rows.where(F.lower("rubric").contains(category.lower())) if category else rows
     return rows.orderBy("begin", "id").limit(n).select("id", "rubric", F.date_format("begin", "dd.MM.yyyy").alias("day"))
 
 
+#: Entities that descriptions use.
+ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü",
+    "&szlig;": "ß", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&bull;": "•", "&amp;": "&",
+}
+
+
 def strip_html(text: Column) -> Column:
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(F.regexp_replace(text, "<[^>]*>", " ") if entity == "&nbsp;" else text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Entities resolved, then tags taken out, blanks squeezed; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    for entity, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"(?U)\s+", " "))
+
+
+#: Day names.
+DAYS = {"Mo": "Mon", "Tu": "Tue", "We": "Wed", "Th": "Thu", "Fr": "Fri", "Sa": "Sat", "Su": "Sun"}
+HOURS = r"^([A-Za-z,]+)\s+(\d{2}:\d{2}):\d{2}-(\d{2}:\d{2}):\d{2}"
+
+
+def opening_hours(entries: Column) -> Column:
+    """'Mo,Tu 09:00:00-18:00:00' entries as 'Mon,Tue 09:00-18:00', joined by '; '; others are left out."""
+
+    def one(entry: Column) -> Column:
+        days = F.regexp_extract(entry, HOURS, 1)
+        for short, name in DAYS.items():
+            days = F.replace(days, F.lit(short), F.lit(name))
+        return F.concat(days, F.lit(" "), F.regexp_extract(entry, HOURS, 2), F.lit("-"), F.regexp_extract(entry, HOURS, 3))
+
+    return F.coalesce(F.array_join(F.transform(F.filter(entries, lambda e: e.rlike(HOURS)), one), "; "), F.lit(""))
+
+
+#: What kinds of places are called.
+PLACE_KINDS = {
+    "Restaurant": "restaurant", "BarOrPub": "bar", "CafeOrCoffeeShop": "cafe", "Hotel": "hotel", "Hostel": "hostel", "BedAndBreakfast": "b&b", "Museum": "museum", "CivicStructure": "attraction",
+    "LocalBusiness": "venue", "Place": "place", "TouristAttraction": "attraction", "LandmarksOrHistoricalBuildings": "landmark",
+}
 
 
 def venues(df: DataFrame, n: int, name: str | None = None) -> DataFrame:
-    """name_de, name_en, description, category map, street, city. Without a name only the first n raw rows count."""
+    """Named places: df has identifier, name_de, name_en, description, full_description, hours (array), category (map),
+    kind, custom_kind, street, postcode, city, lat, lon.
+
+    With a name the first n whose name holds it; without one only the first n raw rows count, and nameless ones go.
+    """
     rows = df if name else df.orderBy("identifier").limit(n)
     label = F.coalesce(F.nullif("name_de", F.lit("")), F.nullif("name_en", F.lit("")))
     kinds = F.array_sort(F.map_keys(F.map_filter("category", lambda k, v: F.coalesce(F.length(v), F.lit(0)) > 0)))
-    rows = rows.select("identifier", label.alias("name"), strip_html(F.col("description")).alias("description"), F.array_join(kinds, ", ").alias("kinds"), F.concat_ws(", ", F.nullif("street", F.lit("")), F.nullif("city", F.lit(""))).alias("address")).where("name is not null")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in PLACE_KINDS.items() for x in pair]), text("kind"))
+    address = F.concat(text("street"), F.lit(", "), text("postcode"), F.lit(" "), text("city"))
+    number = lambda c: F.when(F.col(c) != 0, F.col(c).cast("double"))
+    rows = rows.select(
+        "identifier",
+        label.alias("name"),
+        F.coalesce(F.lower(F.nullif("custom_kind", F.lit(""))), known, F.lit("venue")).alias("kind"),
+        strip_html(F.col("description")).alias("description"),
+        F.substring(strip_html(F.col("full_description")), 1, 500).alias("full_description"),
+        opening_hours(F.col("hours")).alias("opening_hours"),
+        F.array_join(F.coalesce(kinds, F.array().cast("array<string>")), ", ").alias("kinds"),
+        F.btrim(address, F.lit(", ")).alias("address"),
+        number("lat").alias("lat"),
+        number("lon").alias("lon"),
+    ).where("name is not null")
     return rows.where(F.lower("name").contains(name.lower())).orderBy("identifier").limit(n) if name else rows
 
 

@@ -16,103 +16,186 @@ STEP = r"(?i)(schritt|etappe|step|étape|fase)\s*\d"
 
 @dataclass(frozen=True)
 class HtmlProfile:
-    """What a site needs: classes or ids to drop, tags that act as headings, a suffix of titles."""
+    """What a site needs beyond the plain rules.
+
+    drop: classes and ids of elements that go. rename: tags that count as others. levels: a tag that is a heading of
+    the level in its `level` attribute (2 to 4). folds: a tag whose `heading` or `label` attribute is a heading of
+    level 3 over its text. bogus: lower-cased h1 texts that are none ('*': all). title_from: 'h1', 'og' (og:title
+    first) or 'h2'. title_suffix: goes from the end of titles that are no h1. root: (tag, mark) of the part that counts, its
+    class or id holding the mark; with largest the one with the most text of several, else the first.
+    """
 
     drop: frozenset[str] = frozenset()
     rename: dict[str, str] = field(default_factory=dict)
+    levels: str = ""
+    folds: str = ""
+    bogus: frozenset[str] = frozenset()
+    title_from: str = "h1"
     title_suffix: str = ""
+    root: tuple[str, str] | None = None
+    largest: bool = False
+
+
+class _Part:
+    """An element whose text is wanted: where it is, and its text nodes."""
+
+    def __init__(self, tag: str, scopes: frozenset[int], stripped: bool) -> None:
+        self.tag, self.scopes, self.stripped, self.texts = tag, scopes, stripped, []
+
+    def text(self, glue: str = " ") -> str:
+        return glue.join(self.texts)
 
 
 class _Sections(HTMLParser):
-    """Title and sections of one page. A new <p> closes an open one."""
+    """Title and sections of one page. A new block closes an open <p>, a new <li> an open one."""
 
     SKIP = frozenset("script style nav header footer aside noscript iframe".split())
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+    CLOSES_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl div section article table form blockquote pre main header footer nav aside".split())
+    WANTED = frozenset("h1 h2 h3 p li title".split())
+    ROOT, BODY, MAIN = 0, 1, 2
 
     def __init__(self, profile: HtmlProfile) -> None:
         super().__init__(convert_charrefs=True)
-        self.profile, self.skip, self.stack = profile, 0, []
-        self.h1, self.og, self.title = "", "", ""
-        self.open, self.buffer = None, []
-        self.sections: list[dict] = []
-        self.all: list[str] = []
-        self.has_main, self.in_main = False, False
+        self.profile, self.og = profile, ""
+        self.stack: list[tuple[str, bool, bool, int | None, _Part | None]] = []  # tag, strips, gone, scope, part
+        self.scopes, self.open, self.skip, self.dropped = [self.ROOT], [], 0, 0
+        self.parts: list[_Part] = []
+        self.texts: list[tuple[frozenset[int], str]] = []
+        self.found, self.roots = {self.ROOT}, []
 
     def handle_starttag(self, tag, attrs):
-        tag, named = self.profile.rename.get(tag, tag), dict(attrs)
+        profile, named = self.profile, {}
+        for k, v in attrs:
+            named.setdefault(k, v or "")
+        tag = profile.rename.get(tag, tag)
         if tag == "meta" and named.get("property") == "og:title":
-            self.og = named.get("content") or ""
+            self.og = self.og or named.get("content", "").strip()
         if tag in self.VOID:
-            if tag == "br" and self.open:
-                self.buffer.append(" ")
             return
-        marks = {named.get("id") or "", *(named.get("class") or "").split()}
-        if self.skip or tag in self.SKIP or marks & self.profile.drop:
-            self.skip += 1
-            self.stack.append(tag)
-            return
-        if tag == "main":  # what stood outside the main part does not count
-            self.in_main, self.sections, self.all = True, [], []
-        if tag in ("p", "li", "h1", "h2", "h3", "title"):
-            self.close()
-            self.open, self.buffer = tag, []
-        self.stack.append(tag)
+        if profile.levels and tag == profile.levels:
+            level = named.get("level", "2")
+            tag = f"h{min(4, max(2, int(level) if level.isdigit() else 2))}"
+        if tag in self.CLOSES_P:
+            self.shut("p", "li")
+        if tag == "li":
+            self.shut("li", "ul", "ol")
+        marks = {named.get("id", ""), *named.get("class", "").split()} - {""}
+        gone = bool(marks & profile.drop)
+        strips = gone or tag in self.SKIP
+        self.skip += strips
+        self.dropped += gone
+        scope = None
+        if not self.skip:
+            if tag == "body" and self.BODY not in self.found:
+                scope = self.BODY
+            elif tag == "main" and self.MAIN not in self.found:
+                scope = self.MAIN
+            elif profile.root and tag == profile.root[0] and any(profile.root[1] in m for m in marks):
+                scope = 3 + len(self.roots)
+                self.roots.append(scope)
+        if scope is not None:
+            self.found.add(scope)
+            self.scopes.append(scope)
+        if profile.folds and tag == profile.folds and not self.skip:
+            heading = (named.get("heading") or named.get("label") or "").strip()
+            if heading:
+                self.part("h3").texts.append(heading)
+            tag, part = "fold:" + tag, self.part("p")
+            self.open.append(part)
+        elif tag in self.WANTED and not self.dropped:
+            part = self.part(tag)
+            self.open.append(part)
+        else:
+            part = None
+        self.stack.append((tag, strips, gone, scope, part))
+
+    def part(self, tag: str) -> _Part:
+        self.parts.append(_Part(tag, frozenset(self.scopes), self.skip > 0))
+        return self.parts[-1]
+
+    def shut(self, tag: str, *within: str) -> None:
+        """Closes an open element of this kind that no element of the other kinds parts from here."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                self.cut(k)
+                return
+            if self.stack[k][0] in within or self.stack[k][0] in ("div", "td", "section", "article", "main", "body"):
+                return
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            _, strips, gone, scope, part = self.stack.pop()
+            self.skip -= strips
+            self.dropped -= gone
+            if scope is not None:
+                self.scopes.remove(scope)
+            if part is not None:
+                self.open.remove(part)
 
     def handle_endtag(self, tag):
         tag = self.profile.rename.get(tag, tag)
-        if tag not in self.stack:
-            return
-        while self.stack:
-            top = self.stack.pop()
-            if self.skip:
-                self.skip -= 1
-            if top == tag:
-                break
-        if tag == self.open:
-            self.close()
-        if tag == "main":
-            self.in_main, self.has_main = False, True
+        tags = {"fold:" + tag} if tag == self.profile.folds else {"h2", "h3", "h4"} if tag == self.profile.levels and tag else {tag}
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in tags:
+                self.cut(k)
+                return
 
     def handle_data(self, data):
-        if self.skip:
-            return
-        if self.open:
-            self.buffer.append(data)
-        if self.open != "title" and not (self.has_main and not self.in_main) and data.strip():
-            self.all.append(" ".join(data.split()))
-
-    def close(self):
-        text, tag = " ".join("".join(self.buffer).split()), self.open
-        self.open, self.buffer = None, []
-        if not text or not tag:
+        data = data.strip()
+        if not data or self.dropped:
             return
-        if tag == "title":
-            self.title = self.title or text
-        elif tag == "h1":
-            self.h1 = self.h1 or text
-        elif self.has_main and not self.in_main:
-            return
-        elif tag in ("h2", "h3"):
-            self.sections.append({"heading": text, "level": int(tag[1]), "parts": []})
-        else:
-            if not self.sections:
-                self.sections.append({"heading": "", "level": 1, "parts": []})
-            self.sections[-1]["parts"].append(text)
+        for part in self.open:
+            if part.stripped or not self.skip:
+                part.texts.append(data)
+        if not self.skip:
+            self.texts.append((frozenset(self.scopes), data))
+
+    def scope(self) -> int:
+        if self.roots:
+            size = lambda s: sum(len(t) for at, t in self.texts if s in at)
+            return max(self.roots, key=size) if self.profile.largest else self.roots[0]
+        return max(s for s in self.found if s <= self.MAIN)
+
+    def title(self) -> str:
+        profile = self.profile
+        first = {tag: next((p.text() for p in self.parts if p.tag == tag and p.texts and not (tag == "h1" and (p.text().lower() in profile.bogus or "*" in profile.bogus))), "") for tag in ("h1", "h2", "title")}
+        bare = lambda t: t.removesuffix(profile.title_suffix).strip() if profile.title_suffix else t
+        order = {"h1": (first["h1"], bare(self.og), bare(first["title"])), "og": (bare(self.og), first["h1"], bare(first["title"])), "h2": (first["h2"], bare(first["title"]))}[profile.title_from]
+        return next((t for t in order if t), "")
 
     def result(self) -> dict:
-        self.close()
-        title = self.h1 or self.og or self.title
-        if self.profile.title_suffix and title.endswith(self.profile.title_suffix):
-            title = title[: -len(self.profile.title_suffix)].rstrip()
-        full = "\n".join(dict.fromkeys(self.all))
-        found = [{"heading": s["heading"], "text": "\n\n".join(dict.fromkeys(s["parts"])), "level": s["level"]} for s in self.sections if s["parts"]]
-        if not found and full:
-            found = [{"heading": "", "text": full, "level": 1}]
-        return {"title": title, "sections": found, "full_text": full}
+        self.cut(0)
+        scope, sections, heading, level, texts = self.scope(), [], "", 2, []
+
+        def flush() -> None:
+            text = "\n\n".join(dict.fromkeys(texts))
+            if text:
+                sections.append({"heading": heading, "text": text, "level": level})
+
+        for part in self.parts:
+            if part.stripped or scope not in part.scopes:
+                continue
+            if part.tag in ("h2", "h3"):
+                flush()
+                heading, level, texts = part.text(), int(part.tag[1]), []
+            elif part.tag in ("p", "li") and part.texts:
+                texts.append(part.text())
+        flush()
+        if not sections:
+            text = "\n".join(t for at, t in self.texts if scope in at)
+            sections = [{"heading": "", "text": text, "level": 2}] if text else []
+        return {"title": self.title(), "sections": sections, "full_text": "\n\n".join(s["text"] for s in sections)}
 
 
 def extract_sections(pages: DataFrame, html: str, profile: HtmlProfile | None = None) -> DataFrame:
-    """Adds title, sections, full_text. A page's own row is all that is held. Null html gives nulls."""
+    """Adds title, sections, full_text; columns of these names are replaced. A page's own row is all that is held.
+
+    The title is the first h1, wherever it stands, else og:title, else the page's title. Navigation, headers, footers,
+    asides, scripts and frames do not count (forms do); what counts is the first main, else the body. An h2 or h3 opens
+    a section; its paragraphs and list items are joined, each once. Without any the whole text is one section of level 2.
+    full_text is the sections' texts. Null and empty pages have an empty title and text and no sections.
+    """
     profile = profile or HtmlProfile()
 
     @F.pandas_udf(f"struct<title:string,sections:{SECTION},full_text:string>")
@@ -121,10 +204,12 @@ def extract_sections(pages: DataFrame, html: str, profile: HtmlProfile | None =
         for text in texts:
             parser = _Sections(profile)
             parser.feed(text or "")
+            parser.close()
             rows.append(parser.result())
         return pd.DataFrame(rows, columns=["title", "sections", "full_text"])
 
-    return pages.withColumn("_x", parse(F.col(html))).select("*", "_x.title", "_x.sections", "_x.full_text").drop("_x")
+    rest = [c for c in pages.columns if c not in ("title", "sections", "full_text")]
+    return pages.select(*rest, parse(F.col(html)).alias("_x")).select(*rest, "_x.title", "_x.sections", "_x.full_text")
 
 
 def drop_tail_sections(sections: Column, headings: list[str]) -> Column:
@@ -161,11 +246,24 @@ def classify_doc_type(headings: Column, text: Column) -> Column:
     return F.when(F.coalesce(stepped, F.lit(False)) | F.coalesce(numbered, F.lit(False)), "procedure").otherwise("article")
 
 
-def tag_keywords(title: Column, text: Column, keywords: list[str], head: int = 500, mode: str = "substring") -> Column:
-    """Keywords in the lower-cased title and head of the text, in list order; mode word: between spaces."""
-    seen = F.lower(F.concat_ws(" ", F.lit(""), title, F.substring(text, 1, head), F.lit("")))
-    test = {"substring": lambda k: F.instr(seen, k) > 0, "word": lambda k: F.instr(seen, f" {k} ") > 0}[mode]
-    return F.array_compact(F.array(*[F.when(test(k), F.lit(k)) for k in dict.fromkeys(keywords)]))
+def fold_tag(keyword: str) -> str:
+    for letter, pair in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), (" ", "_")):
+        keyword = keyword.replace(letter, pair)
+    return keyword
+
+
+def tag_keywords(title: Column, text: Column, keywords: list[str], head: int = 500, mode: str = "substring", suffix: str = "", fold: bool = False, ordered: bool = False, fixed: Column | None = None) -> Column:
+    """Keywords in the lower-cased title and head of the text, once each.
+
+    mode word: the keyword between blanks, or followed by `suffix` ('s', 'en') and a blank. fold: umlauts and blanks of
+    tags are written out. ordered: sorted, else in list order. fixed: an array of tags that come first.
+    """
+    seen = F.lower(F.concat(F.lit(" "), F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, head), F.lit(" ")))
+    word = lambda k: seen.contains(f" {k} ") | (seen.contains(f"{k}{suffix} ") if suffix else F.lit(False))
+    test = {"substring": seen.contains, "word": word}[mode]
+    found = F.array_compact(F.array(*[F.when(test(k), F.lit(fold_tag(k) if fold else k)) for k in dict.fromkeys(keywords)]))
+    tags = F.array_distinct(found if fixed is None else F.concat(fixed, found))
+    return F.array_sort(tags) if ordered else tags
 
 
 def clean_page_text(text: Column, markers: bool = False) -> Column:
@@ -176,7 +274,7 @@ def clean_page_text(text: Column, markers: bool = False) -> Column:
 
 
 def join_pages(df: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
-    """(doc, text): pages in order, index pages left out."""
+    """(doc, text): pages in order, index pages left out. A row holds one document's pages, as its text does."""
     kept = df.where(~is_index_page(F.col(text)))
     pages = F.array_sort(F.collect_list(F.struct(page_no, text)))
     return kept.groupBy(doc).agg(F.array_join(F.transform(pages, lambda p: p[text]), "\n\n").alias("text"))
@@ -201,39 +299,73 @@ def fold_name(name: Column) -> Column:
     return F.regexp_replace(name, "[^a-z0-9]+", "_")
 
 
+KEYS_SENT = 10_000
+
+
 def match_longest_key(df: DataFrame, name: str, id_: str, keys: DataFrame) -> DataFrame:
-    """Adds the key with the longest name contained in the folded name; keys is a fixed lookup of law names."""
+    """Adds the longest key (of equals the first) contained in the folded name; null if none is.
+
+    Up to KEYS_SENT keys are sent to all tasks; of more, the parts of a name that are as long as some key are joined
+    with the keys.
+    """
     folded = df.withColumn("_f", fold_name(F.col(name)))
-    pairs = folded.join(F.broadcast(keys), F.col("_f").contains(F.col("key")), "left")
+    keys = keys.select("key").distinct()
+    if keys.limit(KEYS_SENT + 1).count() <= KEYS_SENT:
+        pairs = folded.join(F.broadcast(keys), F.col("_f").contains(F.col("key")), "left")
+    else:
+        sizes = [r[0] for r in keys.select(F.length("key")).distinct().collect()]  # as many as key lengths
+        cuts = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.length("_f") >= n, F.transform(F.sequence(F.lit(1), F.length("_f") - n + 1), lambda i: F.substring(F.col("_f"), i, n))).otherwise(F.array().cast("array<string>"))))
+        parts = folded.select(id_, F.explode(F.array_distinct(cuts)).alias("key")).join(keys, "key")
+        pairs = folded.join(parts, id_, "left")
     order = W.partitionBy(id_).orderBy(F.desc(F.length("key")), "key")
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_f")
 
 
-ARTICLE = {"federal": r"(?:Art\.|Artikel)\s*(\d+[a-z]?(?:bis|ter|quater)?)", "cantonal": r"§\s*(\d+[a-z]?(?:bis|ter|quater)?)"}
+#: Marks of articles at the beginning of a line. (?d): only a line feed ends a line; (?U): as letters and blanks of any script.
+ARTICLE = {
+    "federal": r"(?:Art\.|Artikel)\s+(\d+[a-z]?(?:bis|ter|quater|quinquies|sexies)?)\b",
+    "cantonal": r"(?:§|Art\.|Artikel)\s*(\d+[a-z]?(?:bis|ter|quater)?)\b",
+}
 
 
 def split_articles(df: DataFrame, text: str, style: str = "federal") -> DataFrame:
-    """A row for each article: article_no, body; text before the first stays as preamble if it is over 200 characters."""
-    mark = ARTICLE[style]
-    parts = F.split(text, rf"(?m)(?=^{mark})")
-    rows = df.select("*", F.posexplode(parts).alias("part_no", "_body"))
-    number = F.regexp_extract("_body", rf"^{mark}", 1)
-    rows = rows.withColumn("article_no", F.when(number != "", number).otherwise("preamble")).withColumn("body", F.btrim("_body", F.lit(" \n\r\t")))
-    alone = F.size(parts) == 1
-    return rows.where((F.col("article_no") != "preamble") | alone | (F.length("body") > 200)).drop("_body")
-
-
-def statute_documents(articles: DataFrame, url: str, abbrev: str, style: str = "federal") -> DataFrame:
-    sign, kind = ("Art.", "art") if style == "federal" else ("§", "para")
+    """A row for each article: article_no, body, part_no; what stands before the first is the preamble if it is over
+    200 characters. A text without articles is one preamble.
+    """
+    mark = rf"(?mdU)^[^\S\n]*{ARTICLE[style]}"
+    parts = F.split(F.coalesce(text, F.lit("")), rf"(?mdU)(?=^[^\S\n]*{ARTICLE[style]})")
+    rows = df.select("*", F.posexplode(parts).alias("part_no", "_body"), F.size(parts).alias("_parts"))
+    number = F.regexp_extract("_body", rf"\A{mark}", 1)
+    body = F.regexp_replace("_body", r"(?U)^\s+|\s+$", "")
+    rows = rows.withColumn("article_no", F.when(number != "", number).otherwise("preamble")).withColumn("body", body)
+    return rows.where((F.col("article_no") != "preamble") | (F.col("_parts") == 1) | (F.length("body") > 200)).drop("_body", "_parts")
+
+
+def statute_documents(articles: DataFrame, url: str, name: str, style: str = "federal", publisher: str = "") -> DataFrame:
+    """A document an article: source_url, source_name, title, tags, article_number.
+
+    federal: `name` holds the law's abbreviation; cantonal: its number.
+    """
     preamble = F.col("article_no") == "preamble"
-    return articles.withColumn("source_url", F.when(preamble, F.col(url)).otherwise(F.concat(F.col(url), F.lit(f"#{kind}-"), F.col("article_no")))).withColumn(
-        "title", F.when(preamble, F.col(abbrev)).otherwise(F.concat(F.col(abbrev), F.lit(f" {sign} "), F.col("article_no")))
+    if style == "federal":
+        kind, label, law, tags = "art", F.lit(" Art. "), F.col(name), F.array(F.lower(name))
+    else:
+        kind, label, law, tags = "para", F.lit(" § "), F.concat(F.lit("LS "), F.col(name)), F.array(F.lit("cantonal"), F.get(F.split(name, r"\."), F.lit(0)))
+    part = F.when(preamble, "preamble").otherwise(F.concat(F.lit(f"{kind}-"), F.col("article_no")))
+    return articles.withColumns(
+        {
+            "source_url": F.concat(F.col(url), F.lit("#"), part),
+            "source_name": F.concat(F.lit(f"{publisher} — " if publisher else ""), law),
+            "title": F.when(preamble, F.concat(law, F.lit(" — Präambel"))).otherwise(F.concat(law, label, F.col("article_no"))),
+            "tags": tags,
+            "article_number": F.when(~preamble, F.col("article_no")),
+        }
     )
 
 
 def enrich_district(df: DataFrame, code: str, lookup: DataFrame) -> DataFrame:
     """lookup: (code, district), twelve rows or so. Adds district and the tag kreis-N."""
-    return df.join(F.broadcast(lookup), code, "left").withColumn("district_tag", F.when(F.col("district").isNotNull(), F.concat(F.lit("kreis-"), F.col(code))))
+    return df.join(lookup, code, "left").withColumn("district_tag", F.when(F.col("district").isNotNull(), F.concat(F.lit("kreis-"), F.col(code))))
 
 
 def ingest_summary(chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2_000
+from .chunks import count_tokens, split_sentences
+from .urls import keep_checkpoints
+
+QUERY_BLOCK, AT_ONCE = 32_000, 1_000
 
 
 def wrap_document(text: Column) -> Column:
@@ -34,11 +37,29 @@ def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray],
     return df.withColumn(name, run(F.col(text)))
 
 
+def nearest(matrix: np.ndarray, v: np.ndarray, vec: np.ndarray, best_d: np.ndarray, best_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least (distance, id) of each query, of those so far and of a batch of vectors. Missing ones: infinity."""
+    d = np.concatenate([best_d, np.round(1 - matrix @ v.T, 4) + 0.0], axis=1)
+    ids = np.concatenate([best_id, np.broadcast_to(vec, (len(matrix), len(vec)))], axis=1)
+    # what is no farther than the kth, ties included, is sorted; the rest is not
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    row, column = np.nonzero((d <= edge) & np.isfinite(d))
+    far, own = d[row, column], ids[row, column]
+    order = np.lexsort((own, far, row))
+    row, far, own = row[order], far[order], own[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    keep = place < k
+    best_d, best_id = np.full((len(matrix), k), np.inf), np.zeros((len(matrix), k), np.int64)
+    best_d[row[keep], place[keep]], best_id[row[keep], place[keep]] = far[keep], own[keep]
+    return best_d, best_id
+
+
 def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) of the k nearest by cosine distance, rounded to 4.
 
-    Queries (query_id, embedding) are taken in blocks of a fixed size, each sent to all tasks; a task keeps k rows a
-    query, and those are merged. Distances tie by vec_id. Null and zero vectors match nothing.
+    Queries (query_id, embedding) are taken in blocks of about QUERY_BLOCK rows, each sent to all tasks, which read the
+    vectors once a block; a task keeps k rows a query, and those are merged. Distances tie by vec_id. Null and zero
+    vectors match nothing.
     """
     spark = queries.sparkSession
     vectors = vectors if where is None else vectors.where(where)
@@ -47,27 +68,30 @@ def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | Non
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).where("embedding is not null").select("query_id", "embedding").toArrow()
-        ids = np.array(rows.column("query_id").to_pylist(), np.int64)
-        matrix = np.array(rows.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-        norm = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[norm > 0], matrix[norm > 0] / norm[norm > 0][:, None]
-        sent = spark.sparkContext.broadcast((ids, matrix))
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).where("embedding is not null").select("query_id", F.col("embedding").cast("array<float>")).toArrow()
+        ids = rows.column("query_id").to_numpy()
+        matrix = np.array(rows.column("embedding").to_pylist(), np.float32).reshape(len(ids), -1 if len(ids) else 0)
+        filled = np.linalg.norm(matrix, axis=1) > 0
+        sent = spark.sparkContext.broadcast((ids[filled], matrix[filled]))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, matrix = sent.value
-            best_id, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            if not len(ids):
+                return
+            best_d, best_id = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
             for batch in batches:
                 v = np.array(batch["embedding"].tolist(), np.float64)
-                size = np.linalg.norm(v, axis=1)
-                v, vec = v[size > 0] / size[size > 0][:, None], batch["vec_id"].to_numpy()[size > 0]
-                if not len(v) or not len(ids):
+                size = np.linalg.norm(v, axis=1) if len(v) else np.zeros(0)
+                if not (size > 0).any():
                     continue
-                d = np.concatenate([best_d, np.round(1 - matrix @ v.T, 4) + 0.0], axis=1)
-                i = np.concatenate([best_id, np.broadcast_to(vec, (len(ids), len(vec)))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_d.shape[1]), "vec_id": best_id.ravel(), "distance": best_d.ravel()})
+                v, vec = v[size > 0] / size[size > 0][:, None], batch["vec_id"].to_numpy()[size > 0]
+                for lo in range(0, len(ids), AT_ONCE):
+                    some = slice(lo, lo + AT_ONCE)
+                    part = matrix[some].astype(np.float64)
+                    part /= np.linalg.norm(part, axis=1, keepdims=True)
+                    best_d[some], best_id[some] = nearest(part, v, vec, best_d[some], best_id[some], k)
+            row, column = np.nonzero(np.isfinite(best_d))
+            yield pd.DataFrame({"query_id": ids[row], "vec_id": best_id[row, column], "distance": best_d[row, column]})
 
         some = vectors.mapInPandas(run, "query_id long, vec_id long, distance double")
         found = some if found is None else found.unionByName(some)
@@ -83,28 +107,43 @@ def cite_sources(hits: DataFrame) -> DataFrame:
     return first.groupBy("query_id").agg(F.transform(ordered, lambda x: F.concat_ws(" ", x["source_name"], x["url"])).alias("sources"))
 
 
-def parse_law_query(text: Column, laws: list[str]) -> tuple[Column, Column]:
-    """(article_no, law): the number after Art., Artikel or §; the first listed abbreviation that is a word of the text."""
-    number = F.nullif(F.lower(F.regexp_extract(text, r"(?i)(?:\bart\.?|\bartikel|§)\s*(\d+[a-z]?)", 1)), F.lit(""))
+#: What a question may call a law, and what the law's name holds. The first that a question has counts.
+LAW_NAMES = {
+    "or": "OBLIGATIONENRECHT", "obligationenrecht": "OBLIGATIONENRECHT", "zgb": "ZIVILGESETZBUCH", "zivilgesetzbuch": "ZIVILGESETZBUCH", "bv": "BUNDESVERFASSUNG", "bundesverfassung": "BUNDESVERFASSUNG",
+    "stgb": "STRAFGESETZBUCH", "strafgesetzbuch": "STRAFGESETZBUCH", "stpo": "STRAFPROZESSORDNUNG", "strafprozessordnung": "STRAFPROZESSORDNUNG", "zpo": "ZIVILPROZESSORDNUNG", "zivilprozessordnung": "ZIVILPROZESSORDNUNG",
+    "vrv": "VRV", "verkehrsregeln": "VRV",
+}
+
+
+def parse_law_query(text: Column, laws: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """(article_no, law): the number after Art., Artikel or §; what the first listed law that is a word of the text is called."""
+    number = F.nullif(F.lower(F.regexp_extract(text, r"(?i)(?:art(?:ikel)?\.?\s*|§\s*)(\d+[a-z]?)\b", 1)), F.lit(""))
     law = F.lit(None).cast("string")
-    for name in reversed(laws):
-        law = F.when(F.lower(text).rlike(rf"\b{name.lower()}\b"), F.lit(name)).otherwise(law)
+    for word, name in reversed((LAW_NAMES if laws is None else laws).items()):
+        law = F.when(F.lower(text).rlike(rf"\b{word}\b"), F.lit(name)).otherwise(law)
     return number, law
 
 
 def article_numbers(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bart\.?\s*(\d+[a-z]?)\b"), 1), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bart\.\s*(\d+[a-z]?)\b"), 1), F.lower))
 
 
-def law_article_lookup(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Chunks that name the query's article, of its law if it names one; score 1.0, the first k by chunk_id.
+def law_article_lookup(queries: DataFrame, chunks: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): chunks that name the query's article, of the law it names if any; score 1.0,
+    the first k by chunk_id. Of those k only the ones that `keep` holds for come out.
 
-    Numbers are extracted once and joined on number and law, so that article 1 of every law is many keys.
+    As only the first k count, each (article, law name) keeps its first k chunks before anything is joined. Each
+    distinct question (article, law) is answered once, and the answers, at most k each, are joined with the queries.
     """
-    named = chunks.select("chunk_id", "law_name", "display_text", F.explode(article_numbers(F.col("display_text"))).alias("article_no"))
-    both = queries.where("article_no is not null").select("query_id", "article_no", "law").join(named, "article_no").where("law is null or contains(law_name, law)")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "display_text", F.lit(1.0).alias("score"), "rank")
+    kept = F.lit(True) if keep is None else keep
+    named = chunks.select("chunk_id", "law_name", kept.alias("_keep"), F.explode(article_numbers(F.col("display_text"))).alias("article_no"))
+    first = named.withColumn("_n", F.row_number().over(W.partitionBy("article_no", "law_name").orderBy("chunk_id"))).where(F.col("_n") <= k)
+    asked = queries.where("article_no is not null").select("article_no", F.coalesce("law", F.lit("")).alias("_law"))
+    both = asked.distinct().join(first, "article_no").where((F.col("_law") == "") | F.contains(F.upper(F.coalesce("law_name", F.lit(""))), F.col("_law")))
+    rank = F.row_number().over(W.partitionBy("article_no", "_law").orderBy("chunk_id"))
+    answers = both.withColumn("rank", rank).where((F.col("rank") <= k) & F.col("_keep")).select("article_no", "_law", "chunk_id", "rank")
+    posed = queries.select("query_id", "article_no", F.coalesce("law", F.lit("")).alias("_law"))
+    return posed.join(answers, ["article_no", "_law"]).select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
 
 
 def is_noise_chunk(text: Column) -> Column:
@@ -116,16 +155,22 @@ def is_noise_chunk(text: Column) -> Column:
     return F.coalesce((n > 4) & ((words < n * 5) | (notes > n * 0.3)), F.lit(False))
 
 
-def law_search(queries: DataFrame, chunks: DataFrame, dense: DataFrame, k: int) -> DataFrame:
-    """Keyword hits without noise; queries left with none take the dense hits (five times k, without noise).
+def law_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank, via): keyword hits without noise; queries left with none take the nearest k of
+    five times k chunks by their vectors, without noise, with the distance as score.
 
-    dense: (query_id, chunk_id, score, rank) of a kNN search, from which the noise has yet to go.
+    queries: query_id, article_no, law, embedding; vectors: (vec_id, embedding) of the chunks, by chunk_id. The keyword
+    limit comes before the noise filter, the dense one after it.
     """
-    keyword = law_article_lookup(queries, chunks, k).where(~is_noise_chunk(F.col("display_text"))).select("query_id", "chunk_id", "score", "rank", F.lit("keyword").alias("via"))
-    rest = dense.join(keyword.select("query_id").distinct(), "query_id", "left_anti").where(F.col("rank") <= 5 * k).join(chunks.select("chunk_id", "display_text"), "chunk_id").where(~is_noise_chunk(F.col("display_text")))
+    keyword = law_article_lookup(queries, chunks, k, ~is_noise_chunk(F.col("display_text"))).withColumn("via", F.lit("keyword"))
+    keep_checkpoints(queries.sparkSession)
+    keyword = keyword.checkpoint()
+    rest = queries.join(keyword.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "embedding")
+    near = knn_topk(rest, vectors, 5 * k).withColumnRenamed("vec_id", "chunk_id")
+    good = chunks.where(~is_noise_chunk(F.col("display_text"))).select("chunk_id")
     again = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    rest = rest.withColumn("rank", again).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank", F.lit("dense").alias("via"))
-    return keyword.unionByName(rest)
+    dense = near.join(good, "chunk_id", "left_semi").withColumn("rank", again).where(F.col("rank") <= k)
+    return keyword.unionByName(dense.select("query_id", "chunk_id", F.col("distance").alias("score"), "rank", F.lit("dense").alias("via")))
 
 
 def expand_to_parent(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -136,9 +181,34 @@ def expand_to_parent(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def context_budget(hits: DataFrame, max_k: int, max_tokens: int) -> DataFrame:
-    """The first max_k hits while their running token sum is within the budget."""
+    """The first max_k hits while their running token sum is within the budget.
+
+    With a `text` column the hit that goes beyond it is cut after the last of its sentences that fits, if one does;
+    token_count and running_tokens count what is left.
+    """
     running = F.sum("token_count").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    return hits.where(F.col("rank") <= max_k).withColumn("running_tokens", running).where(F.col("running_tokens") <= max_tokens)
+    rows = hits.where(F.col("rank") <= max_k).withColumn("running_tokens", running)
+    if "text" not in hits.columns:
+        return rows.where(F.col("running_tokens") <= max_tokens)
+    room = F.lit(max_tokens) - (F.col("running_tokens") - F.col("token_count"))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("full"))
+
+    def take(state: Column, sentence: Column) -> Column:
+        n = state["n"] + count_tokens(sentence)
+        full = state["full"] | (n > room)
+        return F.struct(F.when(full, state["kept"]).otherwise(F.concat(state["kept"], F.array(sentence))).alias("kept"), F.when(full, state["n"]).otherwise(n).alias("n"), full.alias("full"))
+
+    cut = F.when(F.col("running_tokens") > max_tokens, F.aggregate(split_sentences(F.col("text")), start, take))
+    rows = rows.where(room > 0).withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.size("_cut.kept") > 0))
+    whole = F.col("_cut").isNull()
+    left = F.when(whole, F.col("token_count")).otherwise(F.col("_cut.n"))
+    return rows.withColumns(
+        {
+            "text": F.when(whole, F.col("text")).otherwise(F.array_join("_cut.kept", " ")),
+            "running_tokens": F.col("running_tokens") - F.col("token_count") + left,
+            "token_count": left,
+        }
+    ).drop("_cut")
 
 
 def flag_empty_retrieval(result: Column, phrases: tuple[str, ...] = ("no results", "keine ergebnisse", "not found")) -> Column:

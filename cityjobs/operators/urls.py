@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,11 +87,38 @@ def cap_per_group(df: DataFrame, group: list[str], n: int, order: list[Column])
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def cap_share(df: DataFrame, category: str, source: str, share: float, order: list[Column]) -> DataFrame:
-    """At most `share` of a category's rows (rounded down, one at least) from any of its sources."""
+def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds each row's number in its group by `order`, from 1, without a task that holds a group.
+
+    Rows are dealt in ranges of (group, order) and sorted; what earlier ranges hold of a group is added to a row's
+    place in its own range. Only one row for each range and group is windowed. `order` must tell a group's rows apart.
+    """
+    keep_checkpoints(df.sparkSession)
+    place = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", place).withColumn("_range", F.spark_partition_id()).checkpoint()
+    parts = dealt.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    earlier = F.sum("_size").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    names = [*group, "_range"]
+    parts = parts.select(*[F.col(c).alias(f"_of_{c}") for c in names], (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    found = dealt.join(parts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
+    return found.select(*df.columns, (F.col("_at") + F.col("_add")).alias(name))
+
+
+def keep_checkpoints(spark: SparkSession) -> None:
+    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def cap_share(df: DataFrame, category: str, source: str, share: float, order: list[str]) -> DataFrame:
+    """At most `share` of a category's rows (rounded down, one at least) from any of its sources, the first by `order`."""
     sizes = df.groupBy(category).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_most"))
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(category, source).orderBy(*order)))
-    return ranked.join(F.broadcast(sizes), category).where(F.col("_n") <= F.col("_most")).drop("_n", "_most")
+    ranked = rank_in_group(df, [category, source], order, "_n")
+    return ranked.join(sizes.withColumnRenamed(category, "_c"), F.col(category).eqNullSafe(F.col("_c"))).where(F.col("_n") <= F.col("_most")).drop("_n", "_most", "_c")
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -105,40 +133,69 @@ def latest_edition(df: DataFrame, key: str, href: str) -> DataFrame:
 
 
 def absolute_link(url: Column, link: Column) -> Column:
-    """Absolute links as they are, /x on the page's host, others null; no fragment, no slash at the end."""
-    base = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    """Absolute links as they are, /x on the page's host by https, others null; no fragment, no slash at the end."""
+    base = F.concat(F.lit("https://"), F.regexp_extract(url, r"^https?://([^/?#]+)", 1))
     full = F.when(link.rlike("^https?://"), link).when(link.startswith("/") & ~link.startswith("//"), F.concat(base, link))
     return F.regexp_replace(F.regexp_replace(full, "#.*$", ""), "/+$", "")
 
 
+HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+
+def hrefs(html: Column) -> Column:
+    """The links of a page in order, quoted in any way, &amp; resolved."""
+    bare = lambda x: F.replace(F.regexp_replace(x, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), 1), bare)
+
+
 def extract_links(pages: DataFrame, url: str, html: str, prefix: str = "") -> DataFrame:
     """(src, dst), one row a distinct link of a page."""
-    found = pages.select(F.col(url).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(r'<a\b[^>]*?\bhref="([^"]*)"'), 1)).alias("link"))
+    found = pages.select(F.col(url).alias("src"), F.explode(hrefs(F.col(html))).alias("link"))
     return found.select("src", absolute_link(F.col("src"), F.col("link")).alias("dst")).where(F.col("dst").startswith(prefix)).distinct()
 
 
-def bfs_reach(links: DataFrame, seeds: DataFrame, max_depth: int, failed: DataFrame | None = None) -> DataFrame:
+def bfs_reach(links: DataFrame, seeds: DataFrame, max_depth: int, failed: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
     """(node, depth) of what `seeds` (node) reach over links (src, dst); failed nodes are neither counted nor expanded.
 
-    One join a level; lineage is cut by checkpoint().
+    With max_pages the first by depth, then by node. One join a level; lineage is cut by checkpoint().
     """
+    keep_checkpoints(links.sparkSession)
     bad = failed.select("node").distinct() if failed is not None else seeds.select("node").where("false")
     edges = links.select("src", "dst").distinct().checkpoint()
-    front = seeds.select("node").distinct().join(bad, "node", "left_anti").withColumn("depth", F.lit(0)).checkpoint()
+
+    def first(level: DataFrame, room: int | None) -> DataFrame:
+        return (level if room is None else level.orderBy("node").limit(room)).checkpoint()
+
+    front = first(seeds.select("node").distinct().join(bad, "node", "left_anti").withColumn("depth", F.lit(0)), max_pages)
     seen = front
     for depth in range(1, max_depth + 1):
+        room = None if max_pages is None else max_pages - seen.count()
+        if room == 0:
+            break
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").join(bad, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = first(step.join(seen, "node", "left_anti").join(bad, "node", "left_anti").withColumn("depth", F.lit(depth)), room)
         if front.isEmpty():
             break
         seen = seen.unionByName(front).checkpoint()
     return seen
 
 
+FOREIGN = r"(?i)/(fr|it|en|rm)/|/lang/(fr|it|en)/|\?(lang|language)=(fr|it|en|rm)"
+
+
 def is_foreign_language_url(url: Column) -> Column:
-    return url.rlike(r"(?i)/(fr|it|en|rm)/|/lang/(fr|it|en|rm)|[?&]lang=(fr|it|en|rm)")
+    return url.rlike(FOREIGN)
+
+
+#: The entities of XML.
+XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 
 def sitemap_urls(df: DataFrame, xml: str) -> DataFrame:
-    """(loc, is_index) of all <loc> entries of landed sitemaps."""
-    return df.select(F.explode(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("loc"), F.col(xml).contains("<sitemapindex").alias("is_index"))
+    """(loc, is_index) of all <loc> entries of landed sitemaps, entities resolved."""
+    loc = F.explode(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("loc")
+    found = df.select(loc, F.col(xml).contains("<sitemapindex").alias("is_index"))
+    text = F.col("loc")
+    for entity, sign in XML_ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return found.select(text.alias("loc"), "is_index")

@@ -61,17 +61,17 @@ def cite_sources(spark, sf_dir):
     return retrieval.cite_sources(hits(spark, sf_dir)).select("query_id", F.array_join("sources", "; ").alias("sources"))
 
 
-LAWS = ["StGB", "OR", "ZGB", "BV"]
-#: Questions made of conversations: every turn asks for an article of a law by its number.
-ASKED = "concat('Was sagt Art. ', turn % 9 + 1, case when conv_id % 3 = 0 then ' OR' when conv_id % 3 = 1 then ' zgb' else '' end, ' zu ', substring(text, 1, 20))"
-LAW = "case when regexp_matches(lower(q), '\\bstgb\\b') then 'StGB' when regexp_matches(lower(q), '\\bor\\b') then 'OR' when regexp_matches(lower(q), '\\bzgb\\b') then 'ZGB' when regexp_matches(lower(q), '\\bbv\\b') then 'BV' end"
-QUERIES_SQL = f"""select query_id, nullif(lower(regexp_extract(q, '(?i)(?:\\bart\\.?|\\bartikel|§)\\s*(\\d+[a-z]?)', 1)), '') as article_no, {LAW} as law
-from (select conv_id * 1000 + turn as query_id, {ASKED} as q from conversations)"""
+#: Questions: each document whose id is divisible by 20, as a whole, after a question for an article of a law or for none.
+ASKED = """concat(case when doc_id % 100 = 0 then 'Was gilt' when doc_id % 3 = 0 then concat('Was sagt Art. ', doc_id % 9 + 1) when doc_id % 3 = 1 then concat('§', doc_id % 9 + 1) else concat('artikel', doc_id % 400 + 1) end,
+case doc_id % 7 when 0 then ' OR' when 1 then ' zgb' when 2 then ' Verkehrsregeln' when 3 then ' orte' else '' end, ' zu ', text)"""
+LAW = "case " + " ".join(f"when regexp_matches(lower(q), '\\b{word}\\b') then '{name}'" for word, name in retrieval.LAW_NAMES.items()) + " end"
+QUERIES_SQL = f"""select query_id, nullif(lower(regexp_extract(q, '(?i)(?:art(?:ikel)?\\.?\\s*|§\\s*)(\\d+[a-z]?)\\b', 1)), '') as article_no, {LAW} as law
+from (select doc_id as query_id, {ASKED} as q from documents where doc_id % 20 = 0)"""
 
 
 def law_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.expr(ASKED).alias("q"))
-    number, law = retrieval.parse_law_query(F.col("q"), LAWS)
+    rows = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.expr(ASKED).alias("q"))
+    number, law = retrieval.parse_law_query(F.col("q"))
     return rows.select("query_id", number.alias("article_no"), law.alias("law"))
 
 
@@ -81,23 +81,24 @@ def parse_law_query(spark, sf_dir):
 
 
 #: Documents as statute articles: number and law from the id, the whole text behind.
-LAW_TEXT = "concat('Art. ', doc_id % 400 + 1, ' ', text)"
-LAW_CHUNKS_SQL = f"select doc_id as chunk_id, case doc_id % 4 when 0 then 'StGB' when 1 then 'OR' when 2 then 'ZGB' else 'BV' end as law_name, {LAW_TEXT} as display_text from documents"
+LAW_TITLES = ["Strafgesetzbuch", "Obligationenrecht (OR)", "Zivilgesetzbuch", "Bundesverfassung"]
+LAW_TEXT = "concat(case when doc_id % 5 = 0 then 'Art ' else 'Art. ' end, doc_id % 400 + 1, case when doc_id % 6 = 0 then 'a ' else ' ' end, text)"
+LAW_CHUNKS_SQL = f"select doc_id as chunk_id, ({LAW_TITLES})[doc_id % 4 + 1] as law_name, {LAW_TEXT} as display_text from documents"
 
 
 def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    law = F.element_at(F.array(*map(F.lit, LAWS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    law = F.element_at(F.array(*map(F.lit, LAW_TITLES)), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), law.alias("law_name"), F.expr(LAW_TEXT).alias("display_text"))
 
 
 LOOKUP_SQL = f"""select query_id, chunk_id, display_text, score, rank from (select query_id, chunk_id, display_text, 1.0::double as score, row_number() over (partition by query_id order by chunk_id) as rank
-from ({QUERIES_SQL}) q join (select *, unnest(list_distinct(list_transform(regexp_extract_all(display_text, '(?i)\\bart\\.?\\s*(\\d+[a-z]?)\\b', 1), lambda x: lower(x)))) as article_no from ({LAW_CHUNKS_SQL})) c
-using (article_no) where law is null or contains(law_name, law)) where rank <= 3"""
+from ({QUERIES_SQL}) q join (select *, unnest(list_distinct(list_transform(regexp_extract_all(display_text, '(?i)\\bart\\.\\s*(\\d+[a-z]?)\\b', 1), lambda x: lower(x)))) as article_no from ({LAW_CHUNKS_SQL})) c
+using (article_no) where law is null or contains(upper(law_name), law)) where rank <= 3"""
 
 
 @query(f"select query_id, chunk_id, score, rank from ({LOOKUP_SQL})")
 def law_article_lookup(spark, sf_dir):
-    return retrieval.law_article_lookup(law_queries(spark, sf_dir), law_chunks(spark, sf_dir), 3).drop("display_text")
+    return retrieval.law_article_lookup(law_queries(spark, sf_dir), law_chunks(spark, sf_dir), 3)
 
 
 NOISE_SQL = """(select n > 4 and (words < n * 5 or notes > n * 0.3) from (select len(l) as n, coalesce(list_sum(list_transform(l, lambda x: len(regexp_split_to_array(x, '\\s+')))), 0) as words,
@@ -109,17 +110,16 @@ def drop_noise_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.is_noise_chunk(F.col("text")).alias("noise"))
 
 
-DENSE_SQL = "select conv_id * 1000 + turn as query_id, d.doc_id as chunk_id, 0.5::double as score, row_number() over (partition by conv_id, turn order by d.doc_id) as rank from conversations join documents d on d.doc_id % 97 = conv_id % 97"
-
-
 @query(f"""with k as (select query_id, chunk_id, score, rank from ({LOOKUP_SQL}) where not {NOISE_SQL.format(t='display_text')}),
-d as (select query_id, chunk_id, score, row_number() over (partition by query_id order by rank) as rank from ({DENSE_SQL}) join ({LAW_CHUNKS_SQL}) using (chunk_id)
-where rank <= 15 and query_id not in (select query_id from k) and not {NOISE_SQL.format(t='display_text')})
+n as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from ({KNN_SQL})),
+d as (select query_id, chunk_id, distance as score, row_number() over (partition by query_id order by rank) as rank from n join ({LAW_CHUNKS_SQL}) on chunk_id = vec_id
+where rank <= 15 and query_id in (select doc_id from documents) and query_id not in (select query_id from k) and not {NOISE_SQL.format(t='display_text')})
 select query_id, chunk_id, score, rank, 'keyword' as via from k union all select query_id, chunk_id, score, rank, 'dense' from d where rank <= 3""")
 def law_search(spark, sf_dir):
-    dense = table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "documents").select("doc_id"), F.expr("doc_id % 97 = conv_id % 97"))
-    dense = dense.selectExpr("conv_id * 1000 + turn as query_id", "doc_id as chunk_id", "cast(0.5 as double) as score", "row_number() over (partition by conv_id, turn order by doc_id) as rank")
-    return retrieval.law_search(law_queries(spark, sf_dir), law_chunks(spark, sf_dir), dense, 3)
+    """Documents whose id is divisible by 20 as questions, with their own vectors, against all documents as statutes."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = law_queries(spark, sf_dir).join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    return retrieval.law_search(asked, law_chunks(spark, sf_dir), vectors, 3)
 
 
 @query("select conv_id as query_id, case when turn % 2 = 1 then turn - 1 else turn end as chunk_id, min(turn) as rank from conversations group by 1, 2")
@@ -136,10 +136,18 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", chunks.count_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"select query_id, rank, running_tokens from (select conv_id as query_id, turn as rank, sum(tokens) over (partition by conv_id order by turn rows unbounded preceding) as running_tokens from ({TURNS_SQL})) where rank <= 6 and running_tokens <= 400")
+#: Running sums over the turns, then over the sentences of the turn that goes beyond the budget.
+BUDGET_SQL = f"""with t as (select conv_id as query_id, turn as rank, text, tokens, sum(tokens) over (partition by conv_id order by turn rows unbounded preceding) as running from (select *, {TOKENS_SQL.format(t='text')} as tokens from conversations) where turn <= 6),
+s as (select query_id, rank, unnest(p) as sentence, unnest(range(1, len(p) + 1)) as i from (select query_id, rank, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+([A-ZÄÖÜ])', '\\1' || chr(31) || '\\2', 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') as p from t where running > 120)),
+c as (select query_id, rank, sum({TOKENS_SQL.format(t='sentence')}) over (partition by query_id, rank order by i rows unbounded preceding) as n from s),
+k as (select t.query_id, t.rank, any_value(t.running - t.tokens) + max(n) as running from c join t using (query_id, rank) where n <= 120 - (t.running - t.tokens) and t.running - t.tokens < 120 group by all)
+select query_id, rank, running as running_tokens from t where running <= 120 union all select query_id, rank, running from k"""
+
+
+@query(BUDGET_SQL)
 def context_budget(spark, sf_dir):
-    rows = turns(spark, sf_dir).selectExpr("conv_id as query_id", "turn as rank", "tokens as token_count")
-    return retrieval.context_budget(rows, 6, 400).select("query_id", "rank", "running_tokens")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text", chunks.count_tokens(F.col("text")).alias("token_count"))
+    return retrieval.context_budget(rows, 6, 120).select("query_id", "rank", "running_tokens")
 
 
 @query("select conv_id, turn, trim(lower(text)) = '' or contains(lower(text), 'no results') or contains(lower(text), 'keine ergebnisse') or contains(lower(text), 'not found') as needs_web from conversations")
@@ -188,6 +196,11 @@ def gap_counts(spark, sf_dir):
     return evals.gap_counts(results(spark, sf_dir))
 
 
+@query(f"select conv_id, connector_gap as gap from ({VERDICTS_SQL}) where connector_gap is not null order by conv_id limit 20")
+def gap_list(spark, sf_dir):
+    return evals.gap_list(results(spark, sf_dir), "connector_gap")
+
+
 @query(f"select conv_id, factual + tone as total from ({VERDICTS_SQL}) order by total, conv_id limit 10")
 def worst_conversations(spark, sf_dir):
     return evals.worst_conversations(results(spark, sf_dir), 10).select("conv_id", "total")
@@ -214,14 +227,30 @@ def regression_check(spark, sf_dir):
     return evals.regression_check(now, now.withColumn("score", F.col("score") + F.when(F.col("axis") == "factual", 1).otherwise(0)))
 
 
-@query("""select conv_id, turn, regexp_matches(text, '\\[\\d+\\]|https?://') as has_citations, length(text) <= 2000 as length_ok, turn % 3 > 0 and role <> 'user' as tools_ok,
-not regexp_matches(text, '(?i)\\b(right now|currently|aktuell|jetzt)\\b') or turn % 3 > 0 as realtime_ok from conversations""")
+REPLY_SQL = "case turn % 5 when 0 then concat(text, ' [Quelle: x]') when 1 then concat('See [this](http://x) ', text) when 2 then concat(text, ' weather now') when 3 then concat('[1] http://x ', text) else concat('Das ist nicht die aktuell ', text) end"
+ASK_SQL = "case conv_id % 3 when 0 then 'Wo ist das und was ist der Plan' when 1 then 'where is the plan and what can you do' else '' end"
+
+
+def count_sql(text: str, lang: str) -> str:
+    words = ", ".join(f"'{w}'" for w in evals.LANGUAGE_WORDS[lang])
+    return f"len(list_filter(string_split(regexp_replace(lower({text}), '[^\\w\\x{{80}}-\\x{{10ffff}}]+', ' ', 'g'), ' '), lambda w: w in ({words})))"
+
+
+def language_sql(text: str) -> str:
+    n = {lang: count_sql(text, lang) for lang in evals.LANGUAGE_WORDS}
+    return f"case when greatest({', '.join(n.values())}) = 0 then null " + " ".join(f"when {c} = greatest({', '.join(n.values())}) then '{lang}'" for lang, c in n.items()) + " end"
+
+
+@query(f"""select conv_id, turn, coalesce({language_sql('ask')} = {language_sql('reply')}, true) as language_ok, regexp_matches(reply, '\\[Quelle:|\\[[^\\]]+\\]\\([^)\\s]+\\)') or contains(lower(reply), 'weather') as has_citations,
+length(reply) <= 2000 as length_ok, turn % 3 > 0 and role <> 'user' as tools_ok, not regexp_matches(reply, '(?i)\\b(right now|currently|aktuell|jetzt)\\b') or turn % 3 > 0 as realtime_ok
+from (select *, {ASK_SQL} as ask, {REPLY_SQL} as reply from conversations)""")
 def hard_checks(spark, sf_dir):
     none = F.array().cast("array<string>")
     rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("reply"), F.when(F.col("turn") % 3 > 0, F.array(F.lit("weather"))).otherwise(none).alias("called"), F.array(F.lit("weather")).alias("expected"), F.when(F.col("role") == "user", F.array(F.lit("weather"))).otherwise(none).alias("forbidden")
+        "conv_id", "turn", F.expr(ASK_SQL).alias("question"), F.expr(REPLY_SQL).alias("reply"), F.when(F.col("turn") % 3 > 0, F.array(F.lit("weather"))).otherwise(none).alias("called"), F.array(F.lit("weather")).alias("expected"),
+        F.when(F.col("role") == "user", F.array(F.lit("weather"))).otherwise(none).alias("forbidden"),
     )
-    return evals.hard_checks(rows, ["weather"]).select("conv_id", "turn", "has_citations", "length_ok", "tools_ok", "realtime_ok")
+    return evals.hard_checks(rows, ["weather"], ["weather"]).select("conv_id", "turn", "language_ok", "has_citations", "length_ok", "tools_ok", "realtime_ok")
 
 
 @query(f"""select conv_id, turn, running from (select *, sum(case when role = 'system' then 0 else tokens end) over (partition by conv_id order by turn desc, role desc rows unbounded preceding) as running,

@@ -14,25 +14,28 @@ HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 RULES = urls.UrlRules(prefixes=("https://",), skip_prefixes=("https://m.",), skip_parts=("utm_source",), skip_extensions=(".pdf", ".html"), min_depth=1, max_depth=3)
 ROUTES = [("/en/", "politics"), ("/fr/", "culture"), ("/de/", "admin"), ("/it/", None)]
 
-#: One chunk a document, in the shape that the audit jobs take. The same in SQL below.
+#: One chunk a document, in the shape that the audit jobs take, with rows for each branch of their rules. The same in SQL below.
 CHUNKS = """
-select cast(doc_id as string) as chunk_id, cast(floor(doc_id / 3) as string) as doc_id, cast(doc_id % 3 as string) as chunk_index,
-  concat(case when doc_id % 11 = 0 then 'ftp://' else 'https://' end, source, '.ch/', lang, '/p', doc_id) as source_url,
-  source, lang as language, case when doc_id % 5 = 0 then 'law' when doc_id % 5 = 1 then 'admin' else 'culture' end as category,
-  case when doc_id % 4 = 0 then 'statute' when doc_id % 4 = 1 then 'procedure' when doc_id % 4 = 2 then 'article' else 'historical' end as doc_type,
-  case when doc_id % 13 = 0 then '' else substring(text, 1, 12) end as heading_path, 'city' as authority,
-  case when doc_id % 17 = 0 then 'Admin/Umzug' else 'admin/umzug' end as subcategory,
-  case when doc_id % 7 = 0 then lower(text) else text end as display_text,
-  case when doc_id % 19 = 0 then 'other' else concat(substring(text, 1, 12), ' ', text) end as embed_text, length(text) as n
+select cast(doc_id as string) as chunk_id, cast(floor(doc_id / 3) as string) as doc_id, case when doc_id % 43 = 0 then 'P01' else cast(doc_id % 3 as string) end as chunk_index,
+  case when doc_id % 53 = 0 then null else concat(case when doc_id % 11 = 0 then 'ftp://' else 'https://' end, source, '.ch/', lang, case when doc_id % 10 = 3 then '/p?language=fr' when doc_id % 10 = 4 then '/p?x=1&lang=fr'
+    when doc_id % 10 = 5 then '/lang/it/p' when doc_id % 10 = 6 then '/lang/rm' else '/p' end, doc_id) end as source_url,
+  source, case when doc_id % 47 = 0 then 'german' else lang end as language, case when doc_id % 29 = 0 then 'culture' when doc_id % 5 = 0 then 'law' when doc_id % 5 = 1 then 'admin' else 'food_drink' end as category,
+  case when doc_id % 41 = 0 then null when doc_id % 4 = 0 then 'statute' when doc_id % 4 = 1 then 'procedure' when doc_id % 4 = 2 then 'article' else 'historical' end as doc_type,
+  case when doc_id % 13 = 0 then ' ' when doc_id % 59 = 0 then null else substring(text, 1, 12) end as heading_path, case when doc_id % 23 = 0 then 'official' when doc_id % 2 = 0 then 'wikipedia' else 'private' end as authority,
+  case when doc_id % 37 = 0 then 'poem' else 'prose' end as chunk_shape,
+  case when doc_id % 17 = 0 then 'Admin/Umzug' when doc_id % 31 = 0 then 'admin' when doc_id % 61 = 0 then 'a/b/c' when doc_id % 3 = 0 then null else 'food_drink/x_1' end as subcategory,
+  case when doc_id % 7 = 0 then lower(text) when doc_id % 7 = 1 then concat('  ', lower(text)) else text end as display_text,
+  case when doc_id % 19 = 0 then 'other' when doc_id % 19 = 1 then concat('x ', substring(text, 1, 12), ' ', text) when doc_id % 19 = 2 then null else concat(' ', substring(text, 1, 12), ' ', text) end as embed_text, length(text) as n
 from docs
 """
 CHUNKS_SQL = CHUNKS.replace("as string", "as varchar").replace("from docs", "from documents").replace("floor(doc_id / 3)", "doc_id // 3")
 TOKENS_SQL = "case when trim(regexp_replace({t}, '\\s+', ' ', 'g')) = '' or {t} is null then 0 else greatest(1, cast(floor(len(string_split(trim(regexp_replace({t}, '\\s+', ' ', 'g')), ' ')) * 1.3) as int)) end"
+#: heading, display and embed text as the audit reads them: null as empty, blanks in front left out.
 FLAGS_SQL = f"""
-select *, trim(heading_path) = '' as f1, not regexp_matches(source_url, '^https?://') as f2,
-  cast(chunk_index as int) > 0 and doc_type <> 'statute' and regexp_matches(display_text, '^[a-zäöüß]{{3,}}') as f3,
-  heading_path <> '' and starts_with(ltrim(display_text), heading_path) as f4, heading_path <> '' and not contains(embed_text, heading_path) as f5
-from ({CHUNKS_SQL})
+select *, not regexp_matches(h, '\\S') as f1, not coalesce(regexp_matches(source_url, '^https?://'), false) as f2,
+  coalesce(try_cast(chunk_index as int), 0) > 0 and doc_type is distinct from 'statute' and regexp_matches(d, '^[a-zäöüß]{{3}}') as f3,
+  h <> '' and starts_with(d, h) as f4, h <> '' and not starts_with(e, h) as f5
+from (select *, coalesce(heading_path, '') as h, regexp_replace(coalesce(display_text, ''), '^\\s+', '') as d, regexp_replace(coalesce(embed_text, ''), '^\\s+', '') as e from ({CHUNKS_SQL}))
 """
 FAILS_SQL = " union all ".join(f"select category, source, chunk_id, '{name}' as \"check\" from ({FLAGS_SQL}) where f{i}" for i, name in enumerate(audit.CHECKS, 1))
 
@@ -89,7 +92,7 @@ def cap_per_source(spark, sf_dir):
 @query("""select doc_id, lang, source from (select doc_id, lang, source, row_number() over (partition by lang, source order by doc_id) n,
 greatest(1, floor(count(*) over (partition by lang) * 0.05)) most from documents) where n <= most""")
 def cap_group_share(spark, sf_dir):
-    return urls.cap_share(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source", 0.05, [F.col("doc_id")])
+    return urls.cap_share(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source", 0.05, ["doc_id"])
 
 
 @query("select lang, count(*) as n from documents group by lang")
@@ -103,9 +106,11 @@ def latest_edition(spark, sf_dir):
     return urls.latest_edition(pages_of(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.col("url").alias("href")), "host", "href")
 
 
-LINKS_SQL = """select distinct src, dst from (select src, regexp_replace(regexp_replace(case when regexp_matches(link, '^https?://') then link
-when starts_with(link, '/') and not starts_with(link, '//') then regexp_extract(src, '^(https?://[^/?#]+)', 1) || link end, '#.*$', ''), '/+$', '') as dst
-from (select url as src, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"]*)"', 1)) as link from pages)) where dst is not null"""
+HREF_SQL = urls.HREF.replace("'", "''")
+LINK_LIST_SQL = f"list_transform(regexp_extract_all(html, '{HREF_SQL}', 1), lambda x: replace(regexp_replace(x, '^[\"'']|[\"'']$', '', 'g'), '&amp;', '&'))"
+LINKS_SQL = f"""select distinct src, dst from (select src, regexp_replace(regexp_replace(case when regexp_matches(link, '^https?://') then link
+when starts_with(link, '/') and not starts_with(link, '//') then 'https://' || regexp_extract(src, '^https?://([^/?#]+)', 1) || link end, '#.*$', ''), '/+$', '') as dst
+from (select url as src, unnest({LINK_LIST_SQL}) as link from pages)) where dst is not null"""
 
 
 @query(LINKS_SQL)
@@ -113,35 +118,36 @@ def extract_links(spark, sf_dir):
     return urls.extract_links(pages_of(spark, sf_dir), "url", "html")
 
 
-@query("""with recursive e as (select distinct c_nationkey as src, s_nationkey as dst from orders join customer on o_custkey = c_custkey
-join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey),
-r as (select 1 as node, 0 as depth union select e.dst, r.depth + 1 from r join e on r.node = e.src where r.depth < 3 and e.dst not in (5, 6))
-select cast(node as bigint) as node, min(depth) as depth from r group by node""")
-def crawl_reachability(spark, sf_dir):
-    """Links of a trade graph: nations of customers and of their suppliers."""
-    t = lambda n: table(spark, sf_dir, n)
-    trade = t("orders").join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("lineitem"), F.expr("l_orderkey = o_orderkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
-    edges = trade.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
-    keep_checkpoints(spark)
-    return urls.bfs_reach(edges, spark.range(1, 2).select(F.col("id").alias("node")), 3, spark.range(5, 7).select(F.col("id").alias("node")))
+#: Links in the order of a page's menu: from each to the next. Failed: targets of three characters.
+MENU_SQL = f"select unnest(l[:-2]) as src, unnest(l[2:]) as dst from (select {LINK_LIST_SQL} as l from pages) where len(l) > 1"
+
 
+@query(f"""with recursive e as (select distinct src, dst from ({MENU_SQL})), s as (select min(src) as node from e where length(src) <> 3),
+r as (select node, 0 as depth from s union select e.dst, r.depth + 1 from r join e on r.node = e.src where r.depth < 4 and length(e.dst) <> 3)
+select node, depth from (select node, min(depth) as depth from r group by node) order by depth, node limit 60""")
+def crawl_reachability(spark, sf_dir):
+    """What the first target reaches over the links that follow each other on pages."""
+    menus = pages_of(spark, sf_dir).select(urls.hrefs(F.col("html")).alias("l")).where("size(l) > 1")
+    steps = F.arrays_zip(F.slice("l", 1, F.size("l") - 1).alias("src"), F.slice("l", F.lit(2), F.size("l")).alias("dst"))
+    edges = menus.select(F.explode(steps).alias("e")).select("e.src", "e.dst")
+    failed = edges.select(F.col("dst").alias("node")).where("length(node) = 3")
+    return urls.bfs_reach(edges, edges.where("length(src) <> 3").agg(F.min("src").alias("node")), 4, failed, 60)
 
-def keep_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints")
+FOREIGN_SQL = f"regexp_matches({{url}}, '{urls.FOREIGN}')"
 
 
-@query("select page_id, regexp_matches(url, '(?i)/(fr|it|en|rm)/|/lang/(fr|it|en|rm)|[?&]lang=(fr|it|en|rm)') as foreign_language from pages")
+@query(f"select page_id, {FOREIGN_SQL.format(url='u')} as foreign_language from (select page_id, url || case page_id % 6 when 0 then '?language=fr' when 1 then '&lang=fr' when 2 then '/lang/rm' when 3 then '/lang/it/' else '' end as u from pages)")
 def flag_non_german(spark, sf_dir):
-    return pages_of(spark, sf_dir).select("page_id", urls.is_foreign_language_url(F.col("url")).alias("foreign_language"))
+    more = F.expr("concat(url, case page_id % 6 when 0 then '?language=fr' when 1 then '&lang=fr' when 2 then '/lang/rm' when 3 then '/lang/it/' else '' end)")
+    return pages_of(spark, sf_dir).select("page_id", urls.is_foreign_language_url(more).alias("foreign_language"))
 
 
-@query("""select distinct loc, is_index from (select unnest(regexp_extract_all(x, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1)) as loc, contains(x, '<sitemapindex') as is_index
-from (select '<urlset><url><loc>' || url || '</loc></url></urlset>' as x from pages where not contains(url, '&')))""")
+@query("select distinct url || case when page_id % 5 = 0 then '?a<b' else '' end as loc, page_id % 7 = 0 as is_index from pages")
 def sitemap_urls(spark, sf_dir):
-    landed = pages_of(spark, sf_dir).where(~F.col("url").contains("&")).select(F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url></urlset>")).alias("xml"))
+    url = F.expr("replace(replace(concat(url, case when page_id % 5 = 0 then '?a<b' else '' end), '&', '&amp;'), '<', '&lt;')")
+    kind = F.when(F.col("page_id") % 7 == 0, "sitemapindex").otherwise("urlset")
+    landed = pages_of(spark, sf_dir).select(F.concat(F.lit("<"), kind, F.lit("><url>\n<loc> "), url, F.lit(" </loc></url></"), kind, F.lit(">")).alias("xml"))
     return urls.sitemap_urls(landed, "xml").distinct()
 
 
@@ -153,7 +159,7 @@ def extract_sections(spark, sf_dir):
 
 @query()
 def normalise_html(spark, sf_dir):
-    profile = pages.HtmlProfile(drop=frozenset({"ad"}), rename={"article": "main"}, title_suffix=".")
+    profile = pages.HtmlProfile(drop=frozenset({"ad"}), rename={"article": "main"}, title_suffix=".", bogus=frozenset({"navigation"}), title_from="og")
     found = pages.extract_sections(pages_of(spark, sf_dir), "html", profile)
     return found.select("page_id", "title", F.size("sections").alias("n_sections"), "full_text")
 
@@ -168,9 +174,13 @@ def min_text_filter(spark, sf_dir):
     return pages.min_text(table(spark, sf_dir, "documents"), "source", "text", 300).select("doc_id")
 
 
-@query("select doc_id from documents where regexp_matches(substr(text, 1, 1000), '\\b8\\d{3}\\b')")
+PLACE_SQL = "substr(text, 1, cast(900 + doc_id % 150 as int)) || case doc_id % 4 when 0 then ' 8004 Zürich' when 1 then ' 18004' when 2 then ' 8004x' else '\n8001' end"
+
+
+@query(f"select doc_id from (select doc_id, {PLACE_SQL} as t from documents) where regexp_matches(substr(t, 1, 1000), '\\b8\\d{{3}}\\b')")
 def postcode_filter(spark, sf_dir):
-    return pages.region_filter(table(spark, sf_dir, "documents"), "text").select("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(PLACE_SQL).alias("text"))
+    return pages.region_filter(rows, "text").select("doc_id")
 
 
 @query("select doc_id, case when length(string_split(text, chr(10))[1]) >= 200 then string_split(text, chr(10))[1] else text end as body from documents")
@@ -185,12 +195,19 @@ def classify_doc_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pages.classify_doc_type(heading, F.col("text")).alias("doc_type"))
 
 
-KEYWORDS = ["schule", "the", "ment", "ción", "ung"]
+KEYWORDS = ["schule", "the", "ment", "ción", "ung", "dé"]
+SEEN_SQL = "lower(' ' || source || ' ' || substr(text, 1, 500) || ' ')"
 
 
-@query(f"""select doc_id, array_to_string(list_filter({KEYWORDS}, lambda k: contains(lower(' ' || source || ' ' || substr(text, 1, 500) || ' '), k)), ',') as tags from documents""")
+@query(f"""select doc_id, array_to_string(list_filter({KEYWORDS}, lambda k: contains({SEEN_SQL}, k)), ',') as plain,
+array_to_string(list_filter({KEYWORDS}, lambda k: contains({SEEN_SQL}, ' ' || k || ' ') or contains({SEEN_SQL}, k || 'en ')), ',') as words,
+array_to_string(list_sort(list_distinct(list_append(list_transform(list_filter(['über', 'no más', 'für', 'au'], lambda k: contains({SEEN_SQL}, k)), lambda k: replace(replace(k, 'ü', 'ue'), ' ', '_')), 'kreis_' || doc_id % 12))), ',') as fixed from documents""")
 def tag_keywords(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(pages.tag_keywords(F.col("source"), F.col("text"), KEYWORDS), ",").alias("tags"))
+    tags = lambda *a, **k: F.array_join(pages.tag_keywords(F.col("source"), F.col("text"), *a, **k), ",")
+    fixed = F.array(F.concat(F.lit("kreis_"), F.col("doc_id") % 12))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", tags(KEYWORDS).alias("plain"), tags(KEYWORDS, mode="word", suffix="en").alias("words"), tags(["über", "no más", "für", "au"], fold=True, ordered=True, fixed=fixed).alias("fixed")
+    )
 
 
 @query("select doc_id, case when contains(substr(text, 1, 800), 'heit') then '18th' when contains(substr(text, 1, 800), 'tion') then '19th' end as period from documents")
@@ -212,7 +229,8 @@ def drop_tail_sections(spark, sf_dir):
 
 @query()
 def clean_pdf_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 1000).alias("doc"), F.col("doc_id").alias("page_no"), pages.clean_page_text(F.col("text")).alias("text"))
+    """Eight documents in a row as the pages of one: groups keep their size on tables of any size."""
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 8").alias("doc"), F.col("doc_id").alias("page_no"), pages.clean_page_text(F.col("text")).alias("text"))
     return pages.join_pages(rows, "doc", "page_no", "text").select("doc", F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
 
 
@@ -230,23 +248,47 @@ def match_law_metadata(spark, sf_dir):
     return pages.match_longest_key(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", "s_suppkey", keys).select("s_suppkey", "key")
 
 
+#: Documents as laws: article marks of every kind before the lines, the first line bare.
+MARKED = """case when i = 1 then x when i % 6 = 0 then concat('  Art. ', i, 'bis ', x) when i % 6 = 1 then concat('Artikel ', i, 'a ', x) when i % 6 = 2 then concat('Art. ', i, 'quinquies ', x)
+when i % 6 = 3 then concat('Art. ', i, 'xy ', x) when i % 6 = 4 then concat('Art.', i, ' ', x) else concat('§ ', i, ' ', x) end"""
+MARKED_SQL = f"select doc_id, i, m, {MARKED} as x from (select doc_id, unnest(l) as x, unnest(range(1, len(l) + 1)) as i, len(l) as m from (select doc_id, string_split(text, chr(10)) as l from documents))"
+#: Lines that begin an article, by style, and its number.
+NUMBERS = {"federal": "case when i = 1 then null when i % 6 = 0 then i || 'bis' when i % 6 = 1 then i || 'a' when i % 6 = 2 then i || 'quinquies' end", "cantonal": "case when i = 1 then null when i % 6 = 0 then i || 'bis' when i % 6 = 1 then i || 'a' when i % 6 in (4, 5) then cast(i as varchar) end"}
+
+
+def articles_sql(style: str) -> str:
+    """Articles as runs of lines that begin with a marked one; the run before the first is the preamble."""
+    runs = f"select *, count(no) over (partition by doc_id order by i) as part from (select *, {NUMBERS[style]} as no from ({MARKED_SQL}))"
+    rows = f"select doc_id, part, max(no) as no, max(part) over (partition by doc_id) as parts, regexp_replace(string_agg(x, chr(10) order by i), '^\\s+|\\s+$', '', 'g') as body from ({runs}) group by doc_id, part"
+    return f"select doc_id, coalesce(no, 'preamble') as article_no, body from ({rows}) where no is not null or parts = 0 or length(body) > 200"
+
+
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as laws: a line-start article mark before every line but the first."""
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("Art. "), i, F.lit(" "), x))), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", numbered.alias("text"), F.concat(F.lit("local://"), "source").alias("url"), F.upper("source").alias("abbrev"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(lines).alias("at", "l")).select("doc_id", "source", "at", "l.*")
+    marked = F.array_sort(F.collect_list(F.struct("at", F.expr(MARKED).alias("x"))))
+    whole = rows.groupBy("doc_id", "source").agg(F.array_join(F.transform(marked, lambda r: r["x"]), "\n").alias("text"))
+    return whole.select("doc_id", "text", F.concat(F.lit("local://"), "source").alias("url"), F.upper("source").alias("abbrev"), F.concat(F.col("doc_id") % 900, F.lit(".1")).alias("ls_number"))
 
 
-@query("""select doc_id, case when i = 1 then 'preamble' else cast(i - 1 as varchar) end as article_no, count(*) as n from (select doc_id, unnest(l) as x, unnest(range(1, len(l) + 1)) as i, len(l) as m
-from (select doc_id, string_split(text, chr(10)) as l from documents)) where i > 1 or m = 1 or length(trim(x)) > 200 group by all""")
+@query(f"select 'federal' as style, doc_id, article_no, sha1(body) as body_sha1 from ({articles_sql('federal')}) union all select 'cantonal', doc_id, article_no, sha1(body) from ({articles_sql('cantonal')})")
 def split_statute_articles(spark, sf_dir):
-    found = pages.split_articles(statutes(spark, sf_dir), "text")
-    return found.groupBy("doc_id", "article_no").agg(F.count("*").alias("n"))
+    rows = statutes(spark, sf_dir)
+    found = [pages.split_articles(rows, "text", style).select(F.lit(style).alias("style"), "doc_id", "article_no", F.sha1(F.col("body").cast("binary")).alias("body_sha1")) for style in ("federal", "cantonal")]
+    return found[0].unionByName(found[1])
 
 
-@query()
+@query(f"""select doc_id, 'local://' || source || '#' || case when article_no = 'preamble' then article_no else 'art-' || article_no end as source_url, 'P — ' || upper(source) as source_name,
+upper(source) || case when article_no = 'preamble' then ' — Präambel' else ' Art. ' || article_no end as title, source as tags, nullif(article_no, 'preamble') as article_number, length(body) as n_chars from ({articles_sql('federal')}) join documents using (doc_id)
+union all select doc_id, 'local://' || source || '#' || case when article_no = 'preamble' then article_no else 'para-' || article_no end, 'LS ' || doc_id % 900 || '.1',
+'LS ' || doc_id % 900 || '.1' || case when article_no = 'preamble' then ' — Präambel' else ' § ' || article_no end, 'cantonal,' || doc_id % 900, nullif(article_no, 'preamble'), length(body) from ({articles_sql('cantonal')}) join documents using (doc_id)""")
 def build_statute_docs(spark, sf_dir):
-    found = pages.statute_documents(pages.split_articles(statutes(spark, sf_dir), "text"), "url", "abbrev")
-    return found.select("doc_id", "source_url", "title", F.length("body").alias("n_chars"))
+    rows = statutes(spark, sf_dir)
+    found = [
+        pages.statute_documents(pages.split_articles(rows, "text", style), "url", name, style, publisher).select("doc_id", "source_url", "source_name", "title", F.array_join("tags", ",").alias("tags"), "article_number", F.length("body").alias("n_chars"))
+        for style, name, publisher in (("federal", "abbrev", "P"), ("cantonal", "ls_number", ""))
+    ]
+    return found[0].unionByName(found[1])
 
 
 @query("""select s_suppkey, n_name as district, case when n_name is not null then 'kreis-' || s_nationkey end as district_tag from supplier left join nation on n_nationkey = s_nationkey and n_regionkey < 3""")
@@ -306,10 +348,15 @@ def heading_and_embed_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("heading_path"), chunks.embed_text(path, F.col("text")).alias("embed_text"))
 
 
-@query("select reasons, count(*) as n from (select concat_ws(',', case when doc_id % 17 = 0 then 'subcategory' end, case when doc_id % 13 = 0 then 'heading_path' end) as reasons from documents) where reasons <> '' group by reasons")
+@query(f"""select reasons, count(*) as n from (select concat_ws(',', case when coalesce(doc_type, '') not in ('article', 'procedure', 'reference', 'statute', 'historical') then 'doc_type' end,
+case when authority not in ('federal', 'cantonal', 'city', 'wikipedia', 'community', 'private') then 'authority' end,
+case when category not in ('admin', 'housing', 'mobility', 'health', 'emergency', 'education', 'civic', 'leisure', 'food_drink', 'neighborhoods', 'law') then 'category' end,
+case when chunk_shape not in ('prose', 'table', 'list', 'code') then 'chunk_shape' end, case when subcategory is not null and not regexp_full_match(subcategory, '[a-z_]+/[a-z0-9_]+') then 'subcategory' end,
+case when not regexp_full_match(language, '[a-z]{{2,3}}') then 'language' end, case when trim(coalesce(heading_path, '')) = '' then 'heading_path' end) as reasons from ({CHUNKS_SQL})) group by reasons""")
 def validate_chunks(spark, sf_dir):
-    bad = chunks.validate_chunks(chunk_rows(spark, sf_dir))[1]
-    return bad.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+    good, bad = chunks.validate_chunks(chunk_rows(spark, sf_dir))
+    reasons = bad.select(F.array_join("reasons", ",").alias("reasons")).unionByName(good.select(F.lit("").alias("reasons")))
+    return reasons.groupBy("reasons").agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, true as ok from documents where length(text) > 0 and doc_id % 9 > 0")
@@ -323,7 +370,9 @@ def chunk_to_json(spark, sf_dir):
     return chunks.to_jsonl(table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(None).cast("string").alias("district")))
 
 
-@query(f'select category, source, "check", count(*) as fails from ({FAILS_SQL}) group by grouping sets ((category, source, "check"), ("check"), ())')
+@query(f"""with f as ({FAILS_SQL}), t as (select category, source, count(*) as total from ({CHUNKS_SQL}) group by all), a as (select sum(total) as total from t)
+select f.category, f.source, "check", count(*) as fails, any_value(t.total) as total, round(100 * count(*) / any_value(t.total), 2) as pct from f join t on f.category = t.category and f.source = t.source group by f.category, f.source, "check"
+union all select null, null, "check", count(*), any_value(a.total), round(100 * count(*) / any_value(a.total), 2) from f, a group by "check" union all select null, null, null, count(*), any_value(a.total), round(100 * count(*) / any_value(a.total), 2) from f, a""")
 def audit_fail_counts(spark, sf_dir):
     return audit.audit_summary(chunk_rows(spark, sf_dir))
 
@@ -346,7 +395,8 @@ def audit_token_histogram(spark, sf_dir):
     return audit.token_histogram(chunk_rows(spark, sf_dir))
 
 
-@query(f"""select chunk_id, "check" from (select *, row_number() over (partition by "check" order by chunk_id) n from ({FAILS_SQL})) where n <= case when "check" = 'mid_word' then 10 else 5 end""")
+@query(f"""select chunk_id, "check" from (select *, row_number() over (partition by "check" order by chunk_id) n from ({FAILS_SQL} union all select category, source, chunk_id, 'oversize' from ({CHUNKS_SQL}) where {TOKENS_SQL.format(t='display_text')} > 1000))
+where n <= case when "check" in ('mid_word', 'oversize') then 10 else 5 end""")
 def audit_examples(spark, sf_dir):
     return audit.audit_examples(chunk_rows(spark, sf_dir))
 
@@ -365,11 +415,11 @@ def unwanted_section():
     return audit.is_unwanted_section(F.col("source_url"), F.col("source"), "src1", ["/p1"], ["/de/", "/es/"])
 
 
-REASON_SQL = """case when regexp_matches(source_url, '(?i)/(fr|it|en|rm)/|/lang/(fr|it|en|rm)|[?&]lang=(fr|it|en|rm)') then 'foreign_language'
+REASON_SQL = f"""case when {FOREIGN_SQL.format(url='source_url')} then 'foreign_language'
 when source = 'src1' and not contains(source_url, '/p1') and (contains(source_url, '/de/') or contains(source_url, '/es/')) then 'unwanted_section' end"""
 
 
-@query(f"select chunk_id, source = 'src1' and not contains(source_url, '/p1') and (contains(source_url, '/de/') or contains(source_url, '/es/')) as unwanted from ({CHUNKS_SQL})")
+@query(f"select chunk_id, coalesce(source = 'src1' and not contains(source_url, '/p1') and (contains(source_url, '/de/') or contains(source_url, '/es/')), false) as unwanted from ({CHUNKS_SQL})")
 def flag_unwanted_section(spark, sf_dir):
     return chunk_rows(spark, sf_dir).select("chunk_id", unwanted_section().alias("unwanted"))
 

@@ -2,55 +2,95 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import opendata
+from ..operators import chunks, opendata
+from ..operators.urls import shared_folder
+from ..sources import files
 from ..streaming import jobs
+from .corpus import CHUNKS_SQL, TOKENS_SQL, chunk_rows
 from .registry import query, table
 
 LINES = "lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
-CRIME_SQL = f"select year(o_orderdate) as year, n_name as district, 'Zurich' as municipality, l_returnflag || l_linestatus as title, cast(l_quantity as bigint) as offences, l_tax as frequency from {LINES}"
+#: Districts of some rows, none of others; years from 1996 on have no district at all, so that the city's rows count.
+CRIME = """year(o_orderdate) as year, case when year(o_orderdate) % 2 = 0 and n_nationkey % 5 = 4 then null when year(o_orderdate) % 2 = 0 or n_nationkey % 5 = 0 then '' else concat('Kreis ', n_nationkey % 12 + 1) end as district,
+case when n_nationkey % 3 = 0 then 'ZÜRICH' when n_nationkey % 3 = 1 then 'Zurich' else 'Winterthur' end as municipality, concat(l_returnflag, l_linestatus) as title, cast(l_quantity as bigint) as offences, l_tax * 100 as frequency"""
+CRIME_SQL = f"select {CRIME} from {LINES}"
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    lookup = t("customer").join(F.broadcast(t("nation")), F.expr("c_nationkey = n_nationkey")).select("c_custkey", "n_name", "n_regionkey")
+    lookup = t("customer").join(F.broadcast(t("nation")), F.expr("c_nationkey = n_nationkey")).select("c_custkey", "n_name", "n_regionkey", "n_nationkey")
     return t("lineitem").join(t("orders"), F.expr("l_orderkey = o_orderkey")).join(lookup, F.expr("o_custkey = c_custkey"))
 
 
-@query(f"with c as ({CRIME_SQL}) select district, title, sum(offences) as offences, round(avg(frequency), 6) as frequency from c where year = (select max(year) from c) group by all")
+def crime_sql(test: str) -> str:
+    return f"""with c as (select * from ({CRIME_SQL}) where {test}), l as (select * from c where year = (select max(year) from c)), h as (select coalesce(bool_or(coalesce(district, '') <> ''), false) as has from l)
+select case when district = '' then 'Gesamt' else district end as district, title, sum(offences) as offences, round_even(avg(frequency), 1) as frequency from l, h where case when has then coalesce(district, '') <> '' else contains(lower(municipality), 'rich') and district is not null end group by all"""
+
+
+@query(" union all ".join(f"select {k} as part, * from ({crime_sql(test)})" for k, test in enumerate(("year <= 1997", "year <= 1996"))) + f" union all select 2, * from ({crime_sql('year <= 1997')}) where district = 'Kreis 1' and contains(lower(title), 'r')")
 def crime_stats(spark, sf_dir):
-    rows = joined(spark, sf_dir).selectExpr("year(o_orderdate) as year", "n_name as district", "'Zurich' as municipality", "concat(l_returnflag, l_linestatus) as title", "cast(l_quantity as bigint) as offences", "l_tax as frequency")
-    return opendata.crime_stats(rows)
+    """With districts, without any, and of one district and category."""
+    rows = joined(spark, sf_dir).selectExpr(*split_columns(CRIME))
+    found = [opendata.crime_stats(rows.where("year <= 1997")), opendata.crime_stats(rows.where("year <= 1996")), opendata.crime_stats(rows.where("year <= 1997"), "kreis 1", "R")]
+    found = [df.select(F.lit(k).alias("part"), "district", "title", "offences", "frequency") for k, df in enumerate(found)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def split_columns(sql: str) -> list[str]:
+    """The columns of a select list: cut at commas outside brackets."""
+    out, depth, start = [], 0, 0
+    for i, sign in enumerate(sql):
+        depth += (sign == "(") - (sign == ")")
+        if sign == "," and not depth:
+            out.append(sql[start:i])
+            start = i + 1
+    return [*out, sql[start:]]
+
 
+RENT = "p_size % 5 + 2020 as year, case when p_partkey % 4 = 0 then 'gross' else 'net' end as price_kind, case when p_partkey % 7 = 0 then 'house' else 'flat' end as unit, p_partkey % 3 = 0 as nonprofit, p_type as area, p_brand as area_group, cast(p_size % 4 as {text}) as rooms, p_retailprice as qu25, case when p_partkey % 5 > 0 then p_retailprice * 1.25 end as qu50, p_retailprice * 1.5 as qu75, p_retailprice * 1.3 as mean"
+RENT_SQL = f"with r as (select {RENT.format(text='varchar')} from part), l as (select * from r where year = (select max(year) from r) and price_kind = 'net' and unit = 'flat')"
+RENT_OUT = "year, area, rooms, " + ", ".join(f"cast(round_even({c}, 0) as bigint) as {c}" for c in ("qu25", "qu50", "mean", "qu75"))
 
-@query("""with r as (select p_size % 5 + 2020 as year, p_type as area, p_brand as area_group, cast(p_size % 4 as varchar) as rooms, p_retailprice from part)
-select area, rooms, cast(round(p_retailprice) as bigint) as qu25, cast(round(p_retailprice * 1.25) as bigint) as qu50, cast(round(p_retailprice * 1.5) as bigint) as qu75 from r
-where year = (select max(year) from r) and contains(lower(area_group), 'brand#1')""")
+
+@query(f"""{RENT_SQL} select 0 as part, {RENT_OUT} from l where not nonprofit and contains(lower(area_group), 'brand#1') union all select 1, {RENT_OUT} from l where nonprofit and rooms = '0' and contains(lower(area), 'ium')
+union all select 2, {RENT_OUT} from l where not nonprofit and rooms = '3'""")
 def rent_prices(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr(
-        "p_size % 5 + 2020 as year", "'net' as price_kind", "'flat' as unit", "false as nonprofit", "p_type as area", "p_brand as area_group", "cast(p_size % 4 as string) as rooms", "p_retailprice as qu25", "p_retailprice * 1.25 as qu50", "p_retailprice * 1.5 as qu75"
-    )
-    return opendata.rent_prices(rows, "Brand#1")
+    """By a group's name, as no area has it; by an area's name and rooms; by rooms alone."""
+    rows = table(spark, sf_dir, "part").selectExpr(*split_columns(RENT.format(text="string")))
+    found = [opendata.rent_prices(rows, "Brand#1"), opendata.rent_prices(rows, "IUM", "0", True), opendata.rent_prices(rows, rooms="3")]
+    found = [df.withColumn("part", F.lit(k)) for k, df in enumerate(found)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("""with r as (select user_id % 40 as location, event_type as parameter, ts, event_id, case when value > 3 then value end as value, 50.0 as max_value from events),
-l as (select location, parameter, arg_max(value, (ts, event_id)) filter (where value is not null) as value, max(max_value) as max_value from r group by all)
-select location, parameter, value, max_value, coalesce(value <= max_value, true) as ok, bool_and(coalesce(value <= max_value, true)) over (partition by location) as all_ok from l""")
+@query("""with r as (select user_id % 40 as location, event_type as parameter, ts, event_id, case when value > 3 then value end as value, case when user_id % 40 < 30 then 95.0 end as max_value from events),
+l as (select location, parameter, arg_max(value, (ts, event_id)) filter (where value is not null) as value, max(max_value) as max_value from r where contains(parameter, 'i') group by all)
+select location, parameter, value, max_value, coalesce(value <= max_value, true) as ok, bool_and(coalesce(value <= max_value, true)) over (partition by location) as all_ok, bool_and(coalesce(value <= max_value, true)) over () as overall_ok from l""")
 def water_quality(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("location"), F.col("event_type").alias("parameter"), F.struct("ts", "event_id").alias("day"), F.when(F.col("value") > 3, F.col("value")).alias("value"), F.lit(50.0).alias("max_value"))
-    return opendata.water_quality(rows)
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("location"), F.col("event_type").alias("parameter"), F.struct("ts", "event_id").alias("day"), F.when(F.col("value") > 3, F.col("value")).alias("value"), F.when(F.col("user_id") % 40 < 30, 95.0).alias("max_value"))
+    return opendata.water_quality(rows, key_parameters=["i"])
+
+
+AIR = "cast(ts as date) as day, case when user_id % 9 = 0 then 'Zch_A' else concat('s', user_id % 9) end as station, event_type as parameter, case when event_id % 7 = 0 then 'n/a' else cast(event_id % 100 as {text}) end as value, 'ug' as unit, 'ok' as status"
 
 
-@query("""with r as (select cast(ts as date) as day, event_type as parameter, user_id, value, event_id from events) select event_id, parameter, value, max_value, coalesce(value <= max_value, true) as ok
-from r left join (values ('click', 40.0), ('view', 60.0)) l(parameter, max_value) using (parameter) where day = (select max(day) from r)""")
+@query(f"""with r as (select {AIR.format(text='varchar')} from events), l as (select *, try_cast(value as int) as v, case parameter when 'click' then 40 when 'view' then 60 end as m from r where day = (select max(day) from r))
+select station, case when station = 'Zch_A' then 'Street A' else station end as name, day, string_agg(parameter || '=' || coalesce(cast(v as varchar), '-'), ',' order by parameter, v nulls first) as measurements,
+coalesce(string_agg(parameter || '=' || v || '<' || m, ',' order by parameter, v) filter (where m is not null and v is not null), '') as key_pollutants from l group by station, day""")
 def air_quality(spark, sf_dir):
-    limits = spark.createDataFrame([("click", 40.0), ("view", 60.0)], "parameter string, max_value double")
-    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), F.col("event_type").alias("parameter"), "value", "event_id")
-    return opendata.air_quality(rows, limits).select("event_id", "parameter", "value", "max_value", "ok")
+    """The latest day's readings by station; two parameters are key ones."""
+    rows = table(spark, sf_dir, "events").selectExpr(*split_columns(AIR.format(text="string")))
+    names = spark.createDataFrame([("Zch_A", "Street A")], "station string, name string")
+    found = opendata.air_quality(rows, names, {"click": 40.0, "view": 60.0})
+    show = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return found.select(
+        "station", "name", "day", show("measurements", lambda m: F.concat(m["parameter"], F.lit("="), F.coalesce(m["value"].cast("int").cast("string"), F.lit("-")))).alias("measurements"),
+        show("key_pollutants", lambda m: F.concat(m["parameter"], F.lit("="), m["value"].cast("int"), F.lit("<"), m["limit"].cast("int"))).alias("key_pollutants"),
+    )
 
 
 LAST = "timestamp '2024-01-03 12:00:00'"
@@ -181,13 +221,24 @@ def events_upcoming(spark, sf_dir):
     return opendata.events_upcoming(rows, rubrics, "1997-05-01", 20, "oper")
 
 
-@query("""select p_partkey as identifier, coalesce(nullif(case when p_size % 2 = 0 then '' else p_name end, ''), nullif(p_type, '')) as name, p_brand || ' & ' || p_name as description, case when p_size % 3 = 0 then 'a' else 'a, b' end as kinds, p_brand as address
-from part where contains(lower(case when p_size % 2 = 0 then p_type else p_name end), 'e') order by p_partkey limit 40""")
+PLACE_NAME = "case when p_size % 2 = 0 then '' when p_size % 9 = 1 then null else p_name end as name_de, case when p_size % 7 = 0 then '' else p_type end as name_en"
+VENUE = """p_partkey as identifier, coalesce(nullif(name_de, ''), nullif(name_en, '')) as name, case when p_size % 4 = 0 then 'own kind' when p_size % 4 = 1 then 'bar' else 'venue' end as kind,
+p_brand || ' & ' || p_name as description, substr('ü ' || p_name || ' b', 1, 500) as full_description, case when p_size % 5 = 0 then '' when p_size % 5 = 1 then 'Mon,Tue 09:00-18:30' else 'Mon,Tue 09:00-18:30; Sun 10:00-12:00' end as opening_hours,
+case when p_size % 3 = 0 then 'a' else 'a, b' end as kinds, case when p_size % 2 = 0 then p_brand || ', 8000 Zürich' else '8001' end as address, case when p_size % 10 > 0 then cast(p_size % 10 as double) end as lat, 8.5::double as lon"""
+
+
+@query(f"""with r as (select *, {PLACE_NAME} from part), first as (select * from r order by p_partkey limit 60) select 0 as part, {VENUE} from first where coalesce(nullif(name_de, ''), nullif(name_en, '')) is not null
+union all select * from (select 1, {VENUE} from r where contains(lower(coalesce(nullif(name_de, ''), nullif(name_en, ''))), 'e') order by p_partkey limit 40)""")
 def venues(spark, sf_dir):
+    """The first 60 raw places, nameless ones left out; the first 40 whose name has an e."""
     rows = table(spark, sf_dir, "part").selectExpr(
-        "p_partkey as identifier", "case when p_size % 2 = 0 then '' else p_name end as name_de", "p_type as name_en", "concat('<p>', p_brand, ' &amp;&nbsp;<b>', p_name, '</b></p>') as description", "map('a', 'x', 'b', case when p_size % 3 = 0 then '' else 'y' end) as category", "p_brand as street", "'' as city"
+        "p_partkey as identifier", *split_columns(PLACE_NAME), "concat('<p>', p_brand, ' &amp;&nbsp;<b>', p_name, '</b></p>') as description", "concat('&uuml;  <i>', p_name, '</i>\n b') as full_description",
+        "case p_size % 5 when 0 then array('by chance') when 1 then array('Mo,Tu 09:00:00-18:30:00', 'x') else array('Mo,Tu 09:00:00-18:30:00', 'Su 10:00:00-12:00:00') end as hours",
+        "map('a', 'x', 'b', case when p_size % 3 = 0 then '' else 'y' end) as category", "case when p_size % 4 = 1 then 'BarOrPub' else 'None such' end as kind", "case when p_size % 4 = 0 then 'Own Kind' else '' end as custom_kind",
+        "case when p_size % 2 = 0 then p_brand end as street", "case when p_size % 2 = 0 then '8000' else '8001' end as postcode", "case when p_size % 2 = 0 then 'Zürich' end as city", "p_size % 10 as lat", "8.5D as lon",
     )
-    return opendata.venues(rows, 40, "E")
+    found = [opendata.venues(rows, 60), opendata.venues(rows, 40, "E")]
+    return found[0].withColumn("part", F.lit(0)).unionByName(found[1].withColumn("part", F.lit(1)))
 
 
 @query("select p_partkey, case when contains(lower(p_name), 'red') then 'amenity=cafe' when contains(lower(p_name), 'blue') then 'shop=books' when contains(lower(p_name), 'green') then 'name~green' else 'name~' || lower(p_name) end as tag from part")
@@ -210,21 +261,22 @@ def poi_nearest(spark, sf_dir):
 
 @query("select event_id, event_type, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def read_feed_json(spark, sf_dir):
-    from ..sources import files
-
     rows = files.parse_feed(table(spark, sf_dir, "events"), "props", "k long")
     return rows.select("event_id", "event_type", F.col("props.k").alias("k"))
 
 
-def drained(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """Runs a stream over the events table to its end; its rows, written by the stream to the shared folder."""
-    import uuid
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. The pattern matches its path alone, whether that is a file or a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints"
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    source = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")  # a glob: it may be a file or a folder
-    out = build(stream)
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drained(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream to its end; its rows, written by the stream to the shared folder."""
+    at = folder(spark, "stream")
     writer = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/log")
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
@@ -233,17 +285,83 @@ def drained(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
-@query("select event_type, date_trunc('hour', ts) as start, count(*) as n, round(avg(value), 4) as mean from events group by all")
+@query("""select * from (select event_type, date_trunc('hour', ts) as start, count(*) as n, round(avg(value), 4) as mean from events group by all)
+where start + interval 1 hour <= (select max(date_trunc('milliseconds', ts)) - interval 2 hour from events)""")
 def stream_sensor_windows(spark, sf_dir):
-    found = drained(spark, sf_dir, lambda s: jobs.sensor_windows(s.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "value", watermark="3650 days"), "complete")
-    return found.select("event_type", "start", "n", F.round("mean", 4).alias("mean"))
+    """Windows that the watermark has closed; their state is gone."""
+    found = jobs.sensor_windows(stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "value")
+    return drained(spark, found, "append").select("event_type", "start", "n", F.round("mean", 4).alias("mean"))
 
 
 @query("select user_id, max(ts) as ts from events group by user_id")
 def stream_latest_reading(spark, sf_dir):
-    return drained(spark, sf_dir, lambda s: jobs.stream_latest(s.select("user_id", "ts", "value"), "user_id", "ts"), "complete").select("user_id", "ts")
+    return drained(spark, jobs.stream_latest(stream_of(spark, sf_dir, "events").select("user_id", "ts", "value"), "user_id", "ts"), "complete").select("user_id", "ts")
 
 
 @query()
 def rate_limit(spark, sf_dir):
     return jobs.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 2)
+
+
+@query()
+def stream_rate_limit(spark, sf_dir):
+    return drained(spark, jobs.stream_rate_limit(stream_of(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 2), "append")
+
+
+KB_SQL = "substr(sha1('https://x.ch/' || {id} || '|' || lang || '|1'), 1, 12)"
+
+
+@query(f"""select {KB_SQL.format(id='doc_id')} || '_0000' as chunk_id, sha1(text) as text_sha1 from documents where text <> '' union all
+select {KB_SQL.format(id='(doc_id + 1000000)')} || '_0000', sha1('stored ' || doc_id) from documents where text <> '' and doc_id % 3 = 0""")
+def stream_upsert(spark, sf_dir):
+    """Stored versions of some documents, and of others that stay; the stream brings every document anew."""
+    docs = lambda df, id_, text, day: df.where("text <> ''").select(F.concat(F.lit("https://x.ch/"), id_).alias("source_url"), F.col("source").alias("source_name"), F.lit("t").alias("title"), F.col("lang").alias("language"), F.lit("reference").alias("doc_type"), text.alias("text"), F.lit(None).cast("array<struct<heading:string,text:string,level:int>>").alias("sections"), F.lit("2025-01-01").cast("date").alias("created_at"), F.lit(day).cast("timestamp").alias("updated_at"))
+    rows, at, last = table(spark, sf_dir, "documents"), folder(spark, "upsert"), [0]
+    old = docs(rows.where("doc_id % 2 = 0"), F.col("doc_id"), F.lit("old"), "2025-01-01").unionByName(docs(rows.where("doc_id % 3 = 0"), F.col("doc_id") + 1_000_000, F.concat(F.lit("stored "), F.col("doc_id")), "2025-01-01"))
+    chunks.chunk_documents(old.withColumn("updated_at", F.col("updated_at").cast("date"))).write.parquet(f"{at}/0")
+
+    def write(found: DataFrame) -> None:
+        found.write.parquet(f"{at}/{last[0] + 1}")
+        last[0] += 1
+
+    stream = docs(stream_of(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), "2025-06-01")
+    jobs.stream_upsert(stream, lambda: spark.read.parquet(f"{at}/{last[0]}"), write, f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/{last[0]}").select("chunk_id", F.sha1(F.col("display_text").cast("binary")).alias("text_sha1"))
+
+
+@query(f"select chunk_id, category, source, heading_path, language, n_tokens from (select chunk_id, category, source, heading_path, language, {TOKENS_SQL.format(t='display_text')} as n_tokens from ({CHUNKS_SQL}))")
+def chunk_files(spark, sf_dir):
+    """Chunks written by category and source, and read again."""
+    at = folder(spark, "chunks")
+    files.write_chunks(chunk_rows(spark, sf_dir).drop("n"), at)
+    return files.read_chunks(spark, at).select("chunk_id", "category", "source", "heading_path", "language", F.col("token_count").alias("n_tokens"))
+
+
+@query("select p_partkey, p_name, p_retailprice from part")
+def read_open_csv(spark, sf_dir):
+    """A CSV whose names have blanks and quotes, read with clean ones."""
+    at = folder(spark, "csv")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(" p_partkey "), F.col("p_name").alias('"p_name"'), F.col("p_retailprice").alias("p_retailprice "))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+    found = files.read_open_csv(spark, at)
+    return found.select(F.col("p_partkey").cast("long"), "p_name", F.col("p_retailprice").cast("double"))
+
+
+@query("select p_name as title, p_size / 2 as \"temperatureWater\" from part")
+def read_bath_xml(spark, sf_dir):
+    at = folder(spark, "xml")
+    table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), (F.col("p_size") / 2).alias("temperatureWater")).write.format("xml").option("rootTag", "baths").option("rowTag", "bath").save(at)
+    return files.read_bath_xml(spark, at).select("title", "temperatureWater")
+
+
+@query("select 'p' || conv_id % 5 as persona_id, conv_id, count(*) as turns, string_agg(role || ':' || text, chr(10) order by turn) as talk, round(sum(length(text)) / 1000, 3) as seconds from conversations group by conv_id")
+def transcript_files(spark, sf_dir):
+    """Conversations as evaluation results, written as JSON lines and read again."""
+    at = folder(spark, "transcripts")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"), (F.length("text") / 1000).alias("s"))))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    rows = rows.select(F.concat(F.lit("p"), F.col("conv_id") % 5).alias("persona_id"), F.col("conv_id").cast("string").alias("seed"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("transcript"), F.transform("t", lambda x: x["s"]).alias("latencies_s"))
+    files.write_eval_results(rows, at)
+    found = files.read_eval_results(spark, at)
+    talk = F.array_join(F.transform("transcript", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")
+    return found.select("persona_id", F.col("seed").cast("long").alias("conv_id"), F.size("transcript").cast("long").alias("turns"), talk.alias("talk"), F.round(F.aggregate("latencies_s", F.lit(0.0), lambda a, x: a + x), 3).alias("seconds"))

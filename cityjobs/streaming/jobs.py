@@ -60,29 +60,39 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_s: int = 3600, n: int =
     return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, DECIDED)
 
 
-def stream_rate_limit(stream: DataFrame, key: str, ts: str, window_s: int = 3600, n: int = 5) -> DataFrame:
-    """The same on a stream; state: the accepted times of a key, gone when the window has passed."""
+def stream_rate_limit(stream: DataFrame, key: str, ts: str, window_s: int = 3600, n: int = 5, watermark: str = "1 hour") -> DataFrame:
+    """The same on a stream; requests later than the watermark are dropped. State: a key's accepted times, at most n,
+    gone when the watermark has passed the last one's window. Timeouts follow event time, so that a run over what is
+    there ends.
+    """
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        times = [int(t.value // 1000) for t in rows["ts"]]
-        found, log = decide(times, log, window_s, n)
+        rows = pd.concat([b[["ts"]] for b in batches]).sort_values("ts")
+        times = rows["ts"].astype("int64") // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)
+        found, log = decide(times.tolist(), log, window_s, n)
+        log = log[-n:]
         state.update((log,))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(max(log[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": keys[0], "ts": rows["ts"], "accepted": found})
 
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"))
-    return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "accepted array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).where("key is not null and ts is not null").withWatermark("ts", watermark)
+    return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_upsert(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, watermark: str = "1 day"):
-    """New document versions, chunked, replace whole documents of the target that read() gives and write() takes."""
+    """New document versions, chunked, replace whole documents of the target that read() gives and write() takes.
+
+    write() must put a new version beside the one that read() gave. Versions of a document that come again, or later than the
+    watermark, are dropped.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
         latest = batch.groupBy("source_url", "language").agg(F.max_by(F.struct("*"), "updated_at").alias("_r")).select("_r.*")
         write(upsert_docs(read(), chunk_documents(latest.withColumn("updated_at", F.col("updated_at").cast("date")))))
 

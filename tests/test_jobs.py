@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cityjobs.operators import chunks, evals, opendata, pages
+from cityjobs.operators import chunks, evals, opendata, pages, retrieval, urls
 from cityjobs.plans import answers, corpus, feeds, registry  # noqa: F401
 from cityjobs.sources import files
 from cityjobs.streaming import jobs
@@ -84,7 +84,147 @@ def test_extract_sections(spark):
     html = "<html><head><title>T</title></head><body><nav>no</nav><main><h1>Title</h1><p>Intro<h2>A</h2><p>One<p>One<ul><li>Two</ul><script>x</script><h3>Empty</h3></main><footer>f</footer></body>"
     row = pages.extract_sections(spark.createDataFrame([(html,), (None,)], "html string"), "html").first()
     assert row["title"] == "Title"
-    assert [(s["heading"], s["text"], s["level"]) for s in row["sections"]] == [("", "Intro", 1), ("A", "One\n\nTwo", 2)]
+    assert [(s["heading"], s["text"], s["level"]) for s in row["sections"]] == [("", "Intro", 2), ("A", "One\n\nTwo", 2)]
+
+
+def sections_of(spark, html, **options):
+    row = pages.extract_sections(spark.createDataFrame([(html, "x")], "html string, title string"), "html", pages.HtmlProfile(**options)).first()
+    return row["title"], [(x["heading"], x["text"], x["level"]) for x in row["sections"]], row["full_text"]
+
+
+def test_extract_sections_rules(spark):
+    page = '<head><title>Site | X</title><meta property="og:title" content="Og"></head><body><header><h1>In <b>head</b></h1><p>no</header><form><p>Before</p></form><h2>A</h2><p>one<b>two</b> three</p><ul><li><p>x</p> y</li></ul><aside><p>no</aside><h3>B</h3><p>1</p><p>1</p><h2>Empty</h2></body>'
+    want = [("", "Before", 2), ("A", "one two three\n\nx y\n\nx", 2), ("B", "1", 3)]
+    assert sections_of(spark, page) == ("In head", want, "Before\n\none two three\n\nx y\n\nx\n\n1")
+    assert sections_of(spark, page, bogus=frozenset({"in head"}))[0] == "Og"
+    assert sections_of(spark, page.replace("og:title", "no"), bogus=frozenset({"*"}), title_suffix=" | X")[0] == "Site"
+    assert sections_of(spark, page, title_from="h2")[0] == "A"
+    assert sections_of(spark, "<body>out<main>in<p></p></main><main><p>second</main>")[1:] == ([("", "in", 2)], "in")
+    assert sections_of(spark, None) == sections_of(spark, "") == ("", [], "")
+    assert sections_of(spark, "<div>a<div class='ad x'><h1>no</h1>b</div>c</div>", drop=frozenset({"ad"})) == ("", [("", "a\nc", 2)], "a\nc")
+    assert sections_of(spark, "<x-h level='9'>H</x-h><x-h level='3'>I</x-h><p>t</p><x-a heading='F'>some <i>text</i></x-a>", levels="x-h", folds="x-a")[1] == [("I", "t", 3), ("F", "some text", 3)]
+    two = "<div id='mainContent1'><p>a</div><div id='mainContent2'><p>longer</div><p>out"
+    assert sections_of(spark, two, root=("div", "mainContent"))[2] == "a"
+    assert sections_of(spark, two, root=("div", "mainContent"), largest=True)[2] == "longer"
+    assert sections_of(spark, "<main><p>one<p>two<ul><li>a<li>b<ul><li>c</ul></ul>")[2] == "one\n\ntwo\n\na\n\nb c\n\nc"
+
+
+def test_crime_rows_without_districts(spark):
+    schema = "year int, district string, municipality string, title string, offences long, frequency double"
+    rows = [(2024, None, "Z", "old", 9, 1.0), (2025, "", "ZÜRICH", "t", 3, 1.25), (2025, "Kreis 1", "Zürich", "t", 4, 2.0), (2025, "Kreis 11", "Zürich", "t", 5, 2.0)]
+    got = lambda rows, *a: [(r["district"], r["offences"], r["frequency"]) for r in opendata.crime_stats(spark.createDataFrame(rows, schema), *a).collect()]
+    assert got(rows) == [("Kreis 11", 5, 2.0), ("Kreis 1", 4, 2.0)]
+    assert got(rows, "1") == got(rows, "Kreis 1") == [("Kreis 1", 4, 2.0)]
+    assert got([*rows[:2], (2025, None, "Zürich", "t", 7, 1.0), (2025, "", "Bern", "t", 8, 1.0)]) == [("Gesamt", 3, 1.2)]
+    with pytest.raises(ValueError):
+        opendata.crime_stats(spark.createDataFrame(rows, schema), "13")
+
+
+def test_chunk_rules(spark):
+    good = {"doc_type": "article", "authority": "wikipedia", "category": "food_drink", "chunk_shape": "list", "subcategory": "admin/umzug_2", "language": "de", "heading_path": "a > b", "token_count": 0}
+    bad = {"doc_type": [None, "page"], "authority": ["official", "other"], "category": ["culture", "transport"], "chunk_shape": ["poem"], "subcategory": ["Admin/Umzug", "admin", "a/b/c", "a1/b"], "language": ["german", "D"], "heading_path": ["", " \u00a0", None], "token_count": [-1, None]}
+    rows = [tuple(good.values())] + [tuple((good | {k: v}).values()) for k, values in bad.items() for v in values]
+    schema = "doc_type string, authority string, category string, chunk_shape string, subcategory string, language string, heading_path string, token_count int"
+    ok, wrong = chunks.validate_chunks(spark.createDataFrame(rows, schema))
+    assert ok.count() == 1
+    assert sorted(r["reasons"][0] for r in wrong.collect()) == sorted(k for k, values in bad.items() for _ in values)
+    assert all(len(r["reasons"]) == 1 for r in wrong.collect())
+
+
+def test_chunks_replace_columns_of_their_names(spark):
+    schema = "source_url string, source_name string, title string, language string, category string, authority string, doc_type string, heading_path string, token_count int, _p string, _d string, _parts int, created_at date, updated_at date, sections array<struct<heading:string,text:string,level:int>>, text string"
+    day = datetime.date(2025, 1, 1)
+    docs = spark.createDataFrame([("u", "s", "t", "de", "admin", "city", "article", "own", 7, "p", "d", 3, day, day, None, TEXT * 40)], schema)
+    found = chunks.chunk_documents(docs)
+    assert len(set(found.columns)) == len(found.columns) and {"_p", "_d", "_parts"} <= set(found.columns)
+    rows = found.collect()
+    assert len(rows) > 1 and {r["heading_path"] for r in rows} == {"s > t"} and {r["_p"] for r in rows} == {"p"}
+    pieces = chunks.pack([x for x in (TEXT * 40).strip().replace(". ", ".|").replace("! ", "!|").replace("? ", "?|").split("|")], [chunks.words_count(x) for x in (TEXT * 40).strip().replace(". ", ".|").replace("! ", "!|").replace("? ", "?|").split("|")], 600)
+    assert [r["display_text"] for r in rows] == pieces
+
+
+def test_places_in_groups_without_a_task_a_group(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), (F.col("id") * 7919 % 2003).alias("k"))
+    found = urls.rank_in_group(rows.repartition(6), ["g"], ["k"], "n").collect()
+    groups = {}
+    for r in sorted(found):
+        groups.setdefault(r["g"], []).append(r["n"])
+    assert len(found) == 2000 and all(n == list(range(1, len(n) + 1)) for n in groups.values())
+
+
+def test_longest_key_with_many_keys(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "Schweizerisches Obligationenrecht.pdf"), (2, "BV"), (3, "nothing")], "id int, name string")
+    keys = spark.createDataFrame([("obligationenrecht",), ("recht",), ("bv",), ("ob",)], "key string")
+    few = sorted((r["id"], r["key"]) for r in pages.match_longest_key(names, "name", "id", keys).collect())
+    monkeypatch.setattr(pages, "KEYS_SENT", 1)
+    assert sorted((r["id"], r["key"]) for r in pages.match_longest_key(names, "name", "id", keys).collect()) == few == [(1, "obligationenrecht"), (2, "bv"), (3, None)]
+
+
+def test_nearest_with_many_blocks_and_ties(spark, monkeypatch):
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    once = sorted(retrieval.knn_topk(queries, vectors, 4).collect())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 2)
+    assert sorted(retrieval.knn_topk(queries, vectors.repartition(5), 4).collect()) == once and len(once) == 36
+    assert [r["vec_id"] for r in once if r["query_id"] == 0] == [0, 15, 30, 45]
+    assert retrieval.knn_topk(queries, vectors.limit(0), 4).count() == retrieval.knn_topk(queries.limit(0), vectors, 4).count() == 0
+
+
+def test_law_answers_by_distinct_question(spark):
+    laws = spark.createDataFrame([(i, "Obligationenrecht" if i % 2 else "Zivilgesetzbuch", f"Art. {i % 3} text") for i in range(40)], "chunk_id long, law_name string, display_text string")
+    asked = spark.createDataFrame([(k, ["Art. 1 OR", "art 1", "§ 2 zgb", "nichts", "Artikel 9"][k % 5]) for k in range(50)], "query_id long, q string")
+    number, law = retrieval.parse_law_query(F.col("q"))
+    found = retrieval.law_article_lookup(asked.select("query_id", number.alias("article_no"), law.alias("law")), laws, 2).collect()
+    by = lambda q: sorted(r["chunk_id"] for r in found if r["query_id"] == q)
+    assert [by(k) for k in range(5)] == [[1, 7], [1, 4], [2, 8], [], []] and len(found) == 60
+
+
+def test_context_is_cut_after_a_sentence(spark):
+    hits = spark.createDataFrame([("q", 1, 5, "Eins zwei drei vier."), ("q", 2, 9, "Kurz hier. Der zweite Satz ist lang."), ("q", 3, 1, "Ende.")], "query_id string, rank int, token_count long, text string")
+    rows = retrieval.context_budget(hits, 5, 8).orderBy("rank").collect()
+    assert [(r["rank"], r["text"], r["running_tokens"]) for r in rows] == [(1, "Eins zwei drei vier.", 5), (2, "Kurz hier.", 7)]
+    assert [r["rank"] for r in retrieval.context_budget(hits, 5, 6).collect()] == [1]
+    assert [r["rank"] for r in retrieval.context_budget(hits, 2, 100).orderBy("rank").collect()] == [1, 2]
+
+
+def test_late_readings_are_dropped(spark, tmp_path):
+    place, out = tmp_path / "in", str(tmp_path / "out")
+    write = lambda rows: spark.createDataFrame([(k, datetime.datetime(2025, 1, 1, h, m), v) for k, h, m, v in rows], "k string, ts timestamp, v double").coalesce(1).write.mode("append").parquet(str(place))
+    write([("a", 1, 0, 1.0), ("a", 10, 0, 5.0)])
+    stream = spark.readStream.schema("k string, ts timestamp, v double").parquet(str(place))
+    job = lambda: jobs.sensor_windows(stream, "k", "ts", "v").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    job()
+    write([("a", 1, 30, 100.0), ("a", 9, 30, 7.0), ("a", 14, 0, 2.0)])  # the first is hours late, the second is not
+    job()
+    got = sorted((r["start"].hour, r["n"], r["mean"]) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 1, 1.0), (9, 1, 7.0), (10, 1, 5.0)]
+
+
+def test_rate_limit_stream_equals_batch(spark):
+    one, other = (sorted(map(tuple, registry.QUERIES[name](spark, SF).collect())) for name in ("stream_rate_limit", "rate_limit"))
+    assert one == other and 0 < sum(r[2] for r in one) < len(one)
+
+
+def test_rate_limit_stream_keeps_state_between_runs(spark, tmp_path):
+    place, out, second = tmp_path / "in", str(tmp_path / "out"), datetime.timedelta(seconds=1)
+    start = datetime.datetime(2025, 1, 1)
+    write = lambda at: spark.createDataFrame([("a", start + s * second) for s in at], "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(place))
+    stream = lambda: spark.readStream.schema("k string, ts timestamp").parquet(str(place))
+    job = lambda: jobs.stream_rate_limit(stream(), "k", "ts", 10, 2).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    for at in ([0, 1, 2], [5, 11, 12], [5000]):
+        write(at)
+        job()
+    got = sorted((int((r["ts"] - start).total_seconds()), r["accepted"]) for r in spark.read.parquet(out).collect())
+    assert got == [(0, True), (1, True), (2, False), (5, False), (11, True), (12, True), (5000, True)]
+
+
+def test_transcripts_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("p", "s", [("user", "hi\nthere")], [0.5], None)], "persona_id string, seed string, transcript array<struct<role:string,content:string>>, latencies_s array<double>, errors array<string>")
+    files.write_eval_results(rows, str(tmp_path / "t"))
+    got = files.read_eval_results(spark, str(tmp_path / "t")).first()
+    assert got["transcript"][0]["content"] == "hi\nthere" and got["verdict"] is None and got["latencies_s"] == [0.5]
 
 
 def test_files_round_trip(spark, tmp_path):
