@@ -215,28 +215,34 @@ def detect_period(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", urls.first_keyword_label(F.substring("text", 1, 800), [("heit", "18th"), ("tion", "19th")], None).alias("period"))
 
 
-@query()
+@query("""select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10) || chr(10)) as text
+from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: x <> '') as l from documents)""")
 def dedupe_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pages.dedupe_paragraphs(F.col("text")).alias("text"))
 
 
-@query()
+@query("""select doc_id, case when p > 0 then p - 1 else n end as n_sections from (select doc_id, len(l) as n, list_position(list_transform(l, lambda x: lower(split_part(x, ' ', 1)) in ('the', 'die', 'la', 'le')), true) as p
+from (select doc_id, string_split(text, chr(10)) as l from documents))""")
 def drop_tail_sections(spark, sf_dir):
     parts = F.transform(F.split("text", "\n"), lambda x: F.struct(F.get(F.split(x, " "), F.lit(0)).alias("heading"), x.alias("text"), F.lit(2).alias("level")))
     kept = pages.drop_tail_sections(parts, ["the", "die", "la", "le"])
     return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).alias("n_sections"))
 
 
-@query()
+INDEX_SQL = """(select n >= 4 and short > n * 0.7 and marked > n * 0.4 from (select len(l) as n, len(list_filter(l, lambda x: len(regexp_split_to_array(x, '\\s+')) < 6)) as short,
+len(list_filter(l, lambda x: regexp_matches(x, '^(Art\\.?|Artikel|§|\\d+(\\.\\d+)*\\.?\\s)'))) as marked from (select list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '') as l)))"""
+#: Runs of line breaks are set aside as one sign, single ones become blanks.
+CLEAN_SQL = "trim(replace(replace(regexp_replace(regexp_replace(text, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '\\n{2,}', chr(30), 'g'), chr(10), ' '), chr(30), chr(10) || chr(10)))"
+
+
+@query(f"""select doc, sha1(string_agg(t, chr(10) || chr(10) order by doc_id)) as text_sha1 from (select doc_id // 8 as doc, doc_id, {CLEAN_SQL} as t from documents) where not {INDEX_SQL.format(t='t')} group by doc""")
 def clean_pdf_text(spark, sf_dir):
     """Eight documents in a row as the pages of one: groups keep their size on tables of any size."""
     rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 8").alias("doc"), F.col("doc_id").alias("page_no"), pages.clean_page_text(F.col("text")).alias("text"))
     return pages.join_pages(rows, "doc", "page_no", "text").select("doc", F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
 
 
-@query("""select doc_id, n >= 4 and short > n * 0.7 and marked > n * 0.4 as is_index from (select doc_id, len(l) as n,
-len(list_filter(l, lambda x: len(regexp_split_to_array(x, '\\s+')) < 6)) as short, len(list_filter(l, lambda x: regexp_matches(x, '^(Art\\.?|Artikel|§|\\d+(\\.\\d+)*\\.?\\s)'))) as marked
-from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as l from documents))""")
+@query(f"select doc_id, {INDEX_SQL.format(t='text')} as is_index from documents")
 def drop_index_pages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pages.is_index_page(F.col("text")).alias("is_index"))
 

@@ -1,8 +1,10 @@
 """Jobs outside the llm subpackage: every query against its SQL at the smallest size, and the sequential helpers."""
 
 import datetime
+import hashlib
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -109,6 +111,63 @@ def test_extract_sections_rules(spark):
     assert sections_of(spark, "<main><p>one<p>two<ul><li>a<li>b<ul><li>c</ul></ul>")[2] == "one\n\ntwo\n\na\n\nb c\n\nc"
 
 
+def slow_chunks(row):
+    """A document's chunks as (index, parent, heading, text, step, paragraph), by the rules read one by one."""
+    count = chunks.words_count
+    sentences = lambda text: [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])", text.strip()) if x.strip()]
+    packed = lambda text, most: chunks.pack(sentences(text), [count(x) for x in sentences(text)], most)
+    sections = [(x["heading"] or "", (x["text"] or "")[:80_000]) for x in row["sections"] or []]
+    text, kind, above, rows = (row["text"] or "")[:80_000], row["doc_type"], {}, []
+    if kind in ("article", "historical"):
+        for heading, part in sections:
+            if count(part) > 1200:
+                key = heading or "body"
+                above[key] = (above[key][0] if key in above else f"P{len(above) + 1:02d}", part)
+        for heading, part in sections or [("", text)]:
+            rows += [(above.get(heading or "body", (None,))[0], heading, x, None, None) for x in packed(part, 600 if kind == "article" else 400)]
+    elif kind == "procedure" and sections:
+        rows = [(None, heading, part, k, None) for k, (heading, part) in enumerate(sections, 1)]
+    elif kind == "procedure":
+        rows = [(None, "", text, None, None)] if count(text) <= 800 else [(None, "", x, k, None) for k, x in enumerate(packed(text, 600), 1)]
+    else:
+        whole = "\n".join(part for _, part in sections) if sections else text
+        if kind == "statute" and count(whole) > 2000:
+            rows = [(None, "", x.strip(), None, str(k)) for k, x in enumerate(re.split(r"(?m)(?=^\s*\d+\s)", whole), 1) if x.strip()]
+        else:
+            rows = [(None, "", whole, None, None)]
+    return [(index, None, "" if key == "body" else key, part, None, None) for key, (index, part) in above.items()] + [(str(k), *x) for k, x in enumerate(rows)]
+
+
+def test_chunks_of_all_documents_by_the_rules(spark):
+    docs = chunks.validate_documents(corpus.kb_documents(spark, SF))[0]
+    want = []
+    for row in docs.collect():
+        own = hashlib.sha1(f"{row['source_url']}|{row['language']}|1".encode()).hexdigest()[:12]
+        name = lambda x, own=own: f"{own}_{x if x.startswith('P') else x.zfill(4)}"
+        for index, parent, heading, text, step, paragraph in slow_chunks(row):
+            path = " > ".join(x for x in (row["source_name"], row["title"], heading or None) if x is not None)
+            want.append((name(index), name(parent) if parent else None, path, text, step, paragraph, chunks.words_count(text)))
+    got = chunks.chunk_documents(docs).select("chunk_id", "parent_chunk_id", "heading_path", "display_text", "step_index", "paragraph", "token_count").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 300
+
+
+def test_packed_and_limited_rows_by_hand(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = []
+    for doc_id, text in texts.items():
+        parts = [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])", text.strip()) if x.strip()]
+        want += [(doc_id, chunks.words_count(x), hashlib.sha1(x.encode()).hexdigest()) for x in chunks.pack(parts, [chunks.words_count(x) for x in parts], 600)]
+    got = [(r["doc_id"], r["tokens"], r["sha1"]) for r in registry.QUERIES["pack_sentences"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+    requests, log, accepted = sorted((str(r["user_id"]), r["ts"]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).collect()), {}, []
+    for key, at in requests:
+        log[key] = [x for x in log.get(key, []) if (at - x).total_seconds() <= 6 * 3600]
+        accepted.append((key, at, len(log[key]) < 2))
+        if accepted[-1][2]:
+            log[key].append(at)
+    assert sorted(map(tuple, registry.QUERIES["rate_limit"](spark, SF).collect())) == accepted
+
+
 def test_crime_rows_without_districts(spark):
     schema = "year int, district string, municipality string, title string, offences long, frequency double"
     rows = [(2024, None, "Z", "old", 9, 1.0), (2025, "", "ZÜRICH", "t", 3, 1.25), (2025, "Kreis 1", "Zürich", "t", 4, 2.0), (2025, "Kreis 11", "Zürich", "t", 5, 2.0)]
