@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints"
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,6 +45,12 @@ def share(key: str | list[str], seed: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order, by sorting: several times faster than numpy's own way by hashes."""
+    x = np.sort(x)
+    return x[np.append(np.ones(min(1, len(x)), bool), x[1:] != x[:-1])]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
