@@ -8,6 +8,10 @@ q = 8 a q-gram is one 64-bit number.
 
 The budget is a tenth of an item's length, less where an item is so short that the bound would not be positive.
 Items shorter than q are found as whole words only.
+
+A q-gram that an item holds more than FEW times is not paired with each of its places: every band that one of them
+could lie in counts all of them, which never counts too few, and the alignment decides. Hits are counted HITS at a
+time, so that a text and an item that repeat one passage over and over take bounded memory.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import distinct, utf8
 
 Q, RATE = 8, 0.1
 PIECE = 1 << 20
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
+FEW, HITS = 4, 1 << 21
 
 
 def canonical(text: bytes) -> bytes:
@@ -57,7 +62,14 @@ class Items:
         item = np.repeat(np.arange(len(found)), [len(x) for x in found])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in found)])
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
+        gram, item, self.place = gram[order], item[order], place[order]
+        # an entry is one q-gram of one item, with its places from `at` on
+        new = np.append(np.ones(min(1, len(gram)), bool), (gram[1:] != gram[:-1]) | (item[1:] != item[:-1]))
+        self.at = np.flatnonzero(new)
+        self.gram, self.item, self.times = gram[self.at], item[self.at], np.diff(np.append(self.at, len(gram)))
+        self.first, self.last = self.place[self.at], self.place[self.at + self.times - 1]
+        self.rank = np.cumsum(self.times > FEW) - 1
+        self.weight = self.times[self.times > FEW]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[slot(self.gram)] = True
         self.masks = [masks(t) for t in self.texts]
@@ -135,26 +147,58 @@ def distance(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     return int(cost[end]), int(start[end]), int(end - k + len(item))
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, n numbers."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def likely_bands(data: bytes, items: Items) -> tuple[np.ndarray, int]:
+    """Keys item * bands + band of the bands that reach their item's bound, and the number of bands.
+
+    Band b holds the diagonals, the longest item's size added, from (b - 1) to (b + 1) times the item's step.
+    """
+    longest = int(items.size.max(initial=0))
+    bands, units = len(data) + 2 * longest + 3, longest + 1 + len(items.weight)
+    met = []
+    for begin in range(0, max(1, len(data)), PIECE):
+        gram = grams(data[begin : begin + PIECE + Q - 1])
+        at = np.flatnonzero(items.filter[slot(gram)])
+        lo, hi = np.searchsorted(items.gram, gram[at], "left"), np.searchsorted(items.gram, gram[at], "right")
+        met.append(np.stack([at + begin, lo, hi - lo])[:, hi > lo])
+    at, lo, n = np.concatenate(met, axis=1)
+    turn = np.cumsum(n) // HITS
+    parts, held = [np.zeros(0, np.int64)], 0
+    for some in np.split(np.arange(len(at)), np.flatnonzero(turn[1:] != turn[:-1]) + 1):
+        entry, place = spread(lo[some], n[some]), np.repeat(at[some], n[some]) + longest
+        few = items.times[entry] <= FEW
+        e, m = entry[few], items.times[entry[few]]
+        own = items.place[spread(items.at[e], m)]
+        item = np.repeat(items.item[e], m)
+        code = (item * bands + (np.repeat(place[few], m) - own) // (items.edits[item] + 1)) * units + own
+        e, p = entry[~few], place[~few]
+        step = items.edits[items.item[e]] + 1
+        first = (p - items.last[e]) // step
+        many = (p - items.first[e]) // step + 2 - first
+        other = spread(items.item[e] * bands + first, many) * units + np.repeat(longest + 1 + items.rank[e], many)
+        parts.append(distinct(np.concatenate([code, code + units, other])))
+        held += len(parts[-1])
+        if held > 4 * HITS:
+            parts, held = [distinct(np.concatenate(parts))], 0
+    # the lemma counts the item's q-grams, each once however often the text repeats it
+    code = distinct(np.concatenate(parts)) if len(parts) > 2 else parts[-1]
+    unit = code % units
+    weight = np.where(unit <= longest, 1, np.append(items.weight, 0)[np.maximum(unit - longest - 1, -1)])
+    key = code // units  # in order, as the codes are
+    first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    count, key = np.add.reduceat(weight, first) if len(first) else weight, key[first]
+    return key[count >= items.least[key // bands]], bands
+
+
 def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int, int]]:
     """(number of the text, number of the item, edits, start, end): the best region for each text and item."""
     data = b"\n".join(texts)
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    gram = grams(data)
-    at = np.flatnonzero(items.filter[slot(gram)])
-    lo, hi = np.searchsorted(items.gram, gram[at], "left"), np.searchsorted(items.gram, gram[at], "right")
-    at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-    hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item, diagonal = items.item[hit], np.repeat(at, n) - items.place[hit] + int(items.size.max(initial=0))
-    step = items.edits[item] + 1
-    band = diagonal // step
-    bands = np.int64(len(data) + 2 * int(items.size.max(initial=0)) + 2)
-    both, place = np.concatenate([item * bands + band + 1, item * bands + band]), np.tile(items.place[hit], 2)
-    key, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-    likely = (count >= items.least[key // bands])[inverse]
-    # the lemma counts the item's q-grams, each once however often the text repeats it
-    longest = np.int64(items.size.max(initial=0) + 1)
-    key, count = np.unique(np.unique(both[likely] * longest + place[likely]) // longest, return_counts=True)
-    key = key[count >= items.least[key // bands]]
+    key, bands = likely_bands(data, items)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i, b in zip((key // bands).tolist(), (key % bands).tolist()):
         k, m = int(items.edits[i]), int(items.size[i])
@@ -197,12 +241,23 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 COLUMNS = "doc_id long, item_id long, edits int, start int, end int"
 
 
+def found_in(texts: list[bytes], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """What search() finds in all texts, about PIECE bytes of them at a time, by their number and the item's id."""
+    some, first, size = [], 0, 0
+    for n, text in enumerate(texts):
+        some.append(canonical(text))
+        size += len(text)
+        if size >= PIECE or n + 1 == len(texts):
+            yield from ((first + t, items.ids[i], *rest) for t, i, *rest in search(some, items))
+            some, first, size = [], n + 1, 0
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the best region of each document and item within the edit budget.
 
     start and end are byte places in the document's canonical text. Benchmark items are a query set, taken in blocks
-    of a fixed size; every block meets every document. Null and empty texts and items match nothing. Rows that
-    repeat a doc_id give a row each.
+    of a fixed size; every block meets every document. Null and empty texts and items match nothing; an empty table
+    or benchmark gives no rows. Rows that repeat a doc_id give rows each, and so do items that repeat a text.
     """
     spark = docs.sparkSession
     found = None
@@ -210,19 +265,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
-                some, of, size = [], [], 0
-                texts = utf8(batch.column(1))
-                for n, text in enumerate(texts):
-                    some.append(canonical(text))
-                    of.append(ids[n])
-                    size += len(text)
-                    if size >= PIECE or n + 1 == len(texts):
-                        rows += [(of[t], sent.value.ids[i], *rest) for t, i, *rest in search(some, sent.value)]
-                        some, of, size = [], [], 0
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[n], *rest) for n, *rest in found_in(utf8(batch.column(1)), sent.value)]
                 columns = list(zip(*rows)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "item_id", "edits", "start", "end"])
 
         some = docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
@@ -231,5 +278,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark passage."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows whose own text holds no benchmark passage; columns and repeated rows as they are, no shuffle.
+
+    Each row is judged by its text alone, whatever its doc_id: one with a null id goes if its text is contaminated, and
+    a clean one stays where another row of its id goes. Null and empty texts stay; an empty benchmark keeps all rows.
+    """
+    kept = docs
+    for items in blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[n for n, *_ in found_in(utf8(batch.column("text")), sent.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
