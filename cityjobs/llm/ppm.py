@@ -11,11 +11,14 @@ What exclusion leaves of a shorter context depends on the longer context alone,
 under the trained trie. The last resort is uniform over the symbols never seen.
 
 The plan: (1) documents are dealt into batches by hash; each batch lists the distinct codes and words that it holds,
-with the counts of its training texts, in one packed row for every shard; codes are sharded by their last two context
-bytes, words by their key; (2) a shuffle brings each shard together, which adds up the counts and resolves its part
-of the trie, with the dense table of orders 0 and 1 (65,536 numbers) sent to all; (3) the answers go back to the
-batches, where each document adds up its own. Neither model passes through the driver or has to fit into a task; a
-shard holds as much as a few batches, however many there are.
+with the counts of its training texts, in one packed row for every shard. A shard of codes is a range of contexts,
+ordered from their last byte to their first, so that what shares a shorter context stands together; the limits are
+quantiles of the codes of a sample, and only the sizes of shards depend on them. A shorter context that a limit cuts
+in two is counted on both sides: each batch adds the counts of those contexts (three for a limit) to the rows of
+both shards. So no context is too frequent to be cut. Words are sharded by their key. (2) a shuffle brings each shard
+together, which adds up the counts and resolves its part of the trie, with the dense table of orders 0 and 1 (65,536
+numbers) sent to all; (3) the answers go back to the batches, where each document adds up its own. Neither model
+passes through the driver or has to fit into a task; a shard holds as much as a few batches, however many there are.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, scratch, utf8
+from .common import distinct, remainder, scratch, share, utf8
 
 ORDER, END, SYMBOLS = 5, 10, 252
 BATCH_BYTES, LEAST_BATCHES, LEAST_SHARDS = 16 << 20, 16, 32
@@ -166,20 +169,40 @@ def expanded(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
     return np.cumsum(values) if rising else values
 
 
-def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
-    """By the last two context bytes."""
-    last = (code >> (8 * (ORDER - 2))) & 65535
-    return (last * 40503 & 65535) * shards >> 16
+CONTEXT = (1 << 8 * ORDER) - 1
+
+
+def shard_of(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range that a code's context is in; bounds are the first contexts of all shards but the first."""
+    return np.searchsorted(bounds, code & CONTEXT, "right")
+
+
+def edges(code: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each shard: the codes of orders 2 to 4, their order on top, whose contexts its limits cut, with counts."""
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(bounds) + 1)]
+    for k in range(2, ORDER):
+        u, cut = code >> (8 * (ORDER - k)), bounds >> (8 * (ORDER - k))
+        mask = (1 << (8 * k)) - 1
+        inside = np.isin(u & mask, cut)
+        own, inverse = np.unique(u[inside], return_inverse=True)
+        count = np.bincount(inverse, n[inside], len(own)).astype(np.int64)
+        order = np.argsort(own & mask, kind="stable")
+        own, count = own[order], count[order]
+        lo, hi = (np.searchsorted(own & mask, cut, side) for side in ("left", "right"))
+        for shard in range(len(parts)):
+            for limit in {int(cut[x]): x for x in (shard - 1, shard) if 0 <= x < len(cut)}.values():
+                parts[shard].append((own[lo[limit] : hi[limit]] | k << 56, count[lo[limit] : hi[limit]]))
+    return [tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in some)]) for i in range(2)) for some in parts]
 
 
 def word_shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (key & 65535) * shards >> 16
 
 
-ASKED = "b int, shard int, code binary, code_n binary, word binary, word_n binary, low_code array<int>, low_n array<long>"
+ASKED = "b int, shard int, code binary, code_n binary, word binary, word_n binary, edge binary, edge_n binary, low_code array<int>, low_n array<long>"
 
 
-def ask(batch: pa.Table, shards: int) -> pa.Table:
+def ask(batch: pa.Table, bounds: np.ndarray) -> pa.Table:
     """A row for each shard, and one of shard -1 with the batch's counts of order 1."""
     texts, held = unpack(batch.column("z")), np.array(batch.column("held_out").to_pylist(), bool)
     found = (Tally(), Tally())
@@ -192,11 +215,12 @@ def ask(batch: pa.Table, shards: int) -> pa.Table:
     b, rows = batch.column("b")[0].as_py(), []
     (code, n), (word, m) = found[0].done(), found[1].done()
     low, inverse = np.unique(code >> (8 * (ORDER - 1)), return_inverse=True)
-    rows.append((b, -1, None, None, None, None, low.tolist(), np.bincount(inverse, n, len(low)).astype(np.int64).tolist()))
-    cut = [by_shard(code, n, shard_of(code, shards), shards), by_shard(word, m, word_shard_of(word, shards), shards)]
-    for shard, ((code, n), (word, m)) in enumerate(zip(*cut)):
-        rows.append((b, shard, pressed(code, True), pressed(n), pressed(word, True), pressed(m), None, None))
-    names, kinds = [x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.int64())]
+    rows.append((b, -1, *[None] * 6, low.tolist(), np.bincount(inverse, n, len(low)).astype(np.int64).tolist()))
+    shards = len(bounds) + 1
+    cut = [by_shard(code, n, shard_of(code, bounds), shards), by_shard(word, m, word_shard_of(word, shards), shards), edges(code, n, bounds)]
+    for shard, ((code, n), (word, m), (edge, k)) in enumerate(zip(*cut)):
+        rows.append((b, shard, pressed(code, True), pressed(n), pressed(word, True), pressed(m), pressed(edge), pressed(k), None, None))
+    names, kinds = [x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int32()), pa.list_(pa.int64())]
     return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -207,19 +231,25 @@ def by_shard(keys: np.ndarray, n: np.ndarray, shard: np.ndarray, shards: int) ->
     return [(keys[x:y], n[x:y]) for x, y in zip(at, at[1:])]
 
 
-def resolve(code: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
+def resolve(code: np.ndarray, n: np.ndarray, one: np.ndarray, edge: np.ndarray = np.zeros(0, np.int64), edge_n: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:
     """log10 probability of each distinct code, n its training count (0: only asked for).
 
-    All codes with the same two last context bytes must be present. one[byte, symbol] are the counts of order 1.
+    For every context of order 2 or more, either all its codes must be present or `edge` hold them all, with their
+    order on top and edge_n as their counts. one[byte, symbol] are the counts of order 1.
     """
+    whole = {k: (edge[edge >> 56 == k] & ((1 << 56) - 1), edge_n[edge >> 56 == k]) for k in range(2, ORDER)}
     zero = one.sum(0)
     start = escaped = None
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in range(ORDER + 1):
-            u, inverse = np.unique(code >> (8 * (ORDER - k)), return_inverse=True)
+            cut = [x >> (8 * (j - k)) for j, (x, _) in whole.items() if j >= k]
+            u, inverse = np.unique(np.concatenate([code >> (8 * (ORDER - k)), *cut]), return_inverse=True)
+            inverse = inverse[: len(code)]
             symbol, context = u >> (8 * k), u & ((1 << (8 * k)) - 1)
             if k >= 2:
                 counts = np.bincount(inverse, n, len(u))
+                if k in whole:
+                    counts[np.searchsorted(u, whole[k][0])] = whole[k][1]
                 nodes, node = np.unique(context, return_inverse=True)
                 total, kinds = np.bincount(node, counts, len(nodes)), np.bincount(node, counts > 0, len(nodes))
             else:
@@ -259,7 +289,9 @@ def answer(shard: pa.Table, one: np.ndarray) -> pa.Table:
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         known.append((keys, distinct, inverse, np.bincount(inverse, n, len(distinct)).astype(np.int64)))
     (codes_, code, at_code, code_n), (words_, _, at_word, word_n) = known
-    cost = resolve(code, code_n, one)[at_code].astype("<f4")
+    edge, inverse = np.unique(np.concatenate([expanded(x, "<i8") for x in shard.column("edge").to_pylist()]), return_inverse=True)
+    edge_n = np.bincount(inverse, np.concatenate([expanded(x, "<i8") for x in shard.column("edge_n").to_pylist()]), len(edge)).astype(np.int64)
+    cost = resolve(code, code_n, one, edge, edge_n)[at_code].astype("<f4")
     count = word_n[at_word]
     cost, count = np.split(cost, np.cumsum([len(x) for x in codes_])[:-1]), np.split(count, np.cumsum([len(x) for x in words_])[:-1])
     rows = [(b[i], pressed(codes_[i], True), pressed(cost[i]), pressed(words_[i], True), pressed(count[i]), 0 if i else int((word_n > 0).sum())) for i in range(len(b))]
@@ -307,10 +339,27 @@ def add_up(docs: pa.Table, answers: pa.Table, ends: int) -> pa.Table:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double, new_words long, trained long"
 
 
+def limits(rows: DataFrame, size: int, shards: int) -> np.ndarray:
+    """First contexts of all shards but the first: quantiles of the distinct codes of about one batch of texts, one
+    code in sixteen of which come to the driver. No result depends on them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, _ in pieces(utf8(batch.column(0))):
+                code = distinct(codes(some)[0])
+                mixed = (code.view(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(60)
+                yield pa.RecordBatch.from_arrays([pa.array(code[mixed == 0])], names=["code"])
+
+    sample = rows.where(share(["doc_id", "text"], 29) < min(1.0, BATCH_BYTES / max(1, size))).select("text")
+    found = np.sort(sample.mapInArrow(run, "code long").distinct().toArrow().column("code").to_numpy() & CONTEXT)
+    return np.unique(found[np.arange(1, shards) * len(found) // shards]) if len(found) else np.zeros(0, np.int64)
+
+
 def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    Null texts count as empty: one end token, one end symbol. With no training text every symbol costs log10(252).
+    A row for each row. Null texts count as empty: one end token, one end symbol. With no training text every symbol costs log10(252).
     Equal rows get equal rows; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -320,18 +369,19 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     batches = max(LEAST_BATCHES, -(-size // BATCH_BYTES))
     shards = max(LEAST_SHARDS, batches // 8)
     b = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("b")
-    dealt = rows.select(b, "doc_id", "held_out", "text").mapInArrow(pack, "b int, doc_id long, held_out boolean, z binary").repartition(batches, "b")
+    dealt = rows.select(b, "doc_id", "held_out", "text").mapInArrow(pack, "b int, doc_id long, held_out boolean, z binary").repartitionById(batches, "b")
+    bounds = limits(rows, size, shards)
 
     asked_at, scored_at = scratch(spark, "asked"), scratch(spark, "scored")
-    dealt.groupBy("b").applyInArrow(lambda t: ask(t, shards), ASKED).write.parquet(asked_at)
+    dealt.groupBy("b").applyInArrow(lambda t: ask(t, bounds), ASKED).write.parquet(asked_at)
     asked = spark.read.parquet(asked_at)
     low = asked.where("shard = -1").select(F.explode(F.arrays_zip("low_code", "low_n")).alias("x")).groupBy("x.low_code").agg(F.sum("x.low_n").alias("n")).toArrow()  # 65,536 rows at most
     one = np.zeros((256, 256), np.int64)
     at = low.column("low_code").to_numpy()
     one[at & 255, at >> 8] = low.column("n").to_numpy()
 
-    replies = asked.where("shard >= 0").select("b", "shard", "code", "code_n", "word", "word_n").groupBy("shard").applyInArrow(lambda t: answer(t, one), ANSWERS)
-    dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(lambda left, right: add_up(left, right, ends), SCORED).write.parquet(scored_at)
+    replies = asked.where("shard >= 0").drop("low_code", "low_n").repartitionById(shards, "shard").groupBy("shard").applyInArrow(lambda t: answer(t, one), ANSWERS)
+    dealt.groupBy("b").cogroup(replies.repartitionById(batches, "b").groupBy("b")).applyInArrow(lambda left, right: add_up(left, right, ends), SCORED).write.parquet(scored_at)
     scored = spark.read.parquet(scored_at)
     totals = scored.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("new_words"), F.lit(0))).first()
     train_tokens, kinds = totals[0], totals[1] + (ends > 0)
