@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .urls import any_of, is_foreign_language_url
+from .urls import any_of, cap_per_group, fresh, is_foreign_language_url
 
 CHECKS = ["heading_path", "bad_url", "mid_word", "display_has_heading", "embed_lacks_heading"]
 BUCKETS = ["<100", "100-399", "400-600", "601-1000", ">1000"]
@@ -77,10 +77,10 @@ def type_counts(chunks: DataFrame) -> DataFrame:
 
 def stratified_sample(df: DataFrame, by: str, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows of each stratum in hash order. Each salted part of a stratum gives its first n, so none meets in a task."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    first = df.withColumn("_h", order).withColumn("_p", F.pmod("_h", F.lit(64)))
-    some = first.withColumn("_n", F.row_number().over(W.partitionBy(by, "_p").orderBy("_h", key))).where(F.col("_n") <= n)
-    return some.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("_h", key))).where(F.col("_n") <= n).drop("_h", "_p", "_n")
+    h, part = fresh(df, "_h"), fresh(df, "_p")
+    order = [F.col(h), F.col(key)]
+    some = cap_per_group(df.withColumn(h, F.xxhash64(F.col(key), F.lit(seed))).withColumn(part, F.pmod(h, F.lit(64))), [by, part], n, order)
+    return cap_per_group(some, [by], n, order).drop(h, part)
 
 
 def is_unwanted_section(url: Column, source: Column, of: str, allow: list[str], deny: list[str]) -> Column:

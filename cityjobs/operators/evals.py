@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .urls import fresh
+
 VERDICT = "struct<scores:map<string,double>,rationale:map<string,string>,patterns:array<string>,connector_gap:string,kb_gap:string>"
 
 
@@ -121,8 +123,9 @@ def truncate_history(turns: DataFrame, budget: int = 2000) -> DataFrame:
     newest = W.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"))
     counted = F.when(F.col("role") == "system", 0).otherwise(F.col("tokens"))
     running = F.sum(counted).over(newest.rowsBetween(W.unboundedPreceding, 0))
-    rows = turns.withColumn("running", running).withColumn("_n", F.row_number().over(newest))
-    return rows.where((F.col("running") <= budget) | (F.col("role") == "system") | (F.col("_n") == 1)).drop("_n")
+    place = fresh(turns, "_n")
+    rows = turns.withColumn("running", running).withColumn(place, F.row_number().over(newest))
+    return rows.where((F.col("running") <= budget) | (F.col("role") == "system") | (F.col(place) == 1)).drop(place)
 
 
 def conversation_cap(turns: DataFrame, cap: int = 50_000) -> DataFrame:

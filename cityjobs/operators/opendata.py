@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .urls import dedupe_first
+from .urls import dedupe_first, fresh
 
 
 def latest_only(df: DataFrame, column: str) -> DataFrame:
     """Rows with the column's greatest value: one partial maximum, one row broadcast."""
-    return df.join(F.broadcast(df.agg(F.max(column).alias("_latest"))), F.col(column) == F.col("_latest")).drop("_latest")
+    latest = fresh(df, "_latest")
+    return df.join(F.broadcast(df.agg(F.max(column).alias(latest))), F.col(column) == F.col(latest)).drop(latest)
 
 
 def latest_available_year(df: DataFrame, year: str, as_of: int, back: int = 2) -> DataFrame:

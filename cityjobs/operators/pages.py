@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .urls import fresh
+
 SECTION = "array<struct<heading:string,text:string,level:int>>"
 STEP = r"(?i)(schritt|etappe|step|étape|fase)\s*\d"
 
@@ -308,17 +310,18 @@ def match_longest_key(df: DataFrame, name: str, id_: str, keys: DataFrame) -> Da
     Up to KEYS_SENT keys are sent to all tasks; of more, the parts of a name that are as long as some key are joined
     with the keys.
     """
-    folded = df.withColumn("_f", fold_name(F.col(name)))
+    text, place = fresh(df, "_f"), fresh(df, "_n")
+    folded = df.withColumn(text, fold_name(F.col(name)))
     keys = keys.select("key").distinct()
     if keys.limit(KEYS_SENT + 1).count() <= KEYS_SENT:
-        pairs = folded.join(F.broadcast(keys), F.col("_f").contains(F.col("key")), "left")
+        pairs = folded.join(F.broadcast(keys), F.col(text).contains(F.col("key")), "left")
     else:
         sizes = [r[0] for r in keys.select(F.length("key")).distinct().collect()]  # as many as key lengths
-        cuts = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.length("_f") >= n, F.transform(F.sequence(F.lit(1), F.length("_f") - n + 1), lambda i: F.substring(F.col("_f"), i, n))).otherwise(F.array().cast("array<string>"))))
+        cuts = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(F.array().cast("array<string>"))))
         parts = folded.select(id_, F.explode(F.array_distinct(cuts)).alias("key")).join(keys, "key")
         pairs = folded.join(parts, id_, "left")
     order = W.partitionBy(id_).orderBy(F.desc(F.length("key")), "key")
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_f")
+    return pairs.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place, text)
 
 
 #: Marks of articles at the beginning of a line. (?d): only a line feed ends a line; (?U): as letters and blanks of any script.
@@ -329,16 +332,18 @@ ARTICLE = {
 
 
 def split_articles(df: DataFrame, text: str, style: str = "federal") -> DataFrame:
-    """A row for each article: article_no, body, part_no; what stands before the first is the preamble if it is over
+    """A row for each article: article_no, body, part_no (columns of these names are replaced); what stands before the first is the preamble if it is over
     200 characters. A text without articles is one preamble.
     """
     mark = rf"(?mdU)^[^\S\n]*{ARTICLE[style]}"
     parts = F.split(F.coalesce(text, F.lit("")), rf"(?mdU)(?=^[^\S\n]*{ARTICLE[style]})")
-    rows = df.select("*", F.posexplode(parts).alias("part_no", "_body"), F.size(parts).alias("_parts"))
-    number = F.regexp_extract("_body", rf"\A{mark}", 1)
-    body = F.regexp_replace("_body", r"(?U)^\s+|\s+$", "")
+    rest = [c for c in df.columns if c not in ("part_no", "article_no", "body")]
+    raw, count = fresh(df, "_body"), fresh(df, "_parts")
+    rows = df.select(*rest, F.posexplode(parts).alias("part_no", raw), F.size(parts).alias(count))
+    number = F.regexp_extract(raw, rf"\A{mark}", 1)
+    body = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
     rows = rows.withColumn("article_no", F.when(number != "", number).otherwise("preamble")).withColumn("body", body)
-    return rows.where((F.col("article_no") != "preamble") | (F.col("_parts") == 1) | (F.length("body") > 200)).drop("_body", "_parts")
+    return rows.where((F.col("article_no") != "preamble") | (F.col(count) == 1) | (F.length("body") > 200)).drop(raw, count)
 
 
 def statute_documents(articles: DataFrame, url: str, name: str, style: str = "federal", publisher: str = "") -> DataFrame:

@@ -61,6 +61,14 @@ def route_category(df: DataFrame, url: str, rules: list[tuple[str, str | None]],
     return df.withColumn(name, out).where(F.col(name).isNotNull())
 
 
+def route_by_segment(df: DataFrame, url: str, lookup: dict[str, str | None], default: str | None = None, name: str = "category") -> DataFrame:
+    """The category of the path's first segment; a segment without category, or with none and no default, drops the row."""
+    first = F.try_element_at(segments(F.col(url)), F.lit(1))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in lookup.items() for x in pair]), F.coalesce(first, F.lit("")))
+    listed = F.coalesce(first.isin(list(lookup)), F.lit(False))
+    return df.withColumn(name, F.when(listed, named).otherwise(F.lit(default))).where(F.col(name).isNotNull())
+
+
 def derive_subcategory(category: Column, url: Column, segment: int) -> Column:
     """category/leaf of one path segment (from 1, or -1 for the last); null if nothing is left of it."""
     leaf = F.try_element_at(segments(url), F.lit(segment))
@@ -75,8 +83,15 @@ def first_keyword_label(text: Column, pairs: list[tuple[str, str]], default: str
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    return cap_per_group(df, key, 1, order)
 
 
 def priority_limit(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -84,7 +99,8 @@ def priority_limit(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def cap_per_group(df: DataFrame, group: list[str], n: int, order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    place = fresh(df, "_n")
+    return df.withColumn(place, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n).drop(place)
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -95,13 +111,14 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str)
     """
     keep_checkpoints(df.sparkSession)
     place = F.monotonically_increasing_id()
-    dealt = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", place).withColumn("_range", F.spark_partition_id()).checkpoint()
-    parts = dealt.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
-    earlier = F.sum("_size").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    names = [*group, "_range"]
-    parts = parts.select(*[F.col(c).alias(f"_of_{c}") for c in names], (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_add"))
-    found = dealt.join(parts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
-    return found.select(*df.columns, (F.col("_at") + F.col("_add")).alias(name))
+    at, part, first, size, add = (fresh(df, c) for c in ("_at", "_range", "_first", "_size", "_add"))
+    dealt = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn(at, place).withColumn(part, F.spark_partition_id()).checkpoint()
+    parts = dealt.groupBy(*group, part).agg(F.min(at).alias(first), F.count("*").alias(size))
+    earlier = F.sum(size).over(W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    other = {c: fresh(dealt, f"_of_{c}") for c in (*group, part)}
+    parts = parts.select(*[F.col(c).alias(o) for c, o in other.items()], (F.coalesce(earlier, F.lit(0)) - F.col(first) + 1).alias(add))
+    found = dealt.join(parts, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
+    return found.select(*df.columns, (F.col(at) + F.col(add)).alias(name))
 
 
 def keep_checkpoints(spark: SparkSession) -> None:
@@ -116,9 +133,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cap_share(df: DataFrame, category: str, source: str, share: float, order: list[str]) -> DataFrame:
     """At most `share` of a category's rows (rounded down, one at least) from any of its sources, the first by `order`."""
-    sizes = df.groupBy(category).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_most"))
-    ranked = rank_in_group(df, [category, source], order, "_n")
-    return ranked.join(sizes.withColumnRenamed(category, "_c"), F.col(category).eqNullSafe(F.col("_c"))).where(F.col("_n") <= F.col("_most")).drop("_n", "_most", "_c")
+    place, most, own = (fresh(df, c) for c in ("_n", "_most", "_c"))
+    sizes = df.groupBy(F.col(category).alias(own)).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias(most))
+    ranked = rank_in_group(df, [category, source], order, place)
+    return ranked.join(sizes, F.col(category).eqNullSafe(F.col(own))).where(F.col(place) <= F.col(most)).drop(place, most, own)
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:

@@ -61,6 +61,11 @@ def route_category(spark, sf_dir):
     return urls.route_category(pages_of(spark, sf_dir), "url", ROUTES, "other").select("page_id", "category")
 
 
+@query(f"select * from (select page_id, case {SEGMENTS}[1] when 'en' then 'civic' when 'de' then 'admin' when 'it' then null else 'leisure' end as category from pages) where category is not null")
+def route_first_segment(spark, sf_dir):
+    return urls.route_by_segment(pages_of(spark, sf_dir), "url", {"en": "civic", "de": "admin", "it": None}, "leisure").select("page_id", "category")
+
+
 @query(f"""select page_id, case when length(leaf) > 0 then 'admin/' || lower(leaf) end as subcategory from (select page_id,
 substr(regexp_replace(regexp_replace(regexp_replace({SEGMENTS}[-1], '\\.html$', ''), '-', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), 1, 40) as leaf from pages)""")
 def derive_subcategory(spark, sf_dir):

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cityjobs.operators import chunks, evals, opendata, pages, retrieval, urls
+from cityjobs.operators import audit, chunks, evals, opendata, pages, retrieval, urls
 from cityjobs.plans import answers, corpus, feeds, registry  # noqa: F401
 from cityjobs.sources import files
 from cityjobs.streaming import jobs
@@ -211,6 +211,15 @@ def test_places_in_groups_without_a_task_a_group(spark):
     assert len(found) == 2000 and all(n == list(range(1, len(n) + 1)) for n in groups.values())
 
 
+def test_working_columns_leave_the_caller_s_alone(spark):
+    rows = spark.createDataFrame([("a", 1, 10, 5, 6, 7), ("a", 2, 20, 5, 6, 7), ("b", 3, 30, 5, 6, 7)], "g string, k int, _n int, _h int, _latest int, _range int")
+    assert sorted(r["_n"] for r in urls.dedupe_first(rows, ["g"], [F.desc("k")]).collect()) == [20, 30]
+    assert sorted(r["_n"] for r in urls.cap_share(rows, "g", "g", 0.9, ["k"]).collect()) == [10, 30]
+    assert [r["_latest"] for r in opendata.latest_only(rows, "k").collect()] == [6]
+    found = audit.stratified_sample(rows, "g", 1, "k")
+    assert found.columns == rows.columns and found.count() == 2
+
+
 def test_longest_key_with_many_keys(spark, monkeypatch):
     names = spark.createDataFrame([(1, "Schweizerisches Obligationenrecht.pdf"), (2, "BV"), (3, "nothing")], "id int, name string")
     keys = spark.createDataFrame([("obligationenrecht",), ("recht",), ("bv",), ("ob",)], "key string")
