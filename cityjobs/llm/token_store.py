@@ -26,7 +26,7 @@ from .common import utf8
 BLANK, LATIN, SIGN = r" \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?;:$%&#*|"
 #: A word of Latin letters alone or before signs, signs before white space, or any other run without white space.
 CHUNK = re.compile(f"[{LATIN}]+(?=[{BLANK}{SIGN}]|$)|[{SIGN}]+(?=[{BLANK}]|$)|[^{BLANK}]+")
-TABLE_ROWS, TABLE_CHARS = 400_000, 64
+TABLE_ROWS, TABLE_CHARS = 320_000, 64
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
 
@@ -126,7 +126,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before.
+
+    A row for each row written: null ids come first, a null or empty text has the end id alone, rows that repeat a doc_id
+    follow each other by their text. An empty store gives no rows.
+    """
     rows = spark.read.parquet(path)
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # one row for each file, and a running sum over those
@@ -135,7 +139,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what read_tokens gives, counted from the ids themselves."""
+    """(doc_id, start, n_tokens, ids_crc32) of what read_tokens gives, counted from the ids themselves, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
