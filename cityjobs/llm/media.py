@@ -97,7 +97,11 @@ def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, wav, pair_times, pair_codes) of every whole text; null counts as empty."""
+    """(doc_id, n_bytes, wav, pair_times, pair_codes) of every whole text, a row for each row.
+
+    Null texts count as empty: 576 bytes of padding and no pairs. Repeated rows get equal rows, an empty table none;
+    other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +130,10 @@ COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What media() makes of each whole text, as sizes and digests; one pass, nothing kept but the current text."""
+    """What media() makes of each whole text, as sizes and digests; one pass, nothing kept but the current text.
+
+    Rows as in media(): one for each row, null texts as empty, equal texts with equal values, none for an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in COLUMNS.split(", ")]

@@ -56,7 +56,11 @@ class ChunkTable:
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids array<int>) with begin and end ids. Null texts count as empty: begin and end alone."""
+    """(doc_id, ids array<int>) with begin and end ids, a row for each row.
+
+    Null texts count as empty: begin and end alone. Repeated rows get equal rows, an empty table none; other columns
+    are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
@@ -70,7 +74,11 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, by the same table, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, by the same table, in one pass.
+
+    A row for each row, null ids too. Null texts count as empty: two ids, and the digest of ''. Repeated rows get equal
+    rows, an empty table none; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)

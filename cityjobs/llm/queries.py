@@ -16,48 +16,57 @@ WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and wordless texts have the fingerprint 0; a row for each row, see simhash.near_duplicates."""
     prepare(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; a row for each row, see ppm.score_documents."""
     prepare(spark)
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and n_chars alone are inputs. Null texts count as empty; a row for each row, see quality.scored."""
     prepare(spark)
-    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records a page. The pages hold no responses: status, headers and date are made up, see warc.derivatives."""
     prepare(spark)
     found = warc.derivatives(table(spark, sf_dir, "pages"))
     return found.select(*[c for c in found.columns if c != "record"], F.sha2("record", 256).alias("record_sha256"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`und` for null, empty and letterless texts; a row for each row, see langid.identified."""
     prepare(spark)
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; a row for each row, see toxicity.scored."""
     prepare(spark)
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; a row for each row, see media.digests."""
     prepare(spark)
     return media.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; a row for each row, see pieces.digests."""
     prepare(spark)
     return pieces.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder and read back. Null texts have the end id alone, see token_store.read_tokens."""
     prepare(spark)
     path = scratch(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, WORD_MODEL)
@@ -65,11 +74,13 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for contaminated documents alone; null and empty texts match nothing, see decontam.contaminated."""
     prepare(spark)
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of the documents that all stages keep, see corpus_pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
