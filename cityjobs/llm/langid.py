@@ -8,12 +8,12 @@ is calibrated by a temperature on documents kept from training; the rejection li
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,9 @@ from .common import remainder, share, utf8
 
 BUCKETS, DIM = 1 << 15, 16
 PIECE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter: a sign of category L, in training and scoring alike. Numbers written as letters or signs are none.
+IS_LETTER = r"\p{L}"
+LETTER = regex.compile(IS_LETTER)
 FOLD = np.array([32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
 LEAST_OF_EACH = 20
 
@@ -127,7 +129,7 @@ def train(docs: DataFrame, fold: int = 3, held: int = 1, bound: int = 4_000) ->
 
     Texts without letters are left out. Distinct buckets and counts come to the driver, at most 2 ** 15 a text; texts do not.
     """
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (remainder("doc_id", fold) != held) & F.col("text").rlike(r"[\p{L}]"))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (remainder("doc_id", fold) != held) & F.col("text").rlike(IS_LETTER))
     sizes = known.groupBy("lang").count()
     quota = max(LEAST_OF_EACH, bound // max(1, sizes.count()))
     drawn = known.join(F.broadcast(sizes), "lang").where(share(["doc_id", "text"], 23) < F.lit(quota) / F.col("count")).select("doc_id", "text", "lang")

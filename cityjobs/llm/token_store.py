@@ -95,7 +95,8 @@ def word_table(path: str, end_id: int) -> WordTable:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Files of (shard, doc_id, n_tokens, shard_start, ids), each sorted by doc_id, shards in doc_id order.
 
-    Null texts count as empty: the end id alone. Rows that repeat a doc_id stay, ordered by their text.
+    Null texts count as empty: the end id alone. Rows that repeat a doc_id, or have none, stay, ordered by a hash of
+    their text; ranges are cut by both, so that however many such rows there are they are dealt to many tasks and files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +111,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             start += int(ends[-1]) if len(ends) else 0
 
     (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+        .repartitionByRange("doc_id", "_hash")
+        .sortWithinPartitions("doc_id", "_hash", "text")
         .mapInArrow(run, "shard int, doc_id long, n_tokens long, shard_start long, ids array<int>")
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
@@ -129,7 +130,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before.
 
     A row for each row written: null ids come first, a null or empty text has the end id alone, rows that repeat a doc_id
-    follow each other by their text. An empty store gives no rows.
+    follow each other by a hash of their text. An empty store gives no rows.
     """
     rows = spark.read.parquet(path)
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))

@@ -186,6 +186,15 @@ def test_long_texts_are_counted_whole(monkeypatch):
     assert len(list(langid.buckets(text))) > 4 and all(np.array_equal(x, y) for x, y in zip(whole, cut))
 
 
+def test_letters_are_those_of_category_l():
+    rows = [langid.counted(t.encode()) for t in ("the cat and the dog", "der Hund und die Katze")]
+    model = langid.fit([*rows] * 3, ["en", "de"] * 3)
+    for text in ("½", "²³", "①", "Ⅷ", "12 _", "", "̈", "😀"):
+        assert model.predict(text.encode()) == ("und", 0.0), text
+    for text in ("a", "ß", "ª", "я", "字", "ʰ", "1a"):
+        assert model.predict(text.encode())[0] in ("de", "en"), text
+
+
 def test_language_of_held_out_documents_and_odd_rows(spark, tables, odd):
     docs, _ = tables
     got = langid.identified(docs).collect()
