@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, pieces, ppm, quality, simhash, token_store, toxicity, warc
+from . import decontam, langid, line_runs, media, pieces, ppm, quality, simhash, token_store, toxicity, warc
 from .common import prepare, scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
+BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and wordless texts have the fingerprint 0; a row for each row, see simhash.near_duplicates."""
@@ -79,6 +81,14 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one empty line, which stays; a row for each row, see line_runs.drop_common_lines."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = line_runs.drop_common_lines(docs, line_runs.batches_of(docs))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of the documents that all stages keep, see corpus_pipeline."""
     import corpus_pipeline
@@ -87,6 +97,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_ppm, op3_quality, op4_warc, op5_langid, op6_toxicity, op7_media, op8_pieces, op9_token_store, op10_decontam, pipeline)
+    f.__name__: f for f in (op1_simhash, op2_ppm, op3_quality, op4_warc, op5_langid, op6_toxicity, op7_media, op8_pieces, op9_token_store, op10_decontam, op12_line_runs, pipeline)
+}
+ORACLES: dict[str, str] = {
+    "op12_line_runs": f"""with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as l from documents),
+x as (select r, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from d),
+k as (select r, i, line, translate(trim(line, {BLANKS_SQL}), '{line_runs.UPPER}', '{line_runs.LOWER}') as key from x),
+c as (select key from k where key <> '' group by key having count(distinct r) >= 10),
+t as (select r, string_agg(line, chr(10) order by i) as kept, count(*) as n from k where key not in (select key from c) group by r)
+select doc_id, len(l) as n_lines, len(l) - coalesce(n, 0) as n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (r)""",
 }
-ORACLES: dict[str, str] = {}
