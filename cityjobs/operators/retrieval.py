@@ -6,14 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cells import meet
 from .chunks import count_tokens, split_sentences
 from .urls import keep_checkpoints
 
-QUERY_BLOCK, AT_ONCE = 32_000, 1_000
+#: The inverted file: cells at most, rows that centroids are fitted on, of those for each cell, rounds of the fit.
+CELLS, FIT_ROWS, FIT_ROWS_A_CELL, FIT_ROUNDS = 1_024, 65_536, 32, 4
+FOUND = "query_id long, vec_id long, distance double"
 
 
 def wrap_document(text: Column) -> Column:
@@ -37,66 +41,124 @@ def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray],
     return df.withColumn(name, run(F.col(text)))
 
 
-def nearest(matrix: np.ndarray, v: np.ndarray, vec: np.ndarray, best_d: np.ndarray, best_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k least (distance, id) of each query, of those so far and of a batch of vectors. Missing ones: infinity."""
-    d = np.concatenate([best_d, np.round(1 - matrix @ v.T, 4) + 0.0], axis=1)
-    ids = np.concatenate([best_id, np.broadcast_to(vec, (len(matrix), len(vec)))], axis=1)
-    # what is no farther than the kth, ties included, is sorted; the rest is not
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    row, column = np.nonzero((d <= edge) & np.isfinite(d))
-    far, own = d[row, column], ids[row, column]
+def matrix_of(column: pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
+    """Lists of equal size as the rows of a matrix."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    return flat.reshape(len(column), -1 if len(column) else 0)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
+def best_of(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance) of the k least (distance, id) in each row of d, ids by column."""
+    if d.shape[1] > k:
+        # what is no farther than the kth, ties included, is sorted; the rest is not
+        row, column = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, column = [x.ravel() for x in np.indices(d.shape)]
+    far, own = d[row, column], ids[column]
     order = np.lexsort((own, far, row))
     row, far, own = row[order], far[order], own[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-    keep = place < k
-    best_d, best_id = np.full((len(matrix), k), np.inf), np.zeros((len(matrix), k), np.int64)
-    best_d[row[keep], place[keep]], best_id[row[keep], place[keep]] = far[keep], own[keep]
-    return best_d, best_id
+    keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return row[keep], own[keep], far[keep]
+
+
+def centroids_of(vectors: DataFrame) -> np.ndarray:
+    """Unit centroids of at most CELLS cells, fitted by a few rounds of k-means on the FIT_ROWS rows of least hash."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()
+    v = unit(matrix_of(rows.column("embedding")))
+    n = min(CELLS, len(v) // FIT_ROWS_A_CELL)
+    if n < 2:
+        return v[:1]
+    centres = v[:n]
+    for _ in range(FIT_ROUNDS):
+        own = (v @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, v)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1e-9, sums, centres)
+        centres = unit(centres)
+    return centres
+
+
+def in_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Adds `cell`, the nearest centre, and `far`, the Euclidean distance from it, of the unit vectors."""
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)  # at most CELLS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sent.value @ unit(matrix_of(pa.chunked_array([batch.column("embedding")]))).T if len(batch) else np.zeros((1, 0))
+            far = np.sqrt(np.maximum(0, 2 - 2 * found.max(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.argmax(0).astype(np.int32)), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return vectors.mapInArrow(run, f"{fields}, cell int, far double")
 
 
 def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) of the k nearest by cosine distance, rounded to 4.
 
-    Queries (query_id, embedding) are taken in blocks of about QUERY_BLOCK rows, each sent to all tasks, which read the
-    vectors once a block; a task keeps k rows a query, and those are merged. Distances tie by vec_id. Null and zero
-    vectors match nothing.
+    An inverted file: every vector lies in the cell of its nearest centroid, and a cell knows its radius. A query
+    first meets the nearest cells that hold k vectors, which bounds its kth distance, then those of the other cells that
+    the triangle inequality doesn't rule out. So the answer is exact, whatever the centroids, which are fitted on a
+    bounded sample. Queries (query_id, embedding) and vectors meet in joins of bounded groups; nothing is looped over or
+    gathered but the centroids and a row for each cell. Distances tie by vec_id. Null and zero vectors match nothing.
     """
     spark = queries.sparkSession
-    vectors = vectors if where is None else vectors.where(where)
-    vectors = vectors.select("vec_id", "embedding").where("embedding is not null")
-    # a block holds queries whose hash falls into its share; their number is counted, not assumed
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).where("embedding is not null").select("query_id", F.col("embedding").cast("array<float>")).toArrow()
-        ids = rows.column("query_id").to_numpy()
-        matrix = np.array(rows.column("embedding").to_pylist(), np.float32).reshape(len(ids), -1 if len(ids) else 0)
-        filled = np.linalg.norm(matrix, axis=1) > 0
-        sent = spark.sparkContext.broadcast((ids[filled], matrix[filled]))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            if not len(ids):
-                return
-            best_d, best_id = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+    keep_checkpoints(spark)
+    filled = F.exists("embedding", lambda x: x != 0)
+    vectors = (vectors if where is None else vectors.where(where)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(filled)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(filled)
+    centres = centroids_of(vectors)
+    if not len(centres):
+        return spark.createDataFrame([], FOUND).withColumn("rank", F.lit(1))
+    rows = in_cells(vectors, centres).checkpoint()
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas().set_index("cell").reindex(range(len(centres)))
+    size, radius = cells["n"].fillna(0).to_numpy(), cells["radius"].fillna(-1).to_numpy()
+    sent = spark.sparkContext.broadcast((centres, size, radius))
+
+    def visits(first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, size, radius = sent.value
             for batch in batches:
-                v = np.array(batch["embedding"].tolist(), np.float64)
-                size = np.linalg.norm(v, axis=1) if len(v) else np.zeros(0)
-                if not (size > 0).any():
+                if not len(batch):
                     continue
-                v, vec = v[size > 0] / size[size > 0][:, None], batch["vec_id"].to_numpy()[size > 0]
-                for lo in range(0, len(ids), AT_ONCE):
-                    some = slice(lo, lo + AT_ONCE)
-                    part = matrix[some].astype(np.float64)
-                    part /= np.linalg.norm(part, axis=1, keepdims=True)
-                    best_d[some], best_id[some] = nearest(part, v, vec, best_d[some], best_id[some], k)
-            row, column = np.nonzero(np.isfinite(best_d))
-            yield pd.DataFrame({"query_id": ids[row], "vec_id": best_id[row, column], "distance": best_d[row, column]})
-
-        some = vectors.mapInPandas(run, "query_id long, vec_id long, distance double")
-        found = some if found is None else found.unionByName(some)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+                d = np.sqrt(np.maximum(0, 2 - 2 * unit(matrix_of(pa.chunked_array([batch.column("embedding")]))) @ centres.T))
+                order = np.argsort(np.where(size > 0, d, np.inf), axis=1, kind="stable")
+                before = np.cumsum(size[order], axis=1) - size[order]
+                home = np.zeros(d.shape, bool)
+                np.put_along_axis(home, order, before < k, axis=1)  # the nearest cells up to k vectors
+                home &= size > 0
+                if not first:
+                    kth = batch.column("kth").to_numpy(zero_copy_only=False)
+                    # kth is rounded to 4: what rounds to the same may lie half of 1e-4 beyond it, and as much before
+                    reach = np.sqrt(2 * np.maximum(0, np.where(np.isnan(kth), 3, kth) + 1.01e-4)) + 1e-6
+                    home = ~home & (size > 0) & (d - radius <= reach[:, None])
+                row, cell = np.nonzero(home)
+                taken = batch.select(["query_id", "embedding"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *taken.columns], names=["cell", "query_id", "embedding"])
+
+        return run
+
+    def near(rows: pa.Table, probes: pa.Table) -> pa.Table:
+        ids = rows.column("vec_id").to_numpy()
+        d = np.round(1 - unit(matrix_of(probes.column("embedding"))) @ unit(matrix_of(rows.column("embedding"))).T, 4) + 0.0
+        row, own, far = best_of(d, ids, k)
+        return pa.table({"query_id": probes.column("query_id").to_numpy()[row], "vec_id": own, "distance": far})
+
+    def search(probes: DataFrame) -> DataFrame:
+        return meet(rows.select("cell", "vec_id", "embedding"), "vec_id", probes, "query_id", near, FOUND)
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    place = "cell int, query_id long, embedding array<float>"
+    at_home = best(search(asked.mapInArrow(visits(True), place).checkpoint())).checkpoint()
+    kth = at_home.where(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
+    beyond = search(asked.join(kth, "query_id", "left").mapInArrow(visits(False), place).checkpoint())
+    return best(at_home.drop("rank").unionByName(beyond))
 
 
 def cite_sources(hits: DataFrame) -> DataFrame:

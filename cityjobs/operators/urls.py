@@ -122,13 +122,19 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str)
 
 
 def keep_checkpoints(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """Checkpoints go to the shared folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of this machine in local mode, as in tests; an
+    error on a cluster, whose executors share no such folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def cap_share(df: DataFrame, category: str, source: str, share: float, order: list[str]) -> DataFrame:

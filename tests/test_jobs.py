@@ -228,13 +228,12 @@ def test_longest_key_with_many_keys(spark, monkeypatch):
     assert sorted((r["id"], r["key"]) for r in pages.match_longest_key(names, "name", "id", keys).collect()) == few == [(1, "obligationenrecht"), (2, "bv"), (3, None)]
 
 
-def test_nearest_with_many_blocks_and_ties(spark, monkeypatch):
+def test_nearest_with_many_cells_and_ties(spark, monkeypatch):
     rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     queries = vectors.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
     once = sorted(retrieval.knn_topk(queries, vectors, 4).collect())
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(retrieval, "AT_ONCE", 2)
+    monkeypatch.setattr(retrieval, "FIT_ROWS_A_CELL", 4)
     assert sorted(retrieval.knn_topk(queries, vectors.repartition(5), 4).collect()) == once and len(once) == 36
     assert [r["vec_id"] for r in once if r["query_id"] == 0] == [0, 15, 30, 45]
     assert retrieval.knn_topk(queries, vectors.limit(0), 4).count() == retrieval.knn_topk(queries.limit(0), vectors, 4).count() == 0
