@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_runs, media, pieces, ppm, quality, simhash, token_store, toxicity, warc
+from . import decontam, hyperplane_tree, langid, line_runs, media, pieces, ppm, quality, simhash, token_store, toxicity, warc
 from .common import prepare, scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -89,6 +89,14 @@ def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without label or with a null, NaN or infinite component take no part, see hyperplane_tree.hard_negatives."""
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplane_tree.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of the documents that all stages keep, see corpus_pipeline."""
     import corpus_pipeline
@@ -97,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_ppm, op3_quality, op4_warc, op5_langid, op6_toxicity, op7_media, op8_pieces, op9_token_store, op10_decontam, op12_line_runs, pipeline)
+    f.__name__: f for f in (op1_simhash, op2_ppm, op3_quality, op4_warc, op5_langid, op6_toxicity, op7_media, op8_pieces, op9_token_store, op10_decontam, op12_line_runs, op13_hard_negatives, pipeline)
 }
 ORACLES: dict[str, str] = {
     "op12_line_runs": f"""with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as l from documents),
@@ -106,4 +114,10 @@ k as (select r, i, line, translate(trim(line, {BLANKS_SQL}), '{line_runs.UPPER}'
 c as (select key from k where key <> '' group by key having count(distinct r) >= 10),
 t as (select r, string_agg(line, chr(10) order by i) as kept, count(*) as n from k where key not in (select key from c) group by r)
 select doc_id, len(l) as n_lines, len(l) - coalesce(n, 0) as n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (r)""",
+    "op13_hard_negatives": """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score from p join s using (anchor_id) where not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select *, row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as rank from n qualify rank <= 5""",
 }

@@ -1,9 +1,14 @@
 """Line runs, ranked search and hard negatives against brute force."""
 
 import hashlib
+import math
 from collections import Counter
 
-from cityjobs.llm import line_runs, queries
+import duckdb
+import numpy as np
+import pytest
+
+from cityjobs.llm import hyperplane_tree, line_runs, queries
 from cityjobs.llm.common import prepare
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +87,80 @@ def test_registered_lines_query(spark):
     want = {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for (i, (t, n, d)) in zip(rows, slow_lines(rows.values(), 10))}
     got = queries.QUERIES["op12_line_runs"](spark, SF).collect()
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got} == want
+
+
+def slow_negatives(rows, every, n, m, percent):
+    rows = [(NONE if i is None else i, label, [math.floor(256 * x) for x in v]) for i, label, v in rows if label is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out, dot = [], lambda a, b: sum(x * y for x, y in zip(a, b))
+    for a, label, v in rows:
+        if a == NONE or a % every:
+            continue
+        scored = sorted((-dot(v, w), b, label == other) for b, other, w in rows if b != a)
+        for ps, p, _ in [x for x in scored if x[2]][:n]:
+            fit = [(s, b) for s, b, like in scored if not like and percent * -ps <= 100 * -s <= 100 * -ps][:m]
+            out += [(a, p, k, b, -ps, -s) for k, (s, b) in enumerate(fit, 1)]
+    return [tuple(None if x == NONE else x for x in r) for r in out]
+
+
+NONE = int(hyperplane_tree.NONE)
+VECTORS = "vec_id long, label int, embedding array<float>, cell int, v string"
+
+
+def vector_rows(n, clusters):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(clusters, 8))
+    rows = [(i, int(rng.integers(3)), [float(np.float32(x)) for x in centres[i % clusters] + rng.normal(size=8) * 0.05]) for i in range(n)]
+    rows += [(n + k, k % 3, rows[7][2]) for k in range(40)]  # copies of one vector
+    rows += [(100 * n, None, rows[0][2]), (101 * n, 1, None), (102 * n, 1, [1.0, None] * 4), (103 * n, 1, [float("nan")] * 8), (104 * n, 1, [float("inf")] * 8), (105 * n, 1, []), (None, 1, rows[20][2]), (None, 2, rows[21][2])]
+    rows += [(20, 2, rows[3][2]), rows[40]]  # a repeated id, a repeated row
+    return rows
+
+
+@pytest.mark.parametrize("clusters", [1, 12])
+def test_hard_negatives_are_those_of_all_pairs(spark, monkeypatch, clusters):
+    prepare(spark)
+    monkeypatch.setattr(hyperplane_tree, "FIT_ROWS", 120)
+    monkeypatch.setattr(hyperplane_tree, "LEAF", 8)
+    rows = vector_rows(300, clusters)
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
+    got = hyperplane_tree.hard_negatives(table, 10, 4, 3, 80)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    want = slow_negatives(rows, 10, 4, 3, 80)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 100
+    assert hyperplane_tree.hard_negatives(table.limit(0)).count() == 0
+    assert hyperplane_tree.hard_negatives(table.where("vec_id = 10")).count() == 0
+
+
+def test_tree_leaves_out_leaves_but_no_row():
+    rng = np.random.default_rng(9)
+    v = np.floor(256 * (rng.normal(size=(40, 6))[rng.integers(40, size=3000)] + 0.05 * rng.normal(size=(3000, 6))))
+    tree = hyperplane_tree.Tree.fit(v[:1000], ways=5, leaf=20)
+    leaf, met = tree.walk(v)
+    tree.keep([(*k, *x) for k, x in met.items()])
+    q, seen = v[::30], 0
+    score = q @ v.T
+    lo, hi = np.percentile(score, 97, axis=1), np.percentile(score, 99, axis=1)
+    row, found = tree.reached(q, lo, hi)
+    for k in range(len(q)):
+        own = set(found[row == k])
+        assert set(leaf[(score[k] >= lo[k]) & (score[k] <= hi[k])]) <= own
+        seen += len(own)
+    assert tree.leaves > 40 and seen < 0.6 * tree.leaves * len(q)
+
+
+def test_far_components_are_an_error(spark):
+    with pytest.raises(Exception, match="beyond"):
+        hyperplane_tree.whole_vectors(spark.createDataFrame([(1, 1, [1e9], 1, "x")], VECTORS)).collect()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in found.description]
+    want = sorted(tuple(str(x) for x in r) for r in found.fetchall())
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == want
