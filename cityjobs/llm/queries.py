@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperplane_tree, langid, line_runs, media, pieces, ppm, quality, simhash, token_store, toxicity, warc
+from . import decontam, hyperplane_tree, langid, line_runs, media, pieces, ppm, quality, ranked_blocks, simhash, token_store, toxicity, warc
 from .common import prepare, scratch, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,6 +81,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no terms; every benchmark item against all documents, see ranked_blocks.ranked."""
+    prepare(spark)
+    return ranked_blocks.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts are one empty line, which stays; a row for each row, see line_runs.drop_common_lines."""
     prepare(spark)
@@ -105,9 +111,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_ppm, op3_quality, op4_warc, op5_langid, op6_toxicity, op7_media, op8_pieces, op9_token_store, op10_decontam, op12_line_runs, op13_hard_negatives, pipeline)
+    f.__name__: f for f in (op1_simhash, op2_ppm, op3_quality, op4_warc, op5_langid, op6_toxicity, op7_media, op8_pieces, op9_token_store, op10_decontam, op11_ranked_blocks, op12_line_runs, op13_hard_negatives, pipeline)
 }
+TERMS_SQL = f"regexp_extract_all(translate(text, '{line_runs.UPPER}', '{line_runs.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 ORACLES: dict[str, str] = {
+    "op11_ranked_blocks": f"""with d as (select doc_id, row_number() over () as r, {TERMS_SQL} as l from documents),
+i as (select item_id, row_number() over () as q, unnest({TERMS_SQL}) as term from benchmark), v as (select distinct term from i),
+s as (select count(*) as n, cast(sum(len(l)) as bigint) as total from d where len(l) > 0),
+t as (select r, term, count(*) as tf from (select r, unnest(l) as term from d) semi join v using (term) group by all),
+w as (select term, cast(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) as bigint) as w from t, s group by term, n),
+c as (select r, doc_id, 75 + (25 * len(l) * n) // total as m from d, s),
+p as (select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) as points from t join w using (term) join c using (r)),
+f as (select item_id, q, r, doc_id, cast(sum(points) as bigint) as score from i join p using (term) group by all)
+select item_id, row_number() over (partition by q order by score desc, doc_id) as rank, doc_id, score from f where score > 0 qualify rank <= 20""",
     "op12_line_runs": f"""with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as l from documents),
 x as (select r, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from d),
 k as (select r, i, line, translate(trim(line, {BLANKS_SQL}), '{line_runs.UPPER}', '{line_runs.LOWER}') as key from x),

@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
-from cityjobs.llm import hyperplane_tree, line_runs, queries
+from cityjobs.llm import hyperplane_tree, line_runs, queries, ranked_blocks
 from cityjobs.llm.common import prepare
 
 SF = "/root/testdata/sf0.001"
@@ -164,3 +165,77 @@ def test_query_equals_its_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(names)
     assert sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == want
+
+
+def slow_ranking(docs, items, most):
+    """By the contract's words, document by document."""
+    term = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    words = lambda t: term.findall((t or "").translate(LOWER))
+    cut = [(i, Counter(words(t)), len(words(t))) for i, t in docs]
+    n, total = sum(size > 0 for *_, size in cut), sum(size for *_, size in cut)
+    out = []
+    for item, text in items:
+        weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * sum(t in c for _, c, _ in cut) + 1))) for t in set(words(text))}
+        scored = []
+        for i, counts, size in cut:
+            m = 100 - 25 + (25 * size * n) // total
+            score = sum(weight[t] * ((1_000_000_000 * counts[t]) // (1000 * counts[t] + 12 * m)) for t in words(text))
+            if score > 0:
+                scored.append((-score, i is None, i))
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scored, key=str_last)[:most], 1)]
+    return out
+
+
+def str_last(x):
+    return x[0], x[1], x[2] or 0
+
+
+@pytest.mark.parametrize("limits", ["whole", "cut"])
+def test_ranked_documents_are_those_of_all(spark, monkeypatch, limits):
+    prepare(spark)
+    if limits == "cut":
+        for name, value in (("QUERIES_AT_ONCE", 2), ("TERMS_AT_ONCE", 12), ("SHARD_DOCS", 60), ("BLOCK", 4), ("SAMPLE", 40)):
+            monkeypatch.setattr(ranked_blocks, name, value)
+    rng = np.random.default_rng(5)
+    names = [f"w{k}" for k in range(60)] + ["Über", "ÜBER", "naïve", "字", "x1"]
+    text = lambda: " ".join(rng.choice(names, size=int(rng.integers(1, 40)), p=np.arange(65, 0, -1) / (65 * 66 / 2)))
+    docs = [(k, text()) for k in range(300)] + [(k, "w1 W1, w3.w40-x1 über\x7fw1") for k in range(300, 340)]
+    docs += [(None, "w5 w6"), (None, None), (341, ""), (342, " .,"), (343, "w7 " * 20_000), (5, "w5 w6"), (5, "w5 w6")]
+    items = [(k, text()) for k in range(12)] + [(12, None), (13, "..."), (14, "nowhere"), (None, "w1 w40"), (3, "w61 ÜBER über"), (15, "w1 " * 50)]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, n int, q int").repartition(3)
+    i = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id long, text string, rank int")
+    got = ranked_blocks.ranked(d, i, 7).collect()
+    want = slow_ranking(docs, items, 7)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 90
+    assert ranked_blocks.ranked(d, i.limit(0)).count() == ranked_blocks.ranked(d.limit(0), i).count() == 0
+
+
+def test_blocks_are_skipped_where_documents_differ():
+    """Documents about five subjects: a query on one of them skips blocks of its common terms, and its best are those of all."""
+    rng = np.random.default_rng(6)
+    n, n_terms, most = 3_000, 400, 5
+    subject = rng.integers(5, size=n)
+    found = [np.unique(np.concatenate([rng.integers(40, size=6), 100 + 15 * s + rng.integers(15, size=14)])) for s in subject]
+    at, terms = np.cumsum([0, *map(len, found)]), np.concatenate(found)
+    values = rng.integers(500_000, 900_000, size=len(terms))
+    weighed = np.zeros((n_terms, 8))
+    for q in range(8):
+        weighed[rng.integers(40, size=3), q] = 2_500
+        weighed[100 + 15 * (q % 5) + rng.permutation(15)[:5], q] = 1_500
+    shard = ranked_blocks.Shard(at, terms, values, n_terms)
+    scores = shard.dense.astype(float) @ weighed
+    least = -np.sort(-scores[::4], axis=0)[most - 1]
+    index = ranked_blocks.index_of(at, terms, values, weighed, least)
+    best = ranked_blocks.Best(least, most)
+    bounded, read = ranked_blocks.searched(shard, index, weighed, np.arange(n), best)
+    for q in range(8):
+        want = np.lexsort((np.arange(n), -scores[:, q]))[:most]
+        assert list(best.rows[q][1]) == list(want) and list(best.rows[q][0]) == list(scores[want, q])
+    assert read < 0.75 * bounded and len(index["list_term"]) < np.count_nonzero(weighed.any(1))
+    for k, t in enumerate(index["list_term"]):  # a block's summary is the maximum of its documents, coordinate by coordinate
+        first, last = index["list_at"][k : k + 2]
+        coords = index["coords"][index["coord_at"][k] : index["coord_at"][k + 1]]
+        maxima = index["maxima"][index["maxima_at"][k] : index["maxima_at"][k + 1]].reshape(last - first, -1)
+        blocks = [index["postings"][index["block_at"][b] : index["block_at"][b + 1]] for b in range(first, last)]
+        assert sorted(np.concatenate(blocks)) == list(np.flatnonzero(shard.dense[:, t]))
+        assert all(np.array_equal(m, shard.dense[np.ix_(b, coords)].max(0)) for m, b in zip(maxima, blocks))
