@@ -138,12 +138,13 @@ def train(docs: DataFrame, fold: int = 3, held: int = 1, bound: int = 4_000) ->
         for batch in batches:
             found = [counted(t) for t in utf8(batch.column(1))]
             at = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *(row[k] for row in found)]))) for k in range(2)]
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, kind), *(row[k].astype(kind) for row in found)]))) for k, kind in enumerate((np.int16, np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "lang", "i", "n"])
 
-    found = drawn.mapInArrow(run, "doc_id long, lang string, i array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    rows = [(i.values.to_numpy(), n.values.to_numpy()) for i, n in zip(found.column("i"), found.column("n"))]
-    return fit(rows, found.column("lang").to_pylist())
+    found = drawn.mapInArrow(run, "doc_id long, lang string, i array<smallint>, n array<int>").toArrow()
+    order = sorted(range(found.num_rows), key=lambda k: (found["doc_id"][k].as_py() is None, found["doc_id"][k].as_py() or 0, found["lang"][k].as_py()))
+    lists = [found.column(name) for name in "in"]  # seen in place, not copied
+    return fit([tuple(x[k].values.to_numpy() for x in lists) for k in order], [found["lang"][k].as_py() for k in order])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
