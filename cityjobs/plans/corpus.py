@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, chunks, pages, urls
+from ..operators import audit, chunks, pages, similar, urls
 from .registry import query, table
 
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
@@ -472,3 +472,17 @@ def upsert_docs(spark, sf_dir):
 def due_for_recrawl(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("updated_at"), F.expr("case when o_orderkey % 4 > 0 then cast(o_orderkey % 900 as int) end").alias("ttl_days"))
     return chunks.due_for_recrawl(rows, "1997-01-01").select("doc_id")
+
+
+#: Every paragraph of every document: its number behind the document's.
+PARAGRAPHS_SQL = "select doc_id * 100000 + i - 1 as id, list_filter(regexp_split_to_array(lower(x), '\\s+'), lambda w: w <> '') as w from (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)"
+
+
+@query(f"""with p as (select id, list_sort(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from ({PARAGRAPHS_SQL})),
+c as (select s, min(id) as class from p group by s), t as (select class, len(s) as n, unnest(s) as t from c),
+l as (select a.class, b.class as other from t a join t b on a.t = b.t and a.class <> b.class group by a.class, b.class, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)))
+select id, class, coalesce(k, 0) as links from p join c using (s) left join (select class, count(*) as k from l group by class) using (class)""")
+def near_duplicates(spark, sf_dir):
+    """Paragraphs by five-word shingles at 0.8."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    return similar.near_duplicates(lines.select((F.col("doc_id") * 100_000 + F.col("i")).alias("id"), "x"), "id", "x")
