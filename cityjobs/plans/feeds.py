@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, opendata
 from ..operators.urls import shared_folder
-from ..sources import files
+from ..sources import files, store
 from ..streaming import jobs
 from .corpus import CHUNKS_SQL, TOKENS_SQL, chunk_rows
 from .registry import query, table
@@ -316,17 +316,25 @@ select {KB_SQL.format(id='(doc_id + 1000000)')} || '_0000', sha1('stored ' || do
 def stream_upsert(spark, sf_dir):
     """Stored versions of some documents, and of others that stay; the stream brings every document anew."""
     docs = lambda df, id_, text, day: df.where("text <> ''").select(F.concat(F.lit("https://x.ch/"), id_).alias("source_url"), F.col("source").alias("source_name"), F.lit("t").alias("title"), F.col("lang").alias("language"), F.lit("reference").alias("doc_type"), text.alias("text"), F.lit(None).cast("array<struct<heading:string,text:string,level:int>>").alias("sections"), F.lit("2025-01-01").cast("date").alias("created_at"), F.lit(day).cast("timestamp").alias("updated_at"))
-    rows, at, last = table(spark, sf_dir, "documents"), folder(spark, "upsert"), [0]
+    rows, at = table(spark, sf_dir, "documents"), folder(spark, "upsert")
     old = docs(rows.where("doc_id % 2 = 0"), F.col("doc_id"), F.lit("old"), "2025-01-01").unionByName(docs(rows.where("doc_id % 3 = 0"), F.col("doc_id") + 1_000_000, F.concat(F.lit("stored "), F.col("doc_id")), "2025-01-01"))
-    chunks.chunk_documents(old.withColumn("updated_at", F.col("updated_at").cast("date"))).write.parquet(f"{at}/0")
-
-    def write(found: DataFrame) -> None:
-        found.write.parquet(f"{at}/{last[0] + 1}")
-        last[0] += 1
-
+    kept = store.ChunkStore(spark, at, 16)
+    kept.upsert(chunks.chunk_documents(old.withColumn("updated_at", F.col("updated_at").cast("date"))), 0)
     stream = docs(stream_of(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), "2025-06-01")
-    jobs.stream_upsert(stream, lambda: spark.read.parquet(f"{at}/{last[0]}"), write, f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/{last[0]}").select("chunk_id", F.sha1(F.col("display_text").cast("binary")).alias("text_sha1"))
+    jobs.stream_upsert(stream, kept, f"{at}/log", first_batch=1).trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("chunk_id", F.sha1(F.col("display_text").cast("binary")).alias("text_sha1"))
+
+
+@query(f"""select {KB_SQL.format(id='doc_id')} || '_0000' as chunk_id, sha1(case when doc_id % 4 = 0 then 'new ' else '' end || text) as text_sha1 from documents where text <> '' and doc_id % 6 <> 1""")
+def upsert_store(spark, sf_dir):
+    """Documents are stored; some come anew and some are deleted: only their buckets are rewritten."""
+    rows, at = table(spark, sf_dir, "documents"), folder(spark, "store")
+    doc = lambda df, text: df.where("text <> ''").select(F.concat(F.lit("https://x.ch/"), "doc_id").alias("source_url"), F.col("source").alias("source_name"), F.lit("t").alias("title"), F.col("lang").alias("language"), F.lit("reference").alias("doc_type"), text.alias("text"), F.lit(None).cast("array<struct<heading:string,text:string,level:int>>").alias("sections"), F.lit("2025-01-01").cast("date").alias("created_at"), F.lit("2025-01-01").cast("date").alias("updated_at"))
+    kept = store.ChunkStore(spark, at, 16)
+    kept.upsert(chunks.chunk_documents(doc(rows, F.col("text"))), 0)
+    gone = doc(rows.where("doc_id % 6 = 1"), F.col("text")).select(chunks.doc_id(F.col("source_url"), F.col("language")).alias("doc_id"))
+    kept.upsert(chunks.chunk_documents(doc(rows.where("doc_id % 4 = 0"), F.concat(F.lit("new "), "text"))), 1, gone)
+    return kept.read().select("chunk_id", F.sha1(F.col("display_text").cast("binary")).alias("text_sha1"))
 
 
 @query(f"select chunk_id, category, source, heading_path, language, n_tokens from (select chunk_id, category, source, heading_path, language, {TOKENS_SQL.format(t='display_text')} as n_tokens from ({CHUNKS_SQL}))")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.chunks import chunk_documents, upsert_docs
+from ..operators.chunks import chunk_documents
+from ..operators.urls import keep_checkpoints
+from ..sources.store import ChunkStore
 
 DECIDED = "key string, ts timestamp, accepted boolean"
 
@@ -83,18 +86,19 @@ def stream_rate_limit(stream: DataFrame, key: str, ts: str, window_s: int = 3600
     return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_upsert(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, watermark: str = "1 day"):
-    """New document versions, chunked, replace whole documents of the target that read() gives and write() takes.
+def stream_upsert(stream: DataFrame, store: ChunkStore, checkpoint: str, watermark: str = "1 day", first_batch: int = 0) -> DataStreamWriter:
+    """New document versions, chunked, replace whole documents of the store, of which a micro-batch rewrites only the
+    buckets that its documents are in.
 
-    write() must put a new version beside the one that read() gave. Versions of a document that come again, or later than the
-    watermark, are dropped.
+    A micro-batch is committed under its number, from first_batch on (above those that others wrote): one that fails half-way
+    is written again, one that comes again after its commit changes nothing. Versions of a document that come again, or
+    later than the watermark, are dropped.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
+    def merge(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("source_url", "language").agg(F.max_by(F.struct("*"), "updated_at").alias("_r")).select("_r.*")
-        write(upsert_docs(read(), chunk_documents(latest.withColumn("updated_at", F.col("updated_at").cast("date")))))
+        keep_checkpoints(batch.sparkSession)
+        store.upsert(chunk_documents(latest.withColumn("updated_at", F.col("updated_at").cast("date"))).checkpoint(), first_batch + number)
 
     fresh = stream.withWatermark("updated_at", watermark).dropDuplicatesWithinWatermark(["source_url", "language", "updated_at"])
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
