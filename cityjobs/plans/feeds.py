@@ -281,7 +281,8 @@ def drained(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
     else:
-        writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
+        # an update's rows beside those of the batches before, under the batch's number
+        writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
@@ -293,9 +294,20 @@ def stream_sensor_windows(spark, sf_dir):
     return drained(spark, found, "append").select("event_type", "start", "n", F.round("mean", 4).alias("mean"))
 
 
-@query("select user_id, max(ts) as ts from events group by user_id")
+@query("""select event_type, w as start, count(*) as n, round(avg(value), 4) as mean from (select event_type, value, unnest([date_trunc('hour', ts) - interval 2 hour, date_trunc('hour', ts) - interval 1 hour, date_trunc('hour', ts)]) as w from events)
+where w + interval 3 hour <= (select max(date_trunc('milliseconds', ts)) - interval 2 hour from events) group by all""")
+def stream_sliding_windows(spark, sf_dir):
+    """Windows of three hours that begin every hour."""
+    found = jobs.sensor_windows(stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "value", "3 hours", "1 hour")
+    return drained(spark, found, "append").select("event_type", "start", "n", F.round("mean", 4).alias("mean"))
+
+
+@query("select user_id, max(ts) as ts, max(value) filter (where ts = m) as value from (select *, max(ts) over (partition by user_id) as m from events) group by user_id")
 def stream_latest_reading(spark, sf_dir):
-    return drained(spark, jobs.stream_latest(stream_of(spark, sf_dir, "events").select("user_id", "ts", "value"), "user_id", "ts"), "complete").select("user_id", "ts")
+    """What the stream last said of each user."""
+    stream = stream_of(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    said = drained(spark, jobs.stream_latest(stream, "user_id", "ts"), "update")
+    return said.groupBy("user_id").agg(F.max_by(F.struct("ts", "value"), F.struct("ts", "value")).alias("r")).select("user_id", F.col("r.ts").cast("timestamp_ntz").alias("ts"), "r.value")
 
 
 @query()
