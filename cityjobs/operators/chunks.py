@@ -251,11 +251,27 @@ def to_jsonl(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def change_set(stored: DataFrame, crawled: DataFrame) -> DataFrame:
-    """(doc_id, change) from two document-level tables (doc_id, updated_at)."""
-    both = stored.select("doc_id", F.col("updated_at").alias("_old")).join(crawled.select("doc_id", F.col("updated_at").alias("_new")), "doc_id", "full_outer")
+def digests(df: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, count, sum and exclusive or of row hashes): equal for equal sets of (doc_id, updated_at), in any order."""
+    row, other = F.xxhash64("doc_id", "updated_at"), F.xxhash64(F.lit(7), "updated_at", "doc_id")
+    return df.groupBy("bucket").agg(F.struct(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("sum"), F.bit_xor(other).alias("mix")).alias("digest"))
+
+
+def change_set(stored: DataFrame, crawled: DataFrame, buckets: int = 4_096) -> DataFrame:
+    """(doc_id, change) from two document-level tables (doc_id, updated_at): new, changed, unchanged or deleted.
+
+    Documents are summed up by bucket on both sides. Only rows of buckets that differ meet in a join; those of the others are unchanged
+    as they stand and are not shuffled. The flags of the buckets, at most `buckets` small rows, go to all tasks.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    old, new = (df.select("doc_id", "updated_at", bucket) for df in (stored, crawled))
+    both = digests(old, buckets).withColumnRenamed("digest", "_a").join(digests(new, buckets).withColumnRenamed("digest", "_b"), "bucket", "full_outer")
+    differing = F.broadcast(both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("bucket"))
+    same = old.join(differing, "bucket", "left_anti").select("doc_id", F.lit("unchanged").alias("change"))
+    a = old.join(differing, "bucket", "left_semi").select("doc_id", F.col("updated_at").alias("_old"))
+    b = new.join(differing, "bucket", "left_semi").select("doc_id", F.col("updated_at").alias("_new"))
     change = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "deleted").when(F.col("_new") > F.col("_old"), "changed").otherwise("unchanged")
-    return both.select("doc_id", change.alias("change"))
+    return a.join(b, "doc_id", "full_outer").select("doc_id", change.alias("change")).unionByName(same)
 
 
 def upsert_docs(stored: DataFrame, new_chunks: DataFrame, deleted: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .urls import dedupe_first, fresh
+from .urls import dedupe_first, fresh, keep_checkpoints
 
 
 def latest_only(df: DataFrame, column: str) -> DataFrame:
@@ -330,19 +330,45 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * 6_371_000 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+#: Places of a cell beyond which cells are split, and how often at most (2 ** 20 of 15 km are 15 mm).
+PLACES_IN_CELL, SPLITS = 128, 20
+
+
 def poi_nearest(points: DataFrame, pois: DataFrame, radius_m: float, k: int) -> DataFrame:
-    """(point_id, poi_id, metres, rank): the k nearest places within the radius.
+    """(point_id, poi_id, metres, rank): the k nearest places within the radius, below 80 degrees of latitude.
 
-    Places are in a grid with cells as wide as the radius at the highest latitude in use (below 80 degrees); a
-    point looks into its own cell and the eight around it, joined on the cell.
+    Cells as wide as the radius are split in four until none holds more than PLACES_IN_CELL places. Points look into
+    their own and the eight cells around it, first among the smallest cells; one that finds k places within a cell's
+    width has its k nearest and stops, the others go on with cells twice as wide. So in a dense quarter a point meets
+    few places, however many the quarter has. Of places at one spot only the first k can count. Rows without coordinates are left out.
     """
+    spot = F.row_number().over(W.partitionBy("lat", "lon").orderBy("poi_id"))
+    places = pois.select("poi_id", "lat", "lon").where("lat is not null and lon is not null").withColumn("_n", spot).where(F.col("_n") <= k).drop("_n")
+    left = points.select("point_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).where("lat1 is not null and lon1 is not null")
     side = radius_m / 111_000
-    lon_side = side / 0.17
-    cell = lambda lat, lon: (F.floor(F.col(lat) / side).alias("gy"), F.floor(F.col(lon) / lon_side).alias("gx"))
+
+    def cell(lat: str, lon: str, level: int) -> tuple[Column, Column]:
+        return F.floor(F.col(lat) / (side / 2**level)).alias("gy"), F.floor(F.col(lon) / (side / 0.17 / 2**level)).alias("gx")
+
+    level = 0
+    most = lambda level: places.groupBy(*cell("lat", "lon", level)).count().agg(F.max("count")).first()[0] or 0
+    while level < SPLITS and most(level) > PLACES_IN_CELL:
+        level += 1
+    if level:
+        keep_checkpoints(points.sparkSession)
+        places = places.checkpoint()
     around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    looked = points.select("point_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *cell("lat", "lon")).withColumn("d", F.explode(around))
-    looked = looked.select("point_id", "lat1", "lon1", (F.col("gy") + F.col("d.dy")).alias("gy"), (F.col("gx") + F.col("d.dx")).alias("gx"))
-    both = looked.join(pois.select("poi_id", "lat", "lon", *cell("lat", "lon")), ["gy", "gx"])
-    near = both.withColumn("m", haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).where(F.col("m") <= radius_m)
     rank = F.row_number().over(W.partitionBy("point_id").orderBy("m", "poi_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "poi_id", F.col("m").cast("long").alias("metres"), "rank")
+    done = None
+    for at in range(level, -1, -1):
+        looked = left.select("*", *cell("lat1", "lon1", at)).withColumn("d", F.explode(around))
+        looked = looked.select("point_id", "lat1", "lon1", (F.col("gy") + F.col("d.dy")).alias("gy"), (F.col("gx") + F.col("d.dx")).alias("gx"))
+        both = looked.join(places.select("*", *cell("lat", "lon", at)), ["gy", "gx"])
+        near = both.withColumn("m", haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).where(F.col("m") <= radius_m / 2**at)
+        found = near.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "poi_id", F.col("m").cast("long").alias("metres"), "rank")
+        if at:
+            found = found.checkpoint()
+            full = found.where(F.col("rank") == k).select("point_id")
+            found, left = found.join(full, "point_id", "left_semi"), left.join(full, "point_id", "left_anti").checkpoint()
+        done = found if done is None else done.unionByName(found)
+    return done

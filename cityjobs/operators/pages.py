@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .urls import fresh
+from .keywords import FEW, scanned
+from .urls import any_of, fresh
 
 SECTION = "array<struct<heading:string,text:string,level:int>>"
 STEP = r"(?i)(schritt|etappe|step|étape|fase)\s*\d"
@@ -258,12 +259,23 @@ def tag_keywords(title: Column, text: Column, keywords: list[str], head: int = 5
     """Keywords in the lower-cased title and head of the text, once each.
 
     mode word: the keyword between blanks, or followed by `suffix` ('s', 'en') and a blank. fold: umlauts and blanks of
-    tags are written out. ordered: sorted, else in list order. fixed: an array of tags that come first.
+    tags are written out. ordered: sorted, else in list order. fixed: an array of tags that come first. A long list is one
+    automaton, which reads a text once.
     """
     seen = F.lower(F.concat(F.lit(" "), F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, head), F.lit(" ")))
-    word = lambda k: seen.contains(f" {k} ") | (seen.contains(f"{k}{suffix} ") if suffix else F.lit(False))
-    test = {"substring": seen.contains, "word": word}[mode]
-    found = F.array_compact(F.array(*[F.when(test(k), F.lit(fold_tag(k) if fold else k)) for k in dict.fromkeys(keywords)]))
+    forms = {"substring": lambda k: [k], "word": lambda k: [f" {k} ", *([f"{k}{suffix} "] if suffix else [])]}[mode]
+    keywords = list(dict.fromkeys(keywords))
+    tags = [fold_tag(k) if fold else k for k in keywords]
+    if len(keywords) <= FEW:
+        test = lambda k: any_of([seen.contains(x) for x in forms(k)], False)
+        found = F.array_compact(F.array(*[F.when(test(k), F.lit(tag)) for k, tag in zip(keywords, tags)])).cast("array<string>")
+    else:
+        words = [(x, n) for n, k in enumerate(keywords) for x in forms(k)]
+        of: dict[str, list[int]] = {}
+        for x, n in words:  # two keywords can have a form in common
+            of.setdefault(x, []).append(n)
+        places = list(of.values())
+        found = scanned(seen, list(of), lambda met: [tags[n] for n in sorted({n for m in met for n in places[m]})], "array<string>")
     tags = F.array_distinct(found if fixed is None else F.concat(fixed, found))
     return F.array_sort(tags) if ordered else tags
 
@@ -301,27 +313,27 @@ def fold_name(name: Column) -> Column:
     return F.regexp_replace(name, "[^a-z0-9]+", "_")
 
 
-KEYS_SENT = 10_000
+KEYS_SENT = 100_000
 
 
 def match_longest_key(df: DataFrame, name: str, id_: str, keys: DataFrame) -> DataFrame:
     """Adds the longest key (of equals the first) contained in the folded name; null if none is.
 
-    Up to KEYS_SENT keys are sent to all tasks; of more, the parts of a name that are as long as some key are joined
-    with the keys.
+    Up to KEYS_SENT keys come to the driver and go to all tasks as one automaton, which reads a name once; of more, the
+    parts of a name that are as long as some key are joined with the keys.
     """
     text, place = fresh(df, "_f"), fresh(df, "_n")
     folded = df.withColumn(text, fold_name(F.col(name)))
-    keys = keys.select("key").distinct()
-    if keys.limit(KEYS_SENT + 1).count() <= KEYS_SENT:
-        pairs = folded.join(F.broadcast(keys), F.col(text).contains(F.col("key")), "left")
-    else:
-        sizes = [r[0] for r in keys.select(F.length("key")).distinct().collect()]  # as many as key lengths
-        cuts = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(F.array().cast("array<string>"))))
-        parts = folded.select(id_, F.explode(F.array_distinct(cuts)).alias("key")).join(keys, "key")
-        pairs = folded.join(parts, id_, "left")
+    keys = keys.select("key").where("key is not null").distinct()
+    sent = [r["key"] for r in keys.limit(KEYS_SENT + 1).collect()]
+    if len(sent) <= KEYS_SENT:
+        longest_first = sorted(sent, key=lambda k: (-len(k), k))
+        return folded.withColumn("key", scanned(F.col(text), longest_first, lambda met: longest_first[min(met)] if met else None, "string")).drop(text)
+    sizes = [r[0] for r in keys.select(F.length("key")).distinct().collect()]  # as many as key lengths
+    cuts = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(F.array().cast("array<string>"))))
+    parts = folded.select(id_, F.explode(F.array_distinct(cuts)).alias("key")).join(keys, "key")
     order = W.partitionBy(id_).orderBy(F.desc(F.length("key")), "key")
-    return pairs.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place, text)
+    return folded.join(parts, id_, "left").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place, text)
 
 
 #: Marks of articles at the beginning of a line. (?d): only a line feed ends a line; (?U): as letters and blanks of any script.

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keywords import FEW, scanned
+
 
 @dataclass(frozen=True)
 class UrlRules:
@@ -77,6 +79,11 @@ def derive_subcategory(category: Column, url: Column, segment: int) -> Column:
 
 
 def first_keyword_label(text: Column, pairs: list[tuple[str, str]], default: str | None) -> Column:
+    """The label of the first pair whose keyword the text contains. A long list is one automaton, which reads a text once."""
+    if len(pairs) > FEW:
+        words = list(dict.fromkeys(k for k, _ in pairs))
+        labels = dict(reversed(pairs))
+        return F.coalesce(scanned(text, words, lambda met: labels[words[min(met)]] if met else None, "string"), F.lit(default))
     out = F.lit(default)
     for keyword, label in reversed(pairs):
         out = F.when(text.contains(keyword), F.lit(label)).otherwise(out)

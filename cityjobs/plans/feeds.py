@@ -357,6 +357,14 @@ def chunk_files(spark, sf_dir):
     return files.read_chunks(spark, at).select("chunk_id", "category", "source", "heading_path", "language", F.col("token_count").alias("n_tokens"))
 
 
+@query(f"select chunk_id, source, language from ({CHUNKS_SQL}) where category = 'law'")
+def collection_read(spark, sf_dir):
+    """One collection of the chunk tree, of which only its folders are read."""
+    at = folder(spark, "chunks")
+    files.write_chunks(chunk_rows(spark, sf_dir).drop("n"), at, "parquet")
+    return files.read_chunks(spark, at, "parquet").where("category = 'law'").select("chunk_id", "source", "language")
+
+
 @query("select p_partkey, p_name, p_retailprice from part")
 def read_open_csv(spark, sf_dir):
     """A CSV whose names have blanks and quotes, read with clean ones."""

@@ -14,12 +14,21 @@ CHUNK_SCHEMA = T.StructType(
 EVAL_SCHEMA = "persona_id string, seed string, transcript array<struct<role:string,content:string>>, latencies_s array<double>, errors array<string>, verdict struct<scores:map<string,double>,rationale:map<string,string>,patterns:array<string>,connector_gap:string,kb_gap:string,worst_turn_idx:int,error:string>"
 
 
-def read_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """JSON lines under category/source/; both are taken from the path, files that lie higher are ignored."""
-    rows = spark.read.schema(CHUNK_SCHEMA).option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(root)
-    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), r"/(?:category=)?([^/]+)/(?:source=)?([^/]+)/[^/]+$", i)
-    below = F.size(F.filter(F.split(F.replace(F.col("_metadata.file_path"), F.lit(root.rstrip("/")), F.lit("\n")), "\n"), lambda x: F.size(F.split(x, "/")) >= 4)) > 0
-    return rows.withColumn("category", part(1)).withColumn("source", part(2)).where(below)
+def read_chunks(spark: SparkSession, root: str, fmt: str = "json") -> DataFrame:
+    """Chunks under category=.../source=.../, as write_chunks lays them out: both are partition columns, so that a filter on
+    them reads only its folders. In Parquet a filter on other columns also skips files by their statistics.
+    """
+    placed = T.StructType([*CHUNK_SCHEMA.fields, *(T.StructField(c, T.StringType()) for c in ("category", "source"))])
+    return spark.read.schema(placed).option("pathGlobFilter", "*.json*" if fmt == "json" else "*").format(fmt).load(root)
+
+
+def read_plain_chunks(spark: SparkSession, root: str, category: str = "*", source: str = "*") -> DataFrame:
+    """JSON lines under plain folders category/source/, of one category or source if given; files that lie higher are
+    ignored. Plain names are no partitions for Spark, so the folders to read are named in the path.
+    """
+    rows = spark.read.schema(CHUNK_SCHEMA).option("pathGlobFilter", "*.json*").json(f"{root.rstrip('/')}/{category}/{source}")
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+$", i)
+    return rows.withColumn("category", part(1)).withColumn("source", part(2))
 
 
 def write_chunks(df: DataFrame, root: str, fmt: str = "json", files: int = 8) -> None:
