@@ -1,17 +1,20 @@
 """Documents to sentence-safe chunks with stable ids.
 
 A document has source_url, source_name, title, language, category, authority, doc_type, `sections` or a flat `text`,
-created_at, updated_at and what else its type needs. Everything of a document stays in its row until the pieces are
-exploded: no shuffle.
+created_at, updated_at and what else its type needs. A document is cut where it lies: no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA_VERSION, CUT = 1, 80_000
 TARGET = {"article": 600, "historical": 400}
@@ -21,13 +24,11 @@ DOC_TYPES = ["article", "procedure", "reference", "statute", "historical"]
 CHUNK_SHAPES = ["prose", "table", "list", "code"]
 AUTHORITIES = ["federal", "cantonal", "city", "wikipedia", "community", "private"]
 CATEGORIES = ["admin", "housing", "mobility", "health", "emergency", "education", "civic", "leisure", "food_drink", "neighborhoods", "law"]
-PIECE = "struct<part:int,sentences:array<int>,chunk_index:string,parent:string,step_index:int,paragraph:int>"
+SENTENCE, NUMBER = re.compile(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"), re.compile(r"\s*\d+\s")
 
 
-def count_tokens(text: Column) -> Column:
-    """Words times 1.3, rounded down, one at least; 0 for null and blank texts."""
-    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.when(text.isNull() | (clean == ""), 0).otherwise(F.greatest(F.lit(1), F.floor(F.size(F.split(clean, " ")) * 1.3))).cast("int")
+#: Gives a function that counts the tokens of texts; called once in a task, so a tokenizer is loaded there and cached by its maker.
+Counter = Callable[[], Callable[[list[str]], list[int]]]
 
 
 def words_count(text: str) -> int:
@@ -35,6 +36,29 @@ def words_count(text: str) -> int:
     return max(1, int(n * 1.3)) if n else 0
 
 
+def word_counter() -> Callable[[list[str]], list[int]]:
+    return lambda texts: [words_count(t) for t in texts]
+
+
+def count_tokens(text: Column, counter: Counter | None = None) -> Column:
+    """Words times 1.3, rounded down, one at least; 0 for null and blank texts. Another counter takes a batch at a time."""
+    if counter is None:
+        clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+        return F.when(text.isNull() | (clean == ""), 0).otherwise(F.greatest(F.lit(1), F.floor(F.size(F.split(clean, " ")) * 1.3))).cast("int")
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = counter()
+        for texts in batches:
+            filled = [(k, t) for k, t in enumerate(texts) if t is not None and t.strip()]
+            out = np.zeros(len(texts), np.int32)
+            if filled:
+                out[[k for k, _ in filled]] = count([t for _, t in filled])
+            yield pd.Series(out)
+
+    return run(text)
+
+
 def split_sentences(text: Column) -> Column:
     """Trimmed parts between sentence marks and a following capital; no empty ones."""
     parts = F.split(F.trim(text), r"(?<=[.!?])(?U)\s+(?=[A-ZÄÖÜ])")
@@ -80,12 +104,14 @@ def pack(sentences: list[str], tokens: list[int], target: int) -> list[str]:
     return [" ".join(sentences[k] for k in places) for places in pack_places(tokens, target)]
 
 
-def pack_sentences(sentences: Column, target: Column, counter: Callable[[str], int] = words_count) -> Column:
+def pack_sentences(sentences: Column, target: Column, counter: Counter = word_counter) -> Column:
     """Arrays of sentences to arrays of pieces; sequential in a row, so a pandas UDF."""
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series, most: pd.Series) -> pd.Series:
-        return pd.Series([pack(list(t), [counter(x) for x in t], int(m)) if t is not None else None for t, m in zip(texts, most)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        count = counter()
+        for texts, most in batches:
+            yield pd.Series([pack(list(t), count(list(t)), int(m)) if t is not None else None for t, m in zip(texts, most)], dtype=object)
 
     return run(sentences, target)
 
@@ -112,81 +138,105 @@ def validate_documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(good), df.where(~good)
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
+def sentences_of(text: str) -> list[str]:
+    return [x.strip() for x in SENTENCE.split(text.strip()) if x.strip()]
+
+
+def numbered_parts(text: str) -> list[str]:
+    """The text cut before each line from which on, blanks left out, a number and a blank follow. One pass from the end."""
+    lines = text.split("\n")
+    cuts, follows = [], False
+    at = len(text) + 1
+    for k in range(len(lines) - 1, -1, -1):
+        at -= len(lines[k]) + 1
+        if lines[k].strip():
+            follows = bool(NUMBER.match(lines[k] if k == len(lines) - 1 else lines[k] + "\n"))
+        if follows:
+            cuts.append(at)
+    cuts = [0, *reversed(cuts), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def pieces_of(rows: list[tuple[str, list[tuple[str, str]] | None, str]], count: Callable[[list[str]], list[int]]) -> list[list[dict]]:
+    """The chunks of each document (kind, sections, text), as plan_pieces gives them, with heading, text and tokens.
+
+    All texts of a batch are counted in two calls: what the plans need, then what they make.
+    """
+    asked: list[str] = []
+
+    def need(texts: list[str]) -> slice:
+        asked.extend(texts)
+        return slice(len(asked) - len(texts), len(asked))
+
+    seen = []
+    for kind, sections, text in rows:
+        parts = [(h or "", (t or "")[:CUT]) for h, t in sections] if sections else [("", (text or "")[:CUT])]
+        packs = kind in TARGET or kind == "procedure" and not sections
+        sentences = [sentences_of(t) for _, t in parts] if packs else []
+        whole = "" if packs or kind == "procedure" else "\n".join(t for _, t in parts)
+        paragraphs = numbered_parts(whole) if kind == "statute" else []
+        counts = need([t for _, t in parts] if kind in TARGET or kind == "procedure" else []), [need(x) for x in sentences], need([whole] if kind == "statute" else [])
+        seen.append((kind, bool(sections), parts, sentences, whole, paragraphs, counts))
+    found = count(asked) if asked else []
+    out, made = [], []
+    for kind, sectioned, parts, sentences, whole, paragraphs, (of_parts, of_sentences, of_whole) in seen:
+        plan = plan_pieces(kind, sectioned, [h for h, _ in parts], list(found[of_parts]) or [0] * len(parts), [list(found[x]) for x in of_sentences], next(iter(found[of_whole]), 0), [bool(x.strip()) for x in paragraphs])
+        for p in plan:
+            if p["paragraph"] is not None:
+                p["text"] = paragraphs[p["paragraph"] - 1].strip()
+            elif p["sentences"] is not None:
+                p["text"] = " ".join(sentences[p["part"]][k] for k in p["sentences"])
+            else:
+                p["text"] = whole if p["part"] is None else parts[p["part"]][1]
+            p["heading"] = "" if p["part"] is None else parts[p["part"]][0]
+        out.append(plan)
+        made += plan
+    for p, n in zip(made, count([p["text"] for p in made]) if made else []):
+        p["tokens"] = n
+    return out
+
+
+def chunk_documents(docs: DataFrame, counter: Counter = word_counter) -> DataFrame:
     """A row a chunk: parents first (P01...), then the children by position.
 
     article, historical: sections packed at 600 or 400 tokens; sections over 1200 tokens also give a parent, one for
     each heading (its first position, its last text). procedure: a chunk a step; flat ones whole up to 800 tokens,
     else packed at 600. reference: one chunk. statute: one chunk up to 2000 tokens, else a chunk a paragraph.
     Documents without text, sections or dates must be taken out by validate_documents first. Of a document's own
-    columns those that chunks have too are replaced.
+    columns those that chunks have too are replaced. `counter` counts tokens, in all rules and in token_count.
 
-    Texts are split, counted and joined by Spark; only token counts, and the headings of sections, go to the packer,
-    which answers with places.
+    A batch of documents is cut in one go where it lies, and only finished pieces come out, beside what a document's row
+    repeats in each of its chunks: never its text or sections.
     """
-    own = F.col("_d")
-    cut = F.transform(own["sections"], lambda s: F.struct(F.coalesce(s["heading"], F.lit("")).alias("heading"), F.coalesce(F.substring(s["text"], 1, CUT), F.lit("")).alias("text")))
-    given = F.coalesce(F.size(own["sections"]) > 0, F.lit(False))
-    flat = F.array(F.struct(F.lit("").alias("heading"), F.substring(F.coalesce(own["text"], F.lit("")), 1, CUT).alias("text")))
-
-    @F.pandas_udf(f"array<{PIECE}>")
-    def plan(kind: pd.Series, sectioned: pd.Series, headings: pd.Series, tokens: pd.Series, sentences: pd.Series, whole: pd.Series, paragraphs: pd.Series) -> pd.Series:
-        return pd.Series([plan_pieces(*row) for row in zip(kind, sectioned, headings, tokens, sentences, whole, paragraphs)])
-
-    packs = own["doc_type"].isin(list(TARGET)) | ((own["doc_type"] == "procedure") & ~F.col("_given"))
-    whole = F.array_join(F.transform("_parts", lambda p: p["text"]), "\n")
-    # an empty part in front where a mark begins the text: paragraphs are numbered by all parts
-    starts = F.when(F.col("_whole").rlike(r"^\s*\d+\s"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    ready = (
-        docs.select(F.struct("*").alias("_d"))
-        .select("_d", F.when(given, cut).otherwise(flat).alias("_parts"), given.alias("_given"))
-        .select("*", whole.alias("_whole"), F.when(packs, F.transform("_parts", lambda p: split_sentences(p["text"]))).otherwise(F.array().cast("array<array<string>>")).alias("_sentences"))
-        .select("*", F.when(own["doc_type"] == "statute", F.concat(starts, F.split("_whole", r"(?m)(?=^\s*\d+\s)"))).otherwise(F.array().cast("array<string>")).alias("_paragraphs"))
-        .select(
-            "*",
-            F.explode(
-                plan(
-                    own["doc_type"],
-                    F.col("_given"),
-                    F.transform("_parts", lambda p: p["heading"]),
-                    F.transform("_parts", lambda p: count_tokens(p["text"])),
-                    F.transform("_sentences", lambda s: F.transform(s, count_tokens)),
-                    count_tokens(F.col("_whole")),
-                    F.transform("_paragraphs", lambda p: F.trim(p) != ""),
-                )
-            ).alias("_p"),
-        )
-    )
-    piece, part = F.col("_p"), F.get("_parts", F.col("_p.part"))
-    sentences = F.transform(piece["sentences"], lambda k: F.get(F.get("_sentences", piece["part"]), k))
-    blanks = r"(?U)^\s+|\s+$"
-    text = (
-        F.when(piece["paragraph"].isNotNull(), F.regexp_replace(F.get("_paragraphs", piece["paragraph"] - 1), blanks, ""))
-        .when(piece["sentences"].isNotNull(), F.array_join(sentences, " "))
-        .when(piece["part"].isNotNull(), part["text"])
-        .otherwise(F.col("_whole"))
-    )
-    ready = ready.select("_d", "_p", text.alias("_text"), F.when(own["doc_type"].isin("reference", "statute"), "").otherwise(F.coalesce(part["heading"], F.lit(""))).alias("_heading"))
+    made = ("chunk_id", "doc_id", "chunk_index", "parent_chunk_id")
+    after = ("heading_path", "chunk_shape", "token_count", "step_index", "paragraph", "schema_version", "display_text", "embed_text")
+    rest = [c for c in docs.columns if c not in ("sections", "text", *made, *after)]
+    # a table with sections or flat texts alone is taken as well
+    none = {"sections": F.lit(None).cast("array<struct<heading:string,text:string>>"), "text": F.lit(None).cast("string")}
+    given = {c: F.col(c) if c in docs.columns else x for c, x in none.items()}
+    parts = F.transform(given["sections"], lambda s: F.struct(s["heading"].alias("heading"), s["text"].alias("text")))
+    ready = docs.select(F.struct(*rest).alias("_d"), F.col("doc_type").alias("_kind"), parts.alias("_sections"), given["text"].alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter()
+        for batch in batches:
+            sections = [x and [(y["heading"], y["text"]) for y in x] for x in batch.column("_sections").to_pylist()]
+            plans = pieces_of(list(zip(batch.column("_kind").to_pylist(), sections, batch.column("_text").to_pylist())), count)
+            of = np.repeat(np.arange(len(plans)), [len(p) for p in plans])
+            pieces = [p for plan in plans for p in plan]
+            column = lambda name, kind: pa.array([p[name] for p in pieces], kind)  # noqa: E731, B023 (called at once)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_d").take(pa.array(of)), column("chunk_index", pa.string()), column("parent", pa.string()), column("heading", pa.string()), column("text", pa.string()), column("tokens", pa.int32()), column("step_index", pa.int32()), column("paragraph", pa.int32())],
+                names=[f.name for f in shape.fields],
+            )
+
+    shape = T.StructType([ready.schema["_d"], *(T.StructField(c, T.StringType()) for c in ("_index", "_parent", "_heading", "_text")), *(T.StructField(c, T.IntegerType()) for c in ("_tokens", "_step", "_paragraph"))])
+    found, own = ready.mapInArrow(run, shape), F.col("_d")
     key = doc_id(own["source_url"], own["language"])
     path = heading_path(own["source_name"], own["title"], F.col("_heading"))
-    made = {
-        "chunk_id": chunk_id(key, piece["chunk_index"]),
-        "doc_id": key,
-        "chunk_index": piece["chunk_index"],
-        "parent_chunk_id": F.when(piece["parent"].isNotNull(), chunk_id(key, piece["parent"])),
-    }
-    after = {
-        "heading_path": path,
-        "chunk_shape": F.lit("prose"),
-        "token_count": count_tokens(F.col("_text")),
-        "step_index": piece["step_index"],
-        "paragraph": piece["paragraph"].cast("string"),
-        "schema_version": F.lit(SCHEMA_VERSION),
-        "display_text": F.col("_text"),
-        "embed_text": embed_text(path, F.col("_text")),
-    }
-    rest = {c: own[c] for c in docs.columns if c not in ("sections", "text", *made, *after)}
-    return ready.select(*[column.alias(name) for name, column in (made | rest | after).items()])
+    first = [chunk_id(key, F.col("_index")), key, F.col("_index"), F.when(F.col("_parent").isNotNull(), chunk_id(key, F.col("_parent")))]
+    last = [path, F.lit("prose"), F.col("_tokens"), F.col("_step"), F.col("_paragraph").cast("string"), F.lit(SCHEMA_VERSION), F.col("_text"), embed_text(path, F.col("_text"))]
+    return found.select(*[c.alias(n) for n, c in zip(made, first)], *[own[c].alias(c) for c in rest], *[c.alias(n) for n, c in zip(after, last)])
 
 
 def plan_pieces(kind: str, sectioned: bool, headings: list[str], tokens: list[int], sentences: list[list[int]], whole: int, paragraphs: list[bool]) -> list[dict]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .keywords import FEW, scanned
+from .markup import END, START, tokens
 from .urls import any_of, fresh
 
 SECTION = "array<struct<heading:string,text:string,level:int>>"
@@ -40,36 +41,55 @@ class HtmlProfile:
 
 
 class _Part:
-    """An element whose text is wanted: where it is, and its text nodes."""
+    """An element whose text is wanted: its texts are a stretch of the page's, of all or of those that count."""
 
-    def __init__(self, tag: str, scopes: frozenset[int], stripped: bool) -> None:
-        self.tag, self.scopes, self.stripped, self.texts = tag, scopes, stripped, []
+    def __init__(self, tag: str, stripped: bool, start: int, fixed: str | None = None) -> None:
+        self.tag, self.stripped, self.start, self.end, self.fixed = tag, stripped, start, start, fixed
 
-    def text(self, glue: str = " ") -> str:
-        return glue.join(self.texts)
 
+class _Sections:
+    """Title and sections of one page. A new block closes an open <p>, a new <li> an open one.
 
-class _Sections(HTMLParser):
-    """Title and sections of one page. A new block closes an open <p>, a new <li> an open one."""
+    Where open elements stand is kept by tag, so that a tag finds its element without a walk; texts are kept once, in
+    order. Of parts inside parts the DEPTH outermost are told apart, and the text of deeper ones is theirs. So time and
+    memory follow the page's length.
+    """
 
     SKIP = frozenset("script style nav header footer aside noscript iframe".split())
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
     CLOSES_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl div section article table form blockquote pre main header footer nav aside".split())
+    PARTING = ("div", "td", "section", "article", "main", "body")
     WANTED = frozenset("h1 h2 h3 p li title".split())
     ROOT, BODY, MAIN = 0, 1, 2
+    DEPTH = 32
 
     def __init__(self, profile: HtmlProfile) -> None:
-        super().__init__(convert_charrefs=True)
         self.profile, self.og = profile, ""
         self.stack: list[tuple[str, bool, bool, int | None, _Part | None]] = []  # tag, strips, gone, scope, part
-        self.scopes, self.open, self.skip, self.dropped = [self.ROOT], [], 0, 0
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
+        self.skip = self.dropped = self.depth = 0
         self.parts: list[_Part] = []
-        self.texts: list[tuple[frozenset[int], str]] = []
-        self.found, self.roots = {self.ROOT}, []
+        self.every: list[str] = []  # texts, and of those the ones that count, with their letters added up
+        self.texts: list[str] = []
+        self.letters = [0]
+        self.scopes: dict[int, list[int]] = {self.ROOT: [0, 0, -1, -1]}  # first part and text, and behind the last
+        self.roots: list[int] = []
+
+    def read(self, html: str) -> dict:
+        for kind, name, named in tokens(html):
+            if kind == START:
+                self.begin(name, named)
+            elif kind == END:
+                self.finish(name)
+            else:
+                self.say(name)
+        self.cut(0)
+        self.close(self.ROOT)
+        return self.result()
 
-    def handle_starttag(self, tag, attrs):
+    def begin(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         profile, named = self.profile, {}
-        for k, v in attrs:
+        for k, v in attributes:
             named.setdefault(k, v or "")
         tag = profile.rename.get(tag, tag)
         if tag == "meta" and named.get("property") == "og:title":
@@ -90,104 +110,113 @@ class _Sections(HTMLParser):
         self.dropped += gone
         scope = None
         if not self.skip:
-            if tag == "body" and self.BODY not in self.found:
+            if tag == "body" and self.BODY not in self.scopes:
                 scope = self.BODY
-            elif tag == "main" and self.MAIN not in self.found:
+            elif tag == "main" and self.MAIN not in self.scopes:
                 scope = self.MAIN
             elif profile.root and tag == profile.root[0] and any(profile.root[1] in m for m in marks):
                 scope = 3 + len(self.roots)
                 self.roots.append(scope)
         if scope is not None:
-            self.found.add(scope)
-            self.scopes.append(scope)
+            self.scopes[scope] = [len(self.parts), len(self.texts), -1, -1]
+        part = None
         if profile.folds and tag == profile.folds and not self.skip:
             heading = (named.get("heading") or named.get("label") or "").strip()
             if heading:
-                self.part("h3").texts.append(heading)
+                self.parts.append(_Part("h3", False, 0, heading))
             tag, part = "fold:" + tag, self.part("p")
-            self.open.append(part)
         elif tag in self.WANTED and not self.dropped:
             part = self.part(tag)
-            self.open.append(part)
-        else:
-            part = None
+        self.places[tag].append(len(self.stack))
         self.stack.append((tag, strips, gone, scope, part))
 
-    def part(self, tag: str) -> _Part:
-        self.parts.append(_Part(tag, frozenset(self.scopes), self.skip > 0))
+    def part(self, tag: str) -> _Part | None:
+        if self.depth == self.DEPTH:
+            return None
+        self.depth += 1
+        stripped = self.skip > 0
+        self.parts.append(_Part(tag, stripped, len(self.every if stripped else self.texts)))
         return self.parts[-1]
 
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
     def shut(self, tag: str, *within: str) -> None:
         """Closes an open element of this kind that no element of the other kinds parts from here."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self.cut(k)
-                return
-            if self.stack[k][0] in within or self.stack[k][0] in ("div", "td", "section", "article", "main", "body"):
-                return
+        at = self.last(tag)
+        if at > self.last(*within, *self.PARTING):
+            self.cut(at)
 
     def cut(self, depth: int) -> None:
         while len(self.stack) > depth:
-            _, strips, gone, scope, part = self.stack.pop()
+            tag, strips, gone, scope, part = self.stack.pop()
+            self.places[tag].pop()
             self.skip -= strips
             self.dropped -= gone
             if scope is not None:
-                self.scopes.remove(scope)
+                self.close(scope)
             if part is not None:
-                self.open.remove(part)
+                self.depth -= 1
+                part.end = len(self.every if part.stripped else self.texts)
 
-    def handle_endtag(self, tag):
+    def close(self, scope: int) -> None:
+        self.scopes[scope][2:] = len(self.parts), len(self.texts)
+
+    def finish(self, tag: str) -> None:
         tag = self.profile.rename.get(tag, tag)
-        tags = {"fold:" + tag} if tag == self.profile.folds else {"h2", "h3", "h4"} if tag == self.profile.levels and tag else {tag}
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                self.cut(k)
-                return
-
-    def handle_data(self, data):
-        data = data.strip()
-        if not data or self.dropped:
-            return
-        for part in self.open:
-            if part.stripped or not self.skip:
-                part.texts.append(data)
-        if not self.skip:
-            self.texts.append((frozenset(self.scopes), data))
+        at = self.last(*(("fold:" + tag,) if tag == self.profile.folds else ("h2", "h3", "h4") if tag == self.profile.levels and tag else (tag,)))
+        if at >= 0:
+            self.cut(at)
+
+    def say(self, text: str) -> None:
+        text = text.strip()
+        if text and not self.dropped:
+            self.every.append(text)
+            if not self.skip:
+                self.texts.append(text)
+                self.letters.append(self.letters[-1] + len(text))
+
+    def filled(self, part: _Part) -> bool:
+        return part.fixed is not None or part.end > part.start
+
+    def text_of(self, part: _Part) -> str:
+        return part.fixed if part.fixed is not None else " ".join((self.every if part.stripped else self.texts)[part.start : part.end])
 
     def scope(self) -> int:
         if self.roots:
-            size = lambda s: sum(len(t) for at, t in self.texts if s in at)
+            size = lambda s: self.letters[self.scopes[s][3]] - self.letters[self.scopes[s][1]]
             return max(self.roots, key=size) if self.profile.largest else self.roots[0]
-        return max(s for s in self.found if s <= self.MAIN)
+        return max(s for s in self.scopes if s <= self.MAIN)
 
     def title(self) -> str:
         profile = self.profile
-        first = {tag: next((p.text() for p in self.parts if p.tag == tag and p.texts and not (tag == "h1" and (p.text().lower() in profile.bogus or "*" in profile.bogus))), "") for tag in ("h1", "h2", "title")}
+        bogus = lambda p: p.tag == "h1" and ("*" in profile.bogus or bool(profile.bogus) and self.text_of(p).lower() in profile.bogus)
+        first = {tag: next((self.text_of(p) for p in self.parts if p.tag == tag and self.filled(p) and not bogus(p)), "") for tag in ("h1", "h2", "title")}
         bare = lambda t: t.removesuffix(profile.title_suffix).strip() if profile.title_suffix else t
         order = {"h1": (first["h1"], bare(self.og), bare(first["title"])), "og": (bare(self.og), first["h1"], bare(first["title"])), "h2": (first["h2"], bare(first["title"]))}[profile.title_from]
         return next((t for t in order if t), "")
 
     def result(self) -> dict:
-        self.cut(0)
-        scope, sections, heading, level, texts = self.scope(), [], "", 2, []
+        first, text, behind, last = self.scopes[self.scope()]
+        sections, heading, level, texts = [], "", 2, []
 
         def flush() -> None:
             text = "\n\n".join(dict.fromkeys(texts))
             if text:
                 sections.append({"heading": heading, "text": text, "level": level})
 
-        for part in self.parts:
-            if part.stripped or scope not in part.scopes:
+        for part in self.parts[first:behind]:
+            if part.stripped:
                 continue
             if part.tag in ("h2", "h3"):
                 flush()
-                heading, level, texts = part.text(), int(part.tag[1]), []
-            elif part.tag in ("p", "li") and part.texts:
-                texts.append(part.text())
+                heading, level, texts = self.text_of(part), int(part.tag[1]), []
+            elif part.tag in ("p", "li") and self.filled(part):
+                texts.append(self.text_of(part))
         flush()
         if not sections:
-            text = "\n".join(t for at, t in self.texts if scope in at)
-            sections = [{"heading": "", "text": text, "level": 2}] if text else []
+            whole = "\n".join(self.texts[text:last])
+            sections = [{"heading": "", "text": whole, "level": 2}] if whole else []
         return {"title": self.title(), "sections": sections, "full_text": "\n\n".join(s["text"] for s in sections)}
 
 
@@ -197,18 +226,14 @@ def extract_sections(pages: DataFrame, html: str, profile: HtmlProfile | None =
     The title is the first h1, wherever it stands, else og:title, else the page's title. Navigation, headers, footers,
     asides, scripts and frames do not count (forms do); what counts is the first main, else the body. An h2 or h3 opens
     a section; its paragraphs and list items are joined, each once. Without any the whole text is one section of level 2.
-    full_text is the sections' texts. Null and empty pages have an empty title and text and no sections.
+    full_text is the sections' texts. Of elements inside each other the 32 outermost count as parts of their own, the text
+    of deeper ones as theirs. A page is read once, from left to right. Null and empty pages have an empty title and text and no sections.
     """
     profile = profile or HtmlProfile()
 
     @F.pandas_udf(f"struct<title:string,sections:{SECTION},full_text:string>")
     def parse(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            parser = _Sections(profile)
-            parser.feed(text or "")
-            parser.close()
-            rows.append(parser.result())
+        rows = [_Sections(profile).read(text or "") for text in texts]
         return pd.DataFrame(rows, columns=["title", "sections", "full_text"])
 
     rest = [c for c in pages.columns if c not in ("title", "sections", "full_text")]
@@ -385,11 +410,20 @@ def enrich_district(df: DataFrame, code: str, lookup: DataFrame) -> DataFrame:
     return df.join(lookup, code, "left").withColumn("district_tag", F.when(F.col("district").isNotNull(), F.concat(F.lit("kreis-"), F.col(code))))
 
 
-def ingest_summary(chunks: DataFrame) -> DataFrame:
-    """Documents, chunks, procedures, articles for each category and source, each category, and all."""
-    return chunks.rollup("category", "source").agg(
+def ingest_summary(chunks: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """Documents, chunks, documents that are procedures and articles, and pages left out (`skipped`: category, source), for
+    each category and source, each category, and all. What is counted thrice by the totals is a row a document, not its chunks.
+    """
+    kind = lambda name: F.max(F.when(F.col("doc_type") == name, F.col("doc_id")))
+    rows = chunks.groupBy("category", "source", "doc_id").agg(F.count("*").alias("n"), kind("procedure").alias("_p"), kind("article").alias("_a")).withColumn("_s", F.lit(0).cast("long"))
+    if skipped is not None:
+        none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("doc_id", "_p", "_a")}
+        left_out = skipped.groupBy("category", "source").agg(F.count("*").alias("_s"))
+        rows = rows.unionByName(left_out.withColumns(none | {"n": F.lit(0).cast("long")}))
+    return rows.rollup("category", "source").agg(
         F.count_distinct("doc_id").alias("docs_written"),
-        F.count("*").alias("total_chunks"),
-        F.count_if(F.col("doc_type") == "procedure").alias("procedures"),
-        F.count_if(F.col("doc_type") == "article").alias("articles"),
+        F.sum("n").alias("total_chunks"),
+        F.count_distinct("_p").alias("procedures"),
+        F.count_distinct("_a").alias("articles"),
+        F.sum("_s").alias("skipped"),
     )

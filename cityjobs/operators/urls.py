@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .keywords import FEW, scanned
+from .markup import links
 
 
 @dataclass(frozen=True)
@@ -170,13 +173,15 @@ def absolute_link(url: Column, link: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(full, "#.*$", ""), "/+$", "")
 
 
-HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+def hrefs(html: Column) -> Column:
+    """The links of a page in order, whatever their quotes, entities resolved; one pass over the page."""
 
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([links(t) if t is not None else None for t in texts], dtype=object)
 
-def hrefs(html: Column) -> Column:
-    """The links of a page in order, quoted in any way, &amp; resolved."""
-    bare = lambda x: F.replace(F.regexp_replace(x, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), 1), bare)
+    return run(html)
 
 
 def extract_links(pages: DataFrame, url: str, html: str, prefix: str = "") -> DataFrame:
@@ -188,26 +193,26 @@ def extract_links(pages: DataFrame, url: str, html: str, prefix: str = "") -> Da
 def bfs_reach(links: DataFrame, seeds: DataFrame, max_depth: int, failed: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
     """(node, depth) of what `seeds` (node) reach over links (src, dst); failed nodes are neither counted nor expanded.
 
-    With max_pages the first by depth, then by node. One join a level; lineage is cut by checkpoint().
+    With max_pages the first by depth, then by node. One join a level; a level is written once, by checkpoint(), and what was
+    seen is the levels so far.
     """
     keep_checkpoints(links.sparkSession)
     bad = failed.select("node").distinct() if failed is not None else seeds.select("node").where("false")
     edges = links.select("src", "dst").distinct().checkpoint()
+    room = max_pages
 
-    def first(level: DataFrame, room: int | None) -> DataFrame:
+    def first(level: DataFrame) -> DataFrame:
         return (level if room is None else level.orderBy("node").limit(room)).checkpoint()
 
-    front = first(seeds.select("node").distinct().join(bad, "node", "left_anti").withColumn("depth", F.lit(0)), max_pages)
-    seen = front
+    front = first(seeds.select("node").distinct().join(bad, "node", "left_anti").withColumn("depth", F.lit(0)))
+    seen, n = front, front.count()
     for depth in range(1, max_depth + 1):
-        room = None if max_pages is None else max_pages - seen.count()
-        if room == 0:
+        room = None if room is None else room - n
+        if room == 0 or not n:
             break
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = first(step.join(seen, "node", "left_anti").join(bad, "node", "left_anti").withColumn("depth", F.lit(depth)), room)
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front).checkpoint()
+        front = first(step.join(seen.select("node"), "node", "left_anti").join(bad, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        n, seen = front.count(), seen.unionByName(front)
     return seen
 
 

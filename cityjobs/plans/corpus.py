@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, chunks, pages, similar, urls
+from ..operators import audit, chunks, ingest, pages, similar, urls
+from ..sources import files
 from .registry import query, table
 
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
@@ -111,8 +115,8 @@ def latest_edition(spark, sf_dir):
     return urls.latest_edition(pages_of(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.col("url").alias("href")), "host", "href")
 
 
-HREF_SQL = urls.HREF.replace("'", "''")
-LINK_LIST_SQL = f"list_transform(regexp_extract_all(html, '{HREF_SQL}', 1), lambda x: replace(regexp_replace(x, '^[\"'']|[\"'']$', '', 'g'), '&amp;', '&'))"
+#: A quoted or bare href of an <a>, in the words of the other engine; its quotes and entities are taken off afterwards.
+LINK_LIST_SQL = """list_transform(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), lambda x: replace(regexp_replace(x, '^["'']|["'']$', '', 'g'), '&amp;', '&'))"""
 LINKS_SQL = f"""select distinct src, dst from (select src, regexp_replace(regexp_replace(case when regexp_matches(link, '^https?://') then link
 when starts_with(link, '/') and not starts_with(link, '//') then 'https://' || regexp_extract(src, '^https?://([^/?#]+)', 1) || link end, '#.*$', ''), '/+$', '') as dst
 from (select url as src, unnest({LINK_LIST_SQL}) as link from pages)) where dst is not null"""
@@ -139,7 +143,7 @@ def crawl_reachability(spark, sf_dir):
     return urls.bfs_reach(edges, edges.where("length(src) <> 3").agg(F.min("src").alias("node")), 4, failed, 60)
 
 
-FOREIGN_SQL = f"regexp_matches({{url}}, '{urls.FOREIGN}')"
+FOREIGN_SQL = "contains(lower({url}), '/fr/') or contains(lower({url}), '/it/') or contains(lower({url}), '/en/') or contains(lower({url}), '/rm/') or regexp_matches(lower({url}), '/lang/(fr|it|en)/') or regexp_matches(lower({url}), '[?]lang(uage)?=(fr|it|en|rm)')"
 
 
 @query(f"select page_id, {FOREIGN_SQL.format(url='u')} as foreign_language from (select page_id, url || case page_id % 6 when 0 then '?language=fr' when 1 then '&lang=fr' when 2 then '/lang/rm' when 3 then '/lang/it/' else '' end as u from pages)")
@@ -179,7 +183,7 @@ def min_text_filter(spark, sf_dir):
     return pages.min_text(table(spark, sf_dir, "documents"), "source", "text", 300).select("doc_id")
 
 
-PLACE_SQL = "substr(text, 1, cast(900 + doc_id % 150 as int)) || case doc_id % 4 when 0 then ' 8004 Zürich' when 1 then ' 18004' when 2 then ' 8004x' else '\n8001' end"
+PLACE_SQL = "text || case doc_id % 4 when 0 then ' 8004 Zürich' when 1 then ' 18004' when 2 then ' 8004x' else '\n8001' end"
 
 
 @query(f"select doc_id from (select doc_id, {PLACE_SQL} as t from documents) where regexp_matches(substr(t, 1, 1000), '\\b8\\d{{3}}\\b')")
@@ -275,10 +279,8 @@ def articles_sql(style: str) -> str:
 
 
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(lines).alias("at", "l")).select("doc_id", "source", "at", "l.*")
-    marked = F.array_sort(F.collect_list(F.struct("at", F.expr(MARKED).alias("x"))))
-    whole = rows.groupBy("doc_id", "source").agg(F.array_join(F.transform(marked, lambda r: r["x"]), "\n").alias("text"))
+    marked = F.expr(f"zip_with(split(text, '\\n'), sequence(1, size(split(text, '\\n'))), (x, i) -> {MARKED})")
+    whole = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(marked, "\n").alias("text"))
     return whole.select("doc_id", "text", F.concat(F.lit("local://"), "source").alias("url"), F.upper("source").alias("abbrev"), F.concat(F.col("doc_id") % 900, F.lit(".1")).alias("ls_number"))
 
 
@@ -309,10 +311,40 @@ def district_enrich(spark, sf_dir):
     return pages.enrich_district(rows, "code", lookup).select("s_suppkey", "district", "district_tag")
 
 
-@query(f"""select category, source, count(distinct doc_id) as docs_written, count(*) as total_chunks, count(*) filter (where doc_type = 'procedure') as procedures,
-count(*) filter (where doc_type = 'article') as articles from ({CHUNKS_SQL}) group by rollup (category, source)""")
+@query(f"""select category, source, count(distinct doc_id) as docs_written, count(doc_id) as total_chunks, count(distinct doc_id) filter (where doc_type = 'procedure') as procedures,
+count(distinct doc_id) filter (where doc_type = 'article') as articles, count(*) filter (where doc_id is null) as skipped
+from (select category, source, doc_id, doc_type from ({CHUNKS_SQL}) union all select 'law', source, null, null from documents where doc_id % 7 = 0) group by rollup (category, source)""")
 def ingest_summary(spark, sf_dir):
-    return pages.ingest_summary(chunk_rows(spark, sf_dir))
+    skipped = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.lit("law").alias("category"), "source")
+    return pages.ingest_summary(chunk_rows(spark, sf_dir), skipped)
+
+
+#: Documents as pages of two sources: marked up, a line a paragraph, under a menu; some of them not the source's.
+PAGE = """concat('<head><title>x | Site</title></head><body><nav><p>menu</p></nav><main><h1> ', source, ' ', doc_id, '</h1><h2>', case when doc_id % 6 = 0 then 'Schritt 2' else 'Teil' end, '</h2><p>',
+replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p>\n<p>'), '</p><h2>Links</h2><p>more</main>')"""
+PAGE_URL = "concat('https://x.ch/', case when doc_id % 10 = 9 then 'old/' else '' end, doc_id)"
+PAGE_TEXT_SQL = "(select array_to_string(list_filter(l, lambda x, i: x <> '' and list_position(l, x) = i), chr(10) || chr(10)) from (select list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) as l))"
+
+
+def city_source(category: str, slug: str) -> ingest.Source:
+    return ingest.Source(
+        category, slug, slug.upper(), "city", "de", datetime.date(2025, 6, 1), 30, link_filter=lambda url: ~url.contains("/old/"), title_transform=lambda title, url: F.concat(title, F.lit(" - "), F.regexp_extract(url, "[0-9]+$", 0)),
+        tags_for=lambda title, text: pages.tag_keywords(title, text, KEYWORDS, head=1_000_000), subcategory_for=lambda url: urls.derive_subcategory(F.lit(category), url, -1), tail=("links",),
+    )
+
+
+@query(f"""with p as (select case when doc_id % 2 = 0 then 'admin' else 'law' end as category, case when doc_id % 2 = 0 then 'even' else 'odd' end as source, doc_id, {PAGE_TEXT_SQL} as t from documents where doc_id % 10 <> 9),
+k as (select *, length(t) >= 300 as good, doc_id % 6 = 0 or regexp_matches(t, '(?m)^\s*\d+[.)]\s') as steps from p)
+select category, source, count(*) filter (where good) as docs_written, count(*) filter (where good and steps) as procedures, count(*) filter (where good and not steps) as articles, count(*) filter (where not good) as skipped from k group by rollup (category, source)""")
+def ingest_job(spark, sf_dir):
+    """Two sources' pages to chunks, written by category and source; what was written and what was left out."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(PAGE_URL).alias("url"), F.expr(PAGE).alias("html"))
+    urls.keep_checkpoints(spark)
+    chunked, left_out = zip(*[ingest.ingest(rows.where(test), city_source(*at)) for test, at in (("doc_id % 2 = 0", ("admin", "even")), ("doc_id % 2 = 1", ("law", "odd")))])
+    at = f"{urls.shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    files.write_chunks(chunked[0].unionByName(chunked[1]).checkpoint(), at)
+    summary = pages.ingest_summary(files.read_chunks(spark, at), left_out[0].unionByName(left_out[1]))
+    return summary.drop("total_chunks")
 
 
 @query(f"select doc_id, {TOKENS_SQL.format(t='text')} as tokens from documents")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import re
+import time
 
 import duckdb
 import pytest
@@ -111,11 +112,30 @@ def test_extract_sections_rules(spark):
     assert sections_of(spark, "<main><p>one<p>two<ul><li>a<li>b<ul><li>c</ul></ul>")[2] == "one\n\ntwo\n\na\n\nb c\n\nc"
 
 
-def slow_chunks(row):
+def slow_pack(text, target, count):
+    """The packing rules read one by one: sentences in turn, the next piece begins with what of the last fits an eighth."""
+    out, piece = [], []
+    for sentence in [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])", text.strip()) if x.strip()]:
+        if count(sentence) > target:  # too long: on its own
+            out += [piece, [sentence]] if piece else [[sentence]]
+            piece = []
+        elif piece and sum(map(count, piece)) + count(sentence) > target:
+            out.append(piece)
+            overlap = [piece[k:] for k in range(len(piece) + 1) if sum(map(count, piece[k:])) <= int(target * 0.125)][0]
+            fits = sum(map(count, overlap)) + count(sentence) <= target
+            piece = [*(overlap if fits else []), sentence]
+        else:
+            piece = [*piece, sentence]
+    if piece and out and sum(map(count, piece)) < 100:  # too short: joined to the last
+        out[-1] = out[-1] + piece
+    elif piece:
+        out.append(piece)
+    return [" ".join(x) for x in out]
+
+
+def slow_chunks(row, count=lambda t: max(1, int(len(t.split()) * 1.3)) if t.split() else 0):
     """A document's chunks as (index, parent, heading, text, step, paragraph), by the rules read one by one."""
-    count = chunks.words_count
-    sentences = lambda text: [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])", text.strip()) if x.strip()]
-    packed = lambda text, most: chunks.pack(sentences(text), [count(x) for x in sentences(text)], most)
+    packed = lambda text, most: slow_pack(text, most, count)
     sections = [(x["heading"] or "", (x["text"] or "")[:80_000]) for x in row["sections"] or []]
     text, kind, above, rows = (row["text"] or "")[:80_000], row["doc_type"], {}, []
     if kind in ("article", "historical"):
@@ -151,12 +171,32 @@ def test_chunks_of_all_documents_by_the_rules(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 300
 
 
+def test_chunks_of_another_counter(spark):
+    """A counter of letters by four, loaded once a task: every rule follows it."""
+    count = lambda t: len(t) // 4
+    docs = chunks.validate_documents(corpus.kb_documents(spark, SF))[0]
+    want = [(row["source_url"], index, text, count(text)) for row in docs.collect() for index, _, _, text, _, _ in slow_chunks(row, count)]
+    got = chunks.chunk_documents(docs, lambda: lambda texts: [len(t) // 4 for t in texts]).select("source_url", "chunk_index", "display_text", "token_count")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    texts = spark.createDataFrame([("abcdefgh",), (None,), (" ",), ("x",)], "t string")
+    assert [r[0] for r in texts.select(chunks.count_tokens(F.col("t"), lambda: lambda texts: [len(t) // 4 for t in texts])).collect()] == [2, 0, 0, 0]
+
+
+def test_numbered_parts_are_those_of_the_pattern():
+    cases = ["", "1 a", "1 a\n2 b", "x\n\n \n 12 b\n13", "x\n12\n", "12\n", "\n\n3 a\n\n", "a\n4\tb\n5b\n 6 ", "x\n7\x0b8 ", "\n".join(f"{k} t" if k % 3 else "" for k in range(50))]
+    for text in cases:
+        assert chunks.numbered_parts(text) == re.split(r"(?m)(?=^\s*\d+\s)", text), repr(text)
+    start = time.perf_counter()
+    assert len(chunks.numbered_parts("\n" * 500_000 + "1 x")) == 500_002
+    assert time.perf_counter() - start < 5
+
+
 def test_packed_and_limited_rows_by_hand(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     want = []
     for doc_id, text in texts.items():
-        parts = [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])", text.strip()) if x.strip()]
-        want += [(doc_id, chunks.words_count(x), hashlib.sha1(x.encode()).hexdigest()) for x in chunks.pack(parts, [chunks.words_count(x) for x in parts], 600)]
+        count = lambda t: max(1, int(len(t.split()) * 1.3)) if t.split() else 0
+        want += [(doc_id, count(x), hashlib.sha1(x.encode()).hexdigest()) for x in slow_pack(text, 600, count)]
     got = [(r["doc_id"], r["tokens"], r["sha1"]) for r in registry.QUERIES["pack_sentences"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
     requests, log, accepted = sorted((str(r["user_id"]), r["ts"]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).collect()), {}, []
