@@ -334,7 +334,7 @@ def city_source(category: str, slug: str) -> ingest.Source:
 
 
 @query(f"""with p as (select case when doc_id % 2 = 0 then 'admin' else 'law' end as category, case when doc_id % 2 = 0 then 'even' else 'odd' end as source, doc_id, {PAGE_TEXT_SQL} as t from documents where doc_id % 10 <> 9),
-k as (select *, length(t) >= 300 as good, doc_id % 6 = 0 or regexp_matches(t, '(?m)^\s*\d+[.)]\s') as steps from p)
+k as (select *, length(t) >= 300 as good, doc_id % 6 = 0 or regexp_matches(t, '(?m)^\\s*\\d+[.)]\\s') as steps from p)
 select category, source, count(*) filter (where good) as docs_written, count(*) filter (where good and steps) as procedures, count(*) filter (where good and not steps) as articles, count(*) filter (where not good) as skipped from k group by rollup (category, source)""")
 def ingest_job(spark, sf_dir):
     """Two sources' pages to chunks, written by category and source; what was written and what was left out."""
