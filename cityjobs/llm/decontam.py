@@ -84,11 +84,13 @@ def masks(item: bytes) -> dict[int, int]:
     return out
 
 
-def fewest_edits(places: dict[int, int], m: int, region: bytes) -> int:
-    """The least edit distance of an item of m bytes and any part of the region: a column a step, as bit vectors."""
+def fewest_edits(places: dict[int, int], m: int, region: bytes) -> tuple[int, int]:
+    """The least edit distance of an item of m bytes and any part of the region, and where the first such part ends: a
+    column a step, as bit vectors.
+    """
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
-    for byte in region:
+    up, down, score, best, end = full, 0, m, m, 0
+    for at, byte in enumerate(region, 1):
         same = places.get(byte, 0)
         x = same | down
         d = (((same & up) + up) ^ up) | same
@@ -98,10 +100,10 @@ def fewest_edits(places: dict[int, int], m: int, region: bytes) -> int:
         elif minus & top:
             score -= 1
             if score < best:
-                best = score
+                best, end = score, at
         plus, minus = plus << 1 & full, minus << 1 & full
         up, down = minus | (full & ~(x | plus)), plus & x
-    return best
+    return best, end
 
 
 def distance(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
@@ -208,9 +210,14 @@ def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int, i
         for text in {t, int(max(np.searchsorted(starts, first, "right") - 1, 0)), int(min(np.searchsorted(starts, first + 2 * k + m, "right") - 1, len(texts) - 1))}:
             begin, end = int(starts[text]), int(starts[text]) + len(texts[text])
             a, z = max(begin, first - k), min(end, first + 2 * (k + 1) + m + k)
-            if z - a < m - k or best.get((text, i), (1,))[0] == 0 or fewest_edits(items.masks[i], m, data[a:z]) > k:
+            if z - a < m - k or best.get((text, i), (1,))[0] == 0:
+                continue
+            least, last = fewest_edits(items.masks[i], m, data[a:z])
+            if least > k:
                 continue
-            found = distance(items.texts[i], data[a:z], k)
+            # the alignment keeps to the diagonals that end there and to as many edits: a narrow band, however wide the budget
+            a, z = max(a, a + last - m - least), a + last
+            found = distance(items.texts[i], data[a:z], least)
             if found:
                 found = (found[0], found[1] + a - begin, found[2] + a - begin)
                 best[text, i] = min(best.get((text, i), found), found)

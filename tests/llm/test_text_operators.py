@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute-force versions, the libraries and round trips."""
 
+import time
 import hashlib
 import json
 import math
@@ -269,3 +270,16 @@ def test_decontamination_against_alignment(spark):
     assert len(want) > 80
     assert {k: v for k, v in got.items() if k[1] != 4} == want
     assert [k for k in got if k[1] == 4 and k[0] >= 200] == [(203, 4)]
+
+
+def test_long_items_with_few_edits_take_time_in_proportion():
+    rng = np.random.default_rng(8)
+    took = []
+    for n in (6_000, 24_000):
+        item = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n // 7)).encode()
+        text = b"xx yy " * 10 + item[: n // 2] + b"Z" + item[n // 2 + 1 :] + b" zz ww" * 10
+        start = time.perf_counter()
+        found = decontam.search([decontam.canonical(text)], decontam.Items([1], [decontam.canonical(item)]))
+        took.append(time.perf_counter() - start)
+        assert found == [(0, 0, 1, 60, 60 + len(item))]
+    assert took[1] < 9 * took[0]
