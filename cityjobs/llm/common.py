@@ -25,8 +25,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of this machine in local mode, as in tests; an
+    error on a cluster, whose executors share no such folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

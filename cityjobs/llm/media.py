@@ -2,8 +2,8 @@
 
 A payload is stored as mono 8-bit samples in a WAV file and read back by the wave module. Short-time Fourier
 transforms of the samples give the strongest local peaks of each frame; a peak is paired with the strongest peaks of
-the next frames, and the pairs (two frequencies and their distance) are kept in an array with their times. Frames of
-576 samples are joined by frames of 64, as a short payload is a single frame of the former and has no next one.
+the next frames, and the pairs (two frequencies and their distance) are kept in an array with their times. In payloads
+of up to SOME frames of 576 samples, which give few pairs or none, they are joined by those of frames of 64.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import utf8
 
 FRAME, HOP, RATE = 576, 288, 8000
 PEAKS, AHEAD, BLOCK = 3, 3, 2048
-SHORT, STEP, SPREAD, IS_SHORT = 64, 32, 576, 128
-FLOOR = 1e-6  # far below any peak of whole samples, far above rounding
+SHORT, STEP, SPREAD, IS_SHORT, SOME = 64, 32, 576, 128, 8
+FLOOR, DIGITS = 1e-3, 4  # far below any peak of whole samples, far above rounding, so that no peak is one of rounding
 
 
 def store(payload: bytes) -> bytes:
@@ -53,7 +53,7 @@ def peaks(samples: np.ndarray, frame: int = FRAME, hop: int = HOP, points: int |
     frames = np.lib.stride_tricks.sliding_window_view(samples, frame)[::hop]
     window, out = np.hanning(frame), []
     for lo in range(0, len(frames), BLOCK):
-        size = np.abs(np.fft.rfft((frames[lo : lo + BLOCK] - 128.0) * window, points, axis=1))
+        size = np.round(np.abs(np.fft.rfft((frames[lo : lo + BLOCK] - 128.0) * window, points, axis=1)), DIGITS)
         inner = size[:, 1:-1]
         inner = np.where((inner > size[:, :-2]) & (inner >= size[:, 2:]) & (inner > FLOOR), inner, 0.0)
         found = np.zeros((len(inner), PEAKS), np.int32)
@@ -81,15 +81,18 @@ def pairs(found: np.ndarray, within: bool = False) -> tuple[np.ndarray, np.ndarr
 
 
 def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes) of both kinds of frames, times in steps of 32 samples; codes of short frames have IS_SHORT set.
+    """(times, codes) of frames of 576 samples, and of short ones too in a payload of up to SOME of those; times in steps
+    of 32 samples; codes of short frames have IS_SHORT set.
 
     Half a short frame of silence on both sides gives the first and the last samples weight. For short frames the
     samples of 255, which no UTF-8 text has, are silence too: the jump to the padding would outweigh a few letters.
     Their transforms are of SPREAD points, and their peaks are paired with the strongest one of their own frame too.
     """
+    times, codes = pairs(peaks(samples))
+    if len(samples) > SOME * FRAME:
+        return times * (HOP // STEP), codes
     silence = np.full(SHORT // 2, 128, np.uint8)
     text = np.where(samples == 255, np.uint8(128), samples)
-    times, codes = pairs(peaks(samples))
     near, fine = pairs(peaks(np.concatenate([silence, text, silence]), SHORT, STEP, SPREAD), within=True)
     t, c = np.concatenate([times * (HOP // STEP), near]), np.concatenate([codes, fine | IS_SHORT])
     order = np.lexsort((c, t))
@@ -123,22 +126,23 @@ def digest(text: bytes) -> tuple:
     key = xxhash.xxh64(times.astype("<i4").tobytes())
     key.update(codes.astype("<i8").tobytes())
     feature = f"frames={len(payload) // HOP - 1};pairs={len(times)};xxh64={key.hexdigest()}"
-    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature
+    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, times, codes
 
 
-COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pair_times array<int>, pair_codes array<long>"
+KINDS = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What media() makes of each whole text, as sizes and digests; one pass, nothing kept but the current text.
+    """What media() makes of each whole text, as sizes, digests and pairs; one pass, nothing kept but the current batch.
 
     Rows as in media(): one for each row, null texts as empty, equal texts with equal values, none for an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
+        names, kinds = zip(*(c.split() for c in COLUMNS.split(", ")))
         for batch in batches:
             found = list(zip(*map(digest, utf8(batch.column(1))))) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string() if "sha" in n or n == "feature" else pa.int64()) for n, x in zip(names, found))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, KINDS[k]) for k, x in zip(kinds, found))], names=["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {COLUMNS}")

@@ -283,3 +283,40 @@ def test_long_items_with_few_edits_take_time_in_proportion():
         took.append(time.perf_counter() - start)
         assert found == [(0, 0, 1, 60, 60 + len(item))]
     assert took[1] < 9 * took[0]
+
+
+def slow_peaks(samples, frame, hop, points):
+    """The strongest local maxima of each frame by the transform's own sum, one frequency after the other."""
+    out = []
+    for lo in range(0, len(samples) - frame + 1, hop):
+        x = [(v - 128.0) * (0.5 - 0.5 * math.cos(2 * math.pi * k / (frame - 1))) for k, v in enumerate(samples[lo : lo + frame])]
+        size = [round(abs(sum(v * complex(math.cos(2 * math.pi * f * k / points), -math.sin(2 * math.pi * f * k / points)) for k, v in enumerate(x))), media.DIGITS) for f in range(points // 2 + 1)]
+        local = [(-size[f], f) for f in range(1, points // 2) if size[f - 1] < size[f] >= size[f + 1] and size[f] > media.FLOOR]
+        out.append(([f for _, f in sorted(local)] + [-1] * 3)[:3])
+    return out
+
+
+def slow_pairs(found, least):
+    """(time, code): each peak of a frame with the strongest of the next three frames, from `least` frames on."""
+    return sorted((t, a << 20 | found[t + d][0] << 8 | d) for t in range(len(found)) for d in range(least, 4) if t + d < len(found) for a in found[t] if a >= 0 and found[t + d][0] >= 0)
+
+
+@pytest.mark.parametrize("text", ["", "ab", "Grüezi mitenand, das isch en churze Text.", "some words and more of them " * 50])
+def test_landmarks_are_those_of_plain_sums(text):
+    samples = media.padded(text.encode())
+    want = [(t * 9, c) for t, c in slow_pairs(slow_peaks(samples, 576, 288, 576), 1)]
+    quiet = [128] * 32 + [128 if v == 255 else v for v in samples] + [128] * 32
+    want += [(t, c | 128) for t, c in slow_pairs(slow_peaks(quiet, 64, 32, 576), 0)]
+    times, codes = media.landmarks(np.frombuffer(samples, np.uint8))
+    assert list(zip(times.tolist(), codes.tolist())) == sorted(want)
+    assert len(want) > 10 or len(text) < 3
+
+
+def test_long_payloads_have_long_frames_alone(spark):
+    samples = np.frombuffer(media.padded(b"words of a text " * 400), np.uint8)
+    times, codes = media.landmarks(samples)
+    assert len(samples) > 8 * 576 and len(times) and not (times % 9).any() and not (codes & 128).any()
+    rows = media.digests(spark.createDataFrame([(1, "words of a text " * 400), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert rows[0]["pair_times"] == times.tolist() and rows[0]["pair_codes"] == codes.tolist() and rows[1]["pair_times"] == []
+    key = xxhash.xxh64(times.astype("<i4").tobytes() + codes.astype("<i8").tobytes()).hexdigest()
+    assert rows[0]["feature"].endswith(f"pairs={len(times)};xxh64={key}")
