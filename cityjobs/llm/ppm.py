@@ -177,9 +177,11 @@ def shard_of(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, code & CONTEXT, "right")
 
 
-def edges(code: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each shard: the codes of orders 2 to 4, their order on top, whose contexts its limits cut, with counts."""
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(bounds) + 1)]
+def edges(code: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By shard, of those that any concern: the codes of orders 2 to 4, their order on top, whose contexts the shard's
+    limits cut, with counts.
+    """
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for k in range(2, ORDER):
         u, cut = code >> (8 * (ORDER - k)), bounds >> (8 * (ORDER - k))
         mask = (1 << (8 * k)) - 1
@@ -188,11 +190,13 @@ def edges(code: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> list[tuple[np.
         count = np.bincount(inverse, n[inside], len(own)).astype(np.int64)
         order = np.argsort(own & mask, kind="stable")
         own, count = own[order], count[order]
-        lo, hi = (np.searchsorted(own & mask, cut, side) for side in ("left", "right"))
-        for shard in range(len(parts)):
-            for limit in {int(cut[x]): x for x in (shard - 1, shard) if 0 <= x < len(cut)}.values():
-                parts[shard].append((own[lo[limit] : hi[limit]] | k << 56, count[lo[limit] : hi[limit]]))
-    return [tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in some)]) for i in range(2)) for some in parts]
+        context, start = np.unique(own & mask, return_index=True)
+        # a context that several limits in a row cut concerns the shards from before the first to behind the last
+        first, last = np.searchsorted(cut, context, "left"), np.searchsorted(cut, context, "right")
+        for lo, hi, a, z in zip(start.tolist(), [*start[1:].tolist(), len(own)], first.tolist(), last.tolist()):
+            for shard in range(a, z + 1):
+                parts.setdefault(shard, []).append((own[lo:hi] | k << 56, count[lo:hi]))
+    return {shard: tuple(np.concatenate(x) for x in zip(*some)) for shard, some in parts.items()}
 
 
 def word_shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -203,7 +207,9 @@ ASKED = "b int, shard int, code binary, code_n binary, word binary, word_n binar
 
 
 def ask(batch: pa.Table, bounds: np.ndarray) -> pa.Table:
-    """A row for each shard, and one of shard -1 with the batch's counts of order 1."""
+    """A row for each shard that the batch has codes, words or cut contexts for, and one of shard -1 with its counts of
+    order 1. So there are as many rows as batches times shards, but never more than the batches' distinct codes and words.
+    """
     texts, held = unpack(batch.column("z")), np.array(batch.column("held_out").to_pylist(), bool)
     found = (Tally(), Tally())
     for some, of in pieces(texts):
@@ -217,18 +223,21 @@ def ask(batch: pa.Table, bounds: np.ndarray) -> pa.Table:
     low, inverse = np.unique(code >> (8 * (ORDER - 1)), return_inverse=True)
     rows.append((b, -1, *[None] * 6, low.tolist(), np.bincount(inverse, n, len(low)).astype(np.int64).tolist()))
     shards = len(bounds) + 1
-    cut = [by_shard(code, n, shard_of(code, bounds), shards), by_shard(word, m, word_shard_of(word, shards), shards), edges(code, n, bounds)]
-    for shard, ((code, n), (word, m), (edge, k)) in enumerate(zip(*cut)):
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = by_shard(code, n, shard_of(code, bounds)), by_shard(word, m, word_shard_of(word, shards)), edges(code, n, bounds)
+    for shard in sorted(set().union(*cut)):
+        (code, n), (word, m), (edge, k) = (x.get(shard, none) for x in cut)
         rows.append((b, shard, pressed(code, True), pressed(n), pressed(word, True), pressed(m), pressed(edge), pressed(k), None, None))
     names, kinds = [x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int32()), pa.list_(pa.int64())]
     return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
 
-def by_shard(keys: np.ndarray, n: np.ndarray, shard: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def by_shard(keys: np.ndarray, n: np.ndarray, shard: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys with their counts by shard, of the shards that have any."""
     order = np.lexsort((keys, shard))
-    at = np.searchsorted(shard[order], np.arange(shards + 1))
+    met, at = np.unique(shard[order], return_index=True)
     keys, n = keys[order], n[order].astype(np.int64)
-    return [(keys[x:y], n[x:y]) for x, y in zip(at, at[1:])]
+    return {int(k): (keys[x:y], n[x:y]) for k, x, y in zip(met, at, [*at[1:], len(keys)])}
 
 
 def resolve(code: np.ndarray, n: np.ndarray, one: np.ndarray, edge: np.ndarray = np.zeros(0, np.int64), edge_n: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:

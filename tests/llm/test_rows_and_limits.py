@@ -203,9 +203,9 @@ def test_shards_of_any_limits_give_the_same_costs():
     for bounds in (np.zeros(0, np.int64), contexts[1::7], np.sort(rng.choice(contexts, 3, replace=False)), contexts[1:]):
         shard = ppm.shard_of(code, bounds)
         cost = np.zeros(len(code))
-        for s, (edge, edge_n) in enumerate(ppm.edges(code, n, bounds)):
-            if (shard == s).any():
-                cost[shard == s] = ppm.resolve(code[shard == s], n[shard == s], one, edge, edge_n)
+        edges = ppm.edges(code, n, bounds)
+        for s in np.unique(shard).tolist():
+            cost[shard == s] = ppm.resolve(code[shard == s], n[shard == s], one, *edges.get(s, ()))
         got = np.bincount(owner, cost[np.searchsorted(code, keys)], 40)
         assert got == pytest.approx(want, rel=1e-9)
 
@@ -220,6 +220,13 @@ def test_many_shards_and_batches(spark, monkeypatch):
     monkeypatch.setattr(ppm, "LEAST_BATCHES", 2)
     assert [tuple(r)[:-1] for r in sorted(ppm.score_documents(docs).collect(), key=str)] == [tuple(r)[:-1] for r in few]
     assert len(few) == len(rows) and few[0]["train_tokens"] > 0
+    # shards far more than codes: a batch has rows for those alone that it has something for
+    monkeypatch.setattr(ppm, "LEAST_SHARDS", 3_000)
+    asked = []
+    monkeypatch.setattr(ppm, "scratch", lambda s, name: asked.append(scratch(s, name)) or asked[-1])
+    assert [tuple(r)[:-1] for r in sorted(ppm.score_documents(docs).collect(), key=str)] == [tuple(r)[:-1] for r in few]
+    sent = spark.read.parquet(asked[0]).where("shard >= 0")
+    assert 0 < sent.count() < 2 * 700 and sent.where("length(code) = 0 and length(word) = 0").count() == 0
 
 
 # files of token ids
