@@ -76,10 +76,13 @@ def type_counts(chunks: DataFrame) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n rows of each stratum in hash order. Each salted part of a stratum gives its first n, so none meets in a task."""
+    """n rows of each stratum in the order of a hash of key and seed. Each salted part of a stratum gives its first n, so
+    none meets in a task.
+    """
     h, part = fresh(df, "_h"), fresh(df, "_p")
     order = [F.col(h), F.col(key)]
-    some = cap_per_group(df.withColumn(h, F.xxhash64(F.col(key), F.lit(seed))).withColumn(part, F.pmod(h, F.lit(64))), [by, part], n, order)
+    mixed = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    some = cap_per_group(df.withColumn(h, mixed).withColumn(part, F.pmod(F.xxhash64(h), F.lit(64))), [by, part], n, order)
     return cap_per_group(some, [by], n, order).drop(h, part)
 
 

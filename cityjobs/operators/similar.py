@@ -18,11 +18,18 @@ from .urls import keep_checkpoints
 
 #: Texts of one shingle that meet in one group, and shingles that a matrix of them holds at once.
 PART, COLUMNS = 1_024, 4_096
+#: Texts of a group that are compared one by one.
+FEW = 12
 
 
-def shingles(text: str, width: int = 5) -> Column:
-    """Sorted distinct hashes of runs of `width` lower-cased words; of all words where there are fewer; none without words."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+
+
+def shingles(words: Column, width: int = 5) -> Column:
+    """Sorted distinct hashes of runs of `width` words; of all words where there are fewer; none without words. `words`
+    should be a column of its own, as it is looked into once a shingle.
+    """
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
     few = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
     return F.array_sort(F.array_distinct(F.when(F.size(words) >= width, runs).otherwise(few)))
@@ -54,24 +61,37 @@ def linked(tokens: list[np.ndarray], size: np.ndarray, place: np.ndarray, i: np.
     return np.nonzero(alike & apart & (earlier == 0))
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys of sorted rows, each as a table."""
+def few_linked(tokens: list[list[int]], size: list[int], place: list[int], part: list[int], threshold: float) -> list[int]:
+    """The same for a group of a few texts, as the texts' places, two for each pair: cheap tests first."""
+    out, apart = [], min(part) < max(part)
+    for b in range(1, len(tokens)):
+        for a in range(b):
+            x, y = size[a], size[b]
+            if apart and part[a] == part[b] or min(x, y) < threshold * max(x, y) - 1e-6:
+                continue
+            least = threshold * (x + y) / (1 + threshold) - 1e-6
+            # if the group's shingle is their first common one, they can share no more than what follows it in both
+            if 1 + min(len(tokens[a]) - place[a], len(tokens[b]) - place[b]) - 1 < least or not set(tokens[a][: place[a]]).isdisjoint(tokens[b][: place[b]]):
+                continue
+            if len(set(tokens[a]).intersection(tokens[b])) >= least:
+                out += [a, b]
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of sorted rows cut between groups of equal keys, with where their groups begin and the last ends."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in keys]
         if not len(batch):
             continue
-        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
+        whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        columns = [whole.column(k).to_numpy() for k in keys]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()]
+        held = [whole.slice(cuts[-1])]
+        if len(cuts) > 1:
+            yield whole.slice(0, cuts[-1]), cuts
     if held:
-        yield pa.Table.from_batches(held)
+        yield held[0], [0, len(held[0])]
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -83,7 +103,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     come out, at most one for each text, never its pairs. Shingles that one class alone has are not sent around.
     """
     keep_checkpoints(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("_key"), shingles(text, width).alias("_set"))
+    rows = docs.select(F.col(key).alias("_key"), words_of(F.col(text)).alias("_words")).select("_key", shingles(F.col("_words"), width).alias("_set")).checkpoint()
     sets = rows.groupBy("_set").agg(F.min("_key").alias("class")).select("class", "_set", F.size("_set").alias("n")).checkpoint()
     met = sets.select("class", "n", F.explode("_set").alias("t"))
     common = met.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
@@ -97,16 +117,23 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     dealt = prefixes.join(parts, "t").withColumn("part", own).withColumn("_o", other).select("t", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "part", "class", "n", "place", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["t", "i", "j"]):
-            column = lambda c, group=group: group.column(c).combine_chunks()
-            lists, n = column("tokens"), column("n").to_numpy()
-            if len(n) < 2 or (group["i"][0] != group["j"][0] and len(column("part").unique()) < 2):
-                continue
-            tokens = [x.values.to_numpy() for x in lists]
-            a, b = linked(tokens, n, column("place").to_numpy(), column("part").to_numpy(), threshold)
-            counts = np.bincount(np.concatenate([a, b]), minlength=len(n))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([column("class").take(pa.array(some)), pa.array(counts[some])], names=["class", "links"])
+        for batch, cuts in whole_groups(batches, ["t", "i", "j"]):
+            n, place, part, i, j = (batch.column(c).to_numpy() for c in ("n", "place", "part", "i", "j"))
+            lists = batch.column("tokens")
+            at, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            links = np.zeros(len(batch), np.int64)
+            for a, z in zip(cuts, cuts[1:]):
+                if z - a < 2 or i[a] != j[a] and (part[a:z] == part[a]).all():
+                    continue
+                if z - a <= FEW:
+                    met = few_linked([values[x:y].tolist() for x, y in zip(at[a:z], at[a + 1 : z + 1])], n[a:z].tolist(), place[a:z].tolist(), part[a:z].tolist(), threshold)
+                    for x in met:
+                        links[a + x] += 1
+                else:
+                    x, y = linked([values[u:v] for u, v in zip(at[a:z], at[a + 1 : z + 1])], n[a:z], place[a:z], part[a:z], threshold)
+                    links[a:z] += np.bincount(np.concatenate([x, y]), minlength=z - a)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(some)), pa.array(links[some])], names=["class", "links"])
 
     kind = docs.schema[key].dataType.simpleString()
     found = dealt.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(run, f"class {kind}, links long").groupBy("class").agg(F.sum("links").alias("links"))

@@ -35,16 +35,17 @@ def prompt_wrap(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.wrap_document(F.col("text")).alias("document"), retrieval.wrap_query(F.col("text")).alias("query"))
 
 
-@query()
+@query("""select doc_id, list_position(v, list_max(v)) as top, case when list_max(v) > 0 then 1.0 else 0.0 end as norm, 5 as dim
+from (select doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: length(text) - length(replace(text, c, ''))) as v from documents)""")
 def embed_texts(spark, sf_dir):
-    """A pluggable encoder: here shares of letters, as no model is shipped."""
+    """A pluggable encoder: here the numbers of vowels, as no model is shipped; the largest component and the norm."""
     import numpy as np
 
-    def letters(texts: list[str]) -> np.ndarray:
-        return np.array([np.bincount(np.frombuffer(t.lower().encode(), np.uint8) % 32, minlength=32) for t in texts], np.float32)
+    def vowels(texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(c) for c in "aeiou"] for t in texts], np.float32)
 
-    found = retrieval.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", letters)
-    return found.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), F.size("embedding").alias("dim"))
+    found = retrieval.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vowels)
+    return found.select("doc_id", F.array_position("embedding", F.array_max("embedding")).alias("top"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), F.size("embedding").alias("dim"))
 
 
 HITS_SQL = "select conv_id as query_id, turn as rank, role as source_name, case when turn % 3 = 0 then 'local://x' when turn % 3 = 1 then '' else 'https://x.ch/' || role end as source_url, text from conversations"
@@ -206,6 +207,13 @@ def worst_conversations(spark, sf_dir):
     return evals.worst_conversations(results(spark, sf_dir), 10).select("conv_id", "total")
 
 
+@query(f"select conv_id, total from (select conv_id, factual + tone as total from ({VERDICTS_SQL}) union all select doc_id, 0.0 from labels where doc_id % 10 <= 1) order by total, conv_id limit 10")
+def worst_with_missing_first(spark, sf_dir):
+    """Conversations without a verdict come first."""
+    rows = verdicts(spark, sf_dir).select("conv_id", F.col("verdict.scores").alias("scores"))
+    return evals.worst_conversations(rows, 10, missing="first").select("conv_id", "total")
+
+
 @query("select conv_id, string_agg('[' || upper(role) || ' ' || i || '] ' || substr(text, 1, 700), chr(10) order by i) as transcript from (select *, row_number() over (partition by conv_id order by turn) - 1 as i from conversations) where i < 8 group by conv_id")
 def render_transcript(spark, sf_dir):
     return evals.render_transcript(table(spark, sf_dir, "conversations"), 700, 8)

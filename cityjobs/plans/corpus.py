@@ -291,6 +291,16 @@ def split_statute_articles(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+#: As CLEAN_SQL; a line break before an article's mark is set aside too.
+CLEAN_MARKED_SQL = "trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '\\n{2,}', chr(30), 'g'), '\\n(§|Art\\.)', chr(29) || '\\1', 'g'), chr(10), ' '), chr(29), chr(10)), chr(30), chr(10) || chr(10)))"
+
+
+@query(f"select doc_id, sha1({CLEAN_MARKED_SQL}) as text_sha1 from (select doc_id, string_agg(x, chr(10) order by i) as text from ({MARKED_SQL}) group by doc_id)")
+def clean_marked_text(spark, sf_dir):
+    """Statute texts, whose lines stay apart before marks."""
+    return statutes(spark, sf_dir).select("doc_id", F.sha1(pages.clean_page_text(F.col("text"), markers=True).cast("binary")).alias("text_sha1"))
+
+
 @query(f"""select doc_id, 'local://' || source || '#' || case when article_no = 'preamble' then article_no else 'art-' || article_no end as source_url, 'P — ' || upper(source) as source_name,
 upper(source) || case when article_no = 'preamble' then ' — Präambel' else ' Art. ' || article_no end as title, source as tags, nullif(article_no, 'preamble') as article_number, length(body) as n_chars from ({articles_sql('federal')}) join documents using (doc_id)
 union all select doc_id, 'local://' || source || '#' || case when article_no = 'preamble' then article_no else 'para-' || article_no end, 'LS ' || doc_id % 900 || '.1',
@@ -449,9 +459,9 @@ def audit_type_counts(spark, sf_dir):
     return audit.type_counts(chunk_rows(spark, sf_dir))
 
 
-@query()
+@query(f"select category, chunk_id from ({CHUNKS_SQL}) qualify row_number() over (partition by category order by md5(chunk_id || '|7'), chunk_id) <= 3")
 def stratified_sample(spark, sf_dir):
-    return audit.stratified_sample(chunk_rows(spark, sf_dir), "category", 1, "chunk_id").select("category", "chunk_id")
+    return audit.stratified_sample(chunk_rows(spark, sf_dir), "category", 3, "chunk_id", 7).select("category", "chunk_id")
 
 
 def unwanted_section():

@@ -294,12 +294,12 @@ def stream_sensor_windows(spark, sf_dir):
     return drained(spark, found, "append").select("event_type", "start", "n", F.round("mean", 4).alias("mean"))
 
 
-@query("""select event_type, w as start, count(*) as n, round(avg(value), 4) as mean from (select event_type, value, unnest([date_trunc('hour', ts) - interval 2 hour, date_trunc('hour', ts) - interval 1 hour, date_trunc('hour', ts)]) as w from events)
+@query("""select event_type, w as start, count(*) as n, round(sum(value), 2) as total from (select event_type, value, unnest([date_trunc('hour', ts) - interval 2 hour, date_trunc('hour', ts) - interval 1 hour, date_trunc('hour', ts)]) as w from events)
 where w + interval 3 hour <= (select max(date_trunc('milliseconds', ts)) - interval 2 hour from events) group by all""")
 def stream_sliding_windows(spark, sf_dir):
     """Windows of three hours that begin every hour."""
     found = jobs.sensor_windows(stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "value", "3 hours", "1 hour")
-    return drained(spark, found, "append").select("event_type", "start", "n", F.round("mean", 4).alias("mean"))
+    return drained(spark, found, "append").select("event_type", "start", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"))
 
 
 @query("select user_id, max(ts) as ts, max(value) filter (where ts = m) as value from (select *, max(ts) over (partition by user_id) as m from events) group by user_id")
@@ -310,12 +310,20 @@ def stream_latest_reading(spark, sf_dir):
     return said.groupBy("user_id").agg(F.max_by(F.struct("ts", "value"), F.struct("ts", "value")).alias("r")).select("user_id", F.col("r.ts").cast("timestamp_ntz").alias("ts"), "r.value")
 
 
-@query()
+#: A user's requests one after the other, with the times of those accepted in the last six hours.
+LIMIT_SQL = """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null and ts is not null),
+r(user_id, i, ts, accepted, log) as (select user_id, i, ts, true, [ts] from e where i = 1 union all
+select user_id, i, ts, len(f) < 2, case when len(f) < 2 then list_append(f, ts) else f end
+from (select e.user_id, e.i, e.ts, list_filter(r.log, lambda x: e.ts - x <= interval 6 hour) as f from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+select cast(user_id as varchar) as key, ts, accepted from r"""
+
+
+@query(LIMIT_SQL)
 def rate_limit(spark, sf_dir):
     return jobs.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 2)
 
 
-@query()
+@query(LIMIT_SQL)
 def stream_rate_limit(spark, sf_dir):
     return drained(spark, jobs.stream_rate_limit(stream_of(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 2), "append")
 

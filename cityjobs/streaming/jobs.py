@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,8 @@ from ..operators.urls import keep_checkpoints
 from ..sources.store import ChunkStore
 
 DECIDED = "key string, ts timestamp, accepted boolean"
+#: Requests that are decided and given out at a time.
+AT_ONCE = 100_000
 
 
 def sensor_windows(stream: DataFrame, key: str, ts: str, val: str, window: str = "1 hour", slide: str | None = None, watermark: str = "2 hours") -> DataFrame:
@@ -141,13 +144,16 @@ def stream_rate_limit(stream: DataFrame, key: str, ts: str, window_s: int = 3600
             state.remove()
             return
         log = list(state.get[0]) if state.exists else []
-        rows = pd.concat([b[["ts"]] for b in batches]).sort_values("ts")
-        times = rows["ts"].astype("int64") // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)
-        found, log = decide(times.tolist(), log, window_s, n)
+        # of a key's requests in a batch only their times are held, eight bytes each, as they must be put in order
+        micros = lambda ts: (ts.astype("int64") // (1000 if str(ts.dtype).startswith("datetime64[ns") else 1)).to_numpy()
+        times = np.sort(np.concatenate([micros(b["ts"]) for b in batches]))
+        for lo in range(0, len(times), AT_ONCE):
+            some = times[lo : lo + AT_ONCE]
+            found, log = decide(some.tolist(), log, window_s, n)
+            yield pd.DataFrame({"key": keys[0], "ts": pd.to_datetime(some, unit="us"), "accepted": found})
         log = log[-n:]
         state.update((log,))
         state.setTimeoutTimestamp(max(log[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"key": keys[0], "ts": rows["ts"], "accepted": found})
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).where("key is not null and ts is not null").withWatermark("ts", watermark)
     return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,7 @@
 """Work in proportion: pruned reads, dense cells, long keyword lists, buckets that differ."""
 
 import datetime
+import hashlib
 import math
 import time
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cityjobs.operators import chunks, keywords, opendata, pages, urls
+from cityjobs.operators import audit, chunks, keywords, opendata, pages, retrieval, urls
 from cityjobs.sources import files
 
 
@@ -116,3 +117,29 @@ def test_only_buckets_that_differ_meet(spark):
     assert both.where(~F.col("digest").eqNullSafe(F.col("other"))).count() <= 6
     assert chunks.change_set(a, a).where("change <> 'unchanged'").count() == 0
     assert {r["change"] for r in chunks.change_set(a.limit(0), a).collect()} == {"new"}
+
+
+def test_sample_of_a_hot_stratum(spark):
+    """n rows a stratum, all of a smaller one, by the hash's order alone; another seed gives another sample."""
+    df = spark.range(3_000).selectExpr("id", "case when id < 2990 then 'hot' when id < 2998 then 'few' end as s").repartition(5)
+    by_seed = {}
+    for seed in (1, 2):
+        found = [(r["s"], r["id"]) for r in audit.stratified_sample(df, "s", 20, "id", seed).collect()]
+        want = {}
+        for i in range(3_000):
+            s = "hot" if i < 2990 else "few" if i < 2998 else None
+            want.setdefault(s, []).append((hashlib.md5(f"{i}|{seed}".encode()).hexdigest(), i))
+        assert sorted(found, key=str) == sorted(((s, i) for s, rows in want.items() for _, i in sorted(rows)[:20]), key=str)
+        by_seed[seed] = found
+    assert sorted(by_seed[1], key=str) != sorted(by_seed[2], key=str)
+
+
+def test_embedding_with_an_encoder(spark):
+    texts = ["abc", "", None, "b" * 10_000]
+
+    def encoder(batch):
+        return np.array([[t.count("a"), t.count("b")] for t in batch])
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r["id"]: r["v"] for r in retrieval.embed(df, "t", encoder, "v").collect()}
+    assert got[0] == pytest.approx([0.5**0.5] * 2) and got[1] == got[2] == [0, 0] and got[3] == [0, 1]

@@ -19,12 +19,13 @@ def slow(rows, threshold):
     return sorted((key, least[s], links[s]) for key, s in sets.items())
 
 
-@pytest.mark.parametrize("part", [1_024, 7])
+@pytest.mark.parametrize("part", [1_024, 7, 100])
 @pytest.mark.parametrize("threshold", [0.8, 0.5])
 def test_links_are_those_of_all_pairs(spark, monkeypatch, part, threshold):
     """Copies, near copies of every kind, a group of many near copies under common shingles, short and empty texts."""
     monkeypatch.setattr(similar, "PART", part)
     monkeypatch.setattr(similar, "COLUMNS", 50 if part == 7 else 4_096)
+    monkeypatch.setattr(similar, "FEW", 0 if part == 100 else 12)
     rng = np.random.default_rng(part)
     word = lambda: f"w{rng.integers(400)}"
     texts = [None, "", " ", "one two", "ONE  two", "one two three four five", "one two three four six"]
