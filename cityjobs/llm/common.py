@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -34,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark removes the shuffle files and checkpoints of jobs that nothing
+    refers to any more: between the turns of a long job, as a heap with room is collected rarely.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
