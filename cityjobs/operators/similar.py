@@ -70,8 +70,8 @@ def few_linked(tokens: list[list[int]], size: list[int], place: list[int], part:
             if apart and part[a] == part[b] or min(x, y) < threshold * max(x, y) - 1e-6:
                 continue
             least = threshold * (x + y) / (1 + threshold) - 1e-6
-            # if the group's shingle is their first common one, they can share no more than what follows it in both
-            if 1 + min(len(tokens[a]) - place[a], len(tokens[b]) - place[b]) - 1 < least or not set(tokens[a][: place[a]]).isdisjoint(tokens[b][: place[b]]):
+            # if the group's shingle is their first common one, they share no more than it and what follows it in both
+            if min(len(tokens[a]) - place[a], len(tokens[b]) - place[b]) < least or not set(tokens[a][: place[a]]).isdisjoint(tokens[b][: place[b]]):
                 continue
             if len(set(tokens[a]).intersection(tokens[b])) >= least:
                 out += [a, b]
