@@ -95,6 +95,13 @@ def test_links_connect_all(spark, split_at):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_components_name_their_roots_too(spark):
+    prepare(spark)
+    edges = spark.createDataFrame([(7, 3), (7, 9), (-4, 2), (5, 5), (9, 3)], "a long, b long")
+    rows = sorted(tuple(r) for r in simhash.components(edges).select("node", "root").collect())
+    assert rows == [(-4, -4), (2, -4), (3, 3), (7, 3), (9, 3)]
+
+
 def test_near_duplicates_and_edges(spark, docs):
     rows = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)} <= rows
