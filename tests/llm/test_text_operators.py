@@ -15,7 +15,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from cityjobs.llm import decontam, media, pieces, ppm, simhash, token_store, warc
+from cityjobs.llm import decontam, media, pieces, ppm, queries, simhash, token_store, warc
 from cityjobs.llm.common import prepare, scratch
 
 ODD = [
@@ -109,6 +109,23 @@ def test_near_duplicates_and_edges(spark, docs):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect() if r["doc_id"] < 6) == [1, 3]
 
 
+def test_op1_query_on_odd_rows_and_near_copies(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, t) for i, t in ODD if i != 11] + [(None, "Ça va? " * 40), (-7, "\x0b \x0c")]
+    for k in range(60):
+        words = [f"w{i}" for i in range(300)]
+        words[int(rng.integers(300))] = f"q{k}"
+        rows.append((100 + k, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [slow_fingerprint(t) for _, t in rows]
+    group = slow_components(fps)
+    least = {g: min((r[0] for r, h in zip(rows, group) if h == g and r[0] is not None), default=None) for g in group}
+    assert len(set(fps)) > 10 + len(set(group))
+    want = sorted((str(r[0]), f"{f:016x}", str(least[g])) for r, f, g in zip(rows, fps, group))
+    got = queries.op1_simhash(spark, str(tmp_path)).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == want
+
+
 def slow_ppm(train, texts):
     count = defaultdict(Counter)
     for t in train:
