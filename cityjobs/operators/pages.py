@@ -260,8 +260,8 @@ def soft_404(html: Column) -> Column:
     return F.substring(html, 1, 20_000).contains("Error 404")
 
 
-def region_filter(df: DataFrame, text: str, regex: str = r"\b8\d{3}\b", head: int = 1000) -> DataFrame:
-    return df.where(F.substring(text, 1, head).rlike(regex))
+def region_filter(df: DataFrame, text: str, regex: str = r"\b8\d{3}\b") -> DataFrame:
+    return df.where(F.col(text).rlike(regex))
 
 
 def reference_body(sections_text: Column, full_text: Column, least: int = 200) -> Column:

@@ -363,5 +363,11 @@ def test_small_rules(spark):
     assert (row["pii"], row["d"], row["none"], row["name"]) == ("mail [email] tel [phone]", "1h 5min", 0, "gesetz_ueber_baeume_pdf")
 
 
+def test_postcodes_behind_long_texts(spark):
+    rows = [(1, "x " * 5000 + "8004 Zürich"), (2, "x " * 5000 + "18004"), (3, "8001"), (4, "x" * 996 + " 80012"), (5, None)]
+    found = pages.region_filter(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 3]
+
+
 def test_entry_without_llm():
     assert os.path.exists("__spark_entry__.py")
