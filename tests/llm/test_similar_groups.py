@@ -161,3 +161,21 @@ def test_large_cells_lose_no_pair_beyond_the_bits(spark, monkeypatch):
     for split in (1024, 20):
         monkeypatch.setattr(simhash, "similar_candidates", partial(similar_candidates, split=split, whole=4))
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == want
+
+
+def test_components_of_fingerprints_meet_without_bands_and_are_verified(spark, monkeypatch, rows):
+    prepare(spark)
+    monkeypatch.setattr(simhash, "bands", lambda grams: np.zeros(0, np.int64))
+    words = [f"w{x}" for x in range(400)]
+    close = [(k, " ".join([*words[:at], "other", *words[at + 1 :]]), "x") for k, at in enumerate((5, 90, 200, 390))]
+    prints = {k: simhash.fingerprint(t.encode(), 4) for k, t, _ in close}
+    assert len(set(prints.values())) > 1
+    docs = spark.createDataFrame(close, SCHEMA)
+    linked = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == linked and len(set(got.values())) < 4
+    # one component of all texts, alike or not: what comes out is verified
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, width: 0)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == slow_groups(rows)
