@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .keywords import FEW, scanned
 from .markup import END, START, tokens
-from .urls import any_of, fresh
+from .urls import any_of, fresh, trimmed
 
 SECTION = "array<struct<heading:string,text:string,level:int>>"
 STEP = r"(?i)(schritt|etappe|step|étape|fase)\s*\d"
@@ -248,8 +248,7 @@ def drop_tail_sections(sections: Column, headings: list[str]) -> Column:
 
 
 def dedupe_paragraphs(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: p != "")
-    return F.array_join(F.array_distinct(parts), "\n\n")
+    return F.array_join(F.array_distinct(trimmed(F.split(text, r"\n+"))), "\n\n")
 
 
 def min_text(df: DataFrame, title: str, text: str, n: int = 300) -> DataFrame:
@@ -321,7 +320,7 @@ def join_pages(df: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
 
 def is_index_page(text: Column) -> Column:
     """Four lines or more, over 70 % of under six words and over 40 % that start with a reference mark."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = trimmed(F.split(text, "\n"))
     n = F.size(lines)
     short = F.size(F.filter(lines, lambda x: F.size(F.split(x, r"\s+")) < 6))
     marked = F.size(F.filter(lines, lambda x: x.rlike(r"^(Art\.?|Artikel|§|\d+(\.\d+)*\.?\s)")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .cells import meet
 from .chunks import count_tokens, split_sentences
-from .urls import keep_checkpoints
+from .urls import keep_checkpoints, trimmed
 
 #: The inverted file: cells at most, rows that centroids are fitted on, of those for each cell, rounds of the fit.
 CELLS, FIT_ROWS, FIT_ROWS_A_CELL, FIT_ROUNDS = 1_024, 65_536, 32, 4
@@ -210,7 +210,7 @@ def law_article_lookup(queries: DataFrame, chunks: DataFrame, k: int, keep: Colu
 
 def is_noise_chunk(text: Column) -> Column:
     """Over four lines with few words or many footnotes."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = trimmed(F.split(text, "\n"))
     n = F.size(lines)
     words = F.aggregate(lines, F.lit(0), lambda a, x: a + F.size(F.split(x, r"\s+")))
     notes = F.size(F.filter(lines, lambda x: x.rlike(r"\d{3,}\s+AS \d{4}")))
