@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructField, StructType
 
-from ..operators.chunks import chunk_documents
+from ..operators.chunks import CUT, chunk_documents
 from ..operators.urls import keep_checkpoints
 from ..sources.store import ChunkStore
 
@@ -159,19 +159,19 @@ def stream_rate_limit(stream: DataFrame, key: str, ts: str, window_s: int = 3600
     return rows.groupBy("key").applyInPandasWithState(run, DECIDED, "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_upsert(stream: DataFrame, store: ChunkStore, checkpoint: str, watermark: str = "1 day", first_batch: int = 0) -> DataStreamWriter:
+def stream_upsert(stream: DataFrame, store: ChunkStore, checkpoint: str, watermark: str = "1 day", first_batch: int = 0, longest: int | None = CUT) -> DataStreamWriter:
     """New document versions, chunked, replace whole documents of the store, of which a micro-batch rewrites only the
     buckets that its documents are in.
 
     A micro-batch is committed under its number, from first_batch on (above those that others wrote): one that fails half-way
     is written again, one that comes again after its commit changes nothing. Versions of a document that come again, or
-    later than the watermark, are dropped.
+    later than the watermark, are dropped. longest: as in chunk_documents.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("source_url", "language").agg(F.max_by(F.struct("*"), "updated_at").alias("_r")).select("_r.*")
         keep_checkpoints(batch.sparkSession)
-        store.upsert(chunk_documents(latest.withColumn("updated_at", F.col("updated_at").cast("date"))).checkpoint(), first_batch + number)
+        store.upsert(chunk_documents(latest.withColumn("updated_at", F.col("updated_at").cast("date")), longest=longest).checkpoint(), first_batch + number)
 
     fresh = stream.withWatermark("updated_at", watermark).dropDuplicatesWithinWatermark(["source_url", "language", "updated_at"])
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -36,3 +36,11 @@ def test_lines_lose_their_blanks_alone(differing, name):
 def test_paths_keep_an_empty_heading(differing):
     texts = ["", None, " ", "\n", "a", "🙂" * 20, "e\u0301" * 8, "🇩🇪" * 6, "x" * 100]
     assert differing("heading_and_embed_text", [(k, t, lang) for k, (t, lang) in enumerate((t, lang) for t in texts for lang in ("de", "", None))]) == []
+
+
+#: Whole texts around the length at which chunks are cut by default, documents without language.
+STORED = [(k, t, lang) for k, (t, lang) in enumerate((t, lang) for t in ("x" * 80_001, "word. Next " * 9_000, "", None, "short", " a \n") for lang in ("de", None, "fr", ""))]
+
+
+def test_stream_stores_whole_texts(differing):
+    assert differing("stream_upsert", STORED) == []
