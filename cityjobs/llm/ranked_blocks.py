@@ -31,6 +31,8 @@ TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Queries and their distinct terms in one block; cells of a shard's matrix and its documents; postings of a block; sampled documents.
 QUERIES_AT_ONCE, TERMS_AT_ONCE, SHARD_CELLS, SHARD_DOCS, BLOCK, SAMPLE = 1_000, 8_192, 1 << 24, 4_096, 32, 20_000
 SKETCH = 16
+#: Shards of a file, which a task takes in at once; queries and documents that are looked at with one matrix of doubles.
+SHARDS_A_FILE, COLUMNS_AT_ONCE, ROWS_AT_ONCE = 2, 128, 1_024
 SHARD = "doc_ids array<long>, at array<int>, terms array<int>, impacts array<int>, list_term array<int>, list_at array<int>, block_at array<int>, postings array<int>, coord_at array<int>, coords array<int>, maxima_at array<int>, maxima array<int>"
 
 
@@ -41,37 +43,39 @@ def terms_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Queries:
-    """A block of queries: their ids, the numbers of their terms, and how often each has each (terms x queries)."""
+    """A block of queries: the ids of the items that ask each, the numbers of their terms, and how often each has each
+    (terms x queries). Items of the same terms are one query.
+    """
 
-    ids: list[int | None]
+    ids: list[list[int | None]]
     vocabulary: dict[bytes, int]
     counts: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, list[bytes]]]) -> Queries:
-        names = {t: k for k, t in enumerate(sorted({t for _, terms in rows for t in terms}))}
-        counts = np.zeros((len(names), len(rows)))
-        for k, (_, terms) in enumerate(rows):
+    def of(cls, asked: dict[tuple[bytes, ...], list[int | None]]) -> Queries:
+        names = {t: k for k, t in enumerate(sorted({t for terms in asked for t in terms}))}
+        counts = np.zeros((len(names), len(asked)))
+        for k, terms in enumerate(asked):
             for t, n in Counter(terms).items():
                 counts[names[t], k] = n
-        return cls([i for i, _ in rows], names, counts)
+        return cls(list(asked.values()), names, counts)
 
 
 def blocks_of(items: DataFrame) -> Iterator[Queries]:
     """The items with terms, QUERIES_AT_ONCE or TERMS_AT_ONCE a block, one at least."""
-    rows: list[tuple[int | None, list[bytes]]] = []
+    asked: dict[tuple[bytes, ...], list[int | None]] = {}
     seen: set[bytes] = set()
     for r in items.select("item_id", "text").toLocalIterator():
-        terms = terms_of((r["text"] or "").encode())
+        terms = tuple(sorted(terms_of((r["text"] or "").encode())))
         if not terms:
             continue
-        if rows and (len(rows) >= QUERIES_AT_ONCE or len(seen | set(terms)) > TERMS_AT_ONCE):
-            yield Queries.of(rows)
-            rows, seen = [], set()
-        rows.append((r["item_id"], terms))
+        if asked and terms not in asked and (len(asked) >= QUERIES_AT_ONCE or len(seen | set(terms)) > TERMS_AT_ONCE):
+            yield Queries.of(asked)
+            asked, seen = {}, set()
+        asked.setdefault(terms, []).append(r["item_id"])
         seen |= set(terms)
-    if rows:
-        yield Queries.of(rows)
+    if asked:
+        yield Queries.of(asked)
 
 
 def lists(*columns: tuple[np.ndarray, np.ndarray]) -> list[pa.ListArray]:
@@ -126,11 +130,14 @@ class Shard:
 
         Of each query those of the least possible shares are left out as long as they do not reach it together.
         """
-        share = weighed * self.top[:, None]
-        order = np.argsort(share, axis=0)
-        left_out = np.zeros(share.shape, bool)
-        np.put_along_axis(left_out, order, np.cumsum(np.take_along_axis(share, order, 0), 0) < least, 0)
-        return (share > 0) & ~left_out
+        out = np.zeros(weighed.shape, bool)
+        for lo in range(0, len(least), COLUMNS_AT_ONCE):
+            share = weighed[:, lo : lo + COLUMNS_AT_ONCE] * self.top[:, None]
+            order = np.argsort(share, axis=0)
+            left_out = np.zeros(share.shape, bool)
+            np.put_along_axis(left_out, order, np.cumsum(np.take_along_axis(share, order, 0), 0) < least[lo : lo + COLUMNS_AT_ONCE], 0)
+            out[:, lo : lo + COLUMNS_AT_ONCE] = (share > 0) & ~left_out
+        return out
 
     def scores(self, docs: np.ndarray, terms: np.ndarray, weighed: np.ndarray) -> np.ndarray:
         """Exact: sums of whole numbers that doubles hold."""
@@ -150,7 +157,7 @@ def index_of(at: np.ndarray, terms: np.ndarray, values: np.ndarray, weighed: np.
     maxima_at: a list's summaries, a row of maxima a block.
     """
     shard = Shard(at, terms, values, len(weighed))
-    needs = shard.essential(weighed, least)
+    needs, has = shard.essential(weighed, least), weighed > 0
     sketch = shard.dense @ np.random.default_rng(7).normal(size=(len(weighed), SKETCH)).astype(np.float32)
     sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
     by_term = np.argsort(terms, kind="stable")
@@ -162,7 +169,7 @@ def index_of(at: np.ndarray, terms: np.ndarray, values: np.ndarray, weighed: np.
         own = clustered(sketch[docs])
         order = np.argsort(own, kind="stable")
         docs, start = docs[order], np.flatnonzero(np.diff(own[order], prepend=-1))
-        coords = np.flatnonzero((weighed[:, needs[t]] > 0).any(1))
+        coords = np.flatnonzero(has[:, needs[t]].any(1))
         maxima = np.maximum.reduceat(shard.dense[np.ix_(docs, coords)], start, axis=0)
         out["list_term"].append([t])
         out["postings"].append(docs)
@@ -204,11 +211,12 @@ def searched(shard: Shard, index: dict[str, np.ndarray], weighed: np.ndarray, id
         first, last = index["list_at"][k : k + 2]
         coords = index["coords"][index["coord_at"][k] : index["coord_at"][k + 1]]
         maxima = index["maxima"][index["maxima_at"][k] : index["maxima_at"][k + 1]].reshape(last - first, len(coords)).astype(np.float64)
-        block, q = np.nonzero(maxima @ weighed[np.ix_(coords, queries)] >= best.least[queries])
-        bounded, read = bounded + (last - first) * len(queries), read + len(block)
-        starts, ends = index["block_at"][first:last][block], index["block_at"][first + 1 : last + 1][block]
-        for a, b, query in zip(starts, ends, queries[q]):
-            wanted[query, index["postings"][a:b]] = True
+        for some in (queries[lo : lo + COLUMNS_AT_ONCE] for lo in range(0, len(queries), COLUMNS_AT_ONCE)):
+            block, q = np.nonzero(maxima @ weighed[np.ix_(coords, some)] >= best.least[some])
+            bounded, read = bounded + (last - first) * len(some), read + len(block)
+            starts, ends = index["block_at"][first:last][block], index["block_at"][first + 1 : last + 1][block]
+            for a, b, query in zip(starts, ends, some[q]):
+                wanted[query, index["postings"][a:b]] = True
     for query in np.flatnonzero(wanted.any(1)):
         docs = np.flatnonzero(wanted[query])
         best.take(query, shard.scores(docs, np.flatnonzero(weighed[:, query]), weighed[:, query]), ids[docs])
@@ -262,8 +270,9 @@ def ranked_block(spark: SparkSession, docs: DataFrame, queries: Queries, most: i
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros((0, sent.value.shape[1]))
         for _, at, terms, values in shards(batches):
-            shard = Shard(at, terms, values, n_terms)
-            best = -np.sort(-np.concatenate([best, shard.dense.astype(np.float64) @ sent.value]), axis=0)[:most]
+            dense = Shard(at, terms, values, n_terms).dense
+            for part in (dense[lo : lo + ROWS_AT_ONCE].astype(np.float64) for lo in range(0, len(dense), ROWS_AT_ONCE)):
+                best = -np.sort(-np.concatenate([best, part @ sent.value]), axis=0)[:most]
         place, query = np.nonzero(best)
         yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(best[place, query].astype(np.int64))], names=["q", "score"])
 
@@ -293,10 +302,11 @@ def ranked_block(spark: SparkSession, docs: DataFrame, queries: Queries, most: i
         yield pa.RecordBatch.from_arrays(columns, names=["q", "doc_id", "score"])
 
     path = scratch(spark, "posting_blocks")
-    rows.select("doc_id", "n", "terms", "tf").mapInArrow(build, SHARD).write.parquet(path)
+    # a task reads a file's rows as one: files of a few shards bound it, however many shards a task builds
+    rows.select("doc_id", "n", "terms", "tf").mapInArrow(build, SHARD).write.option("maxRecordsPerFile", SHARDS_A_FILE).parquet(path)
     found = spark.read.parquet(path).mapInArrow(search, "q int, doc_id long, score long")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
-    names = spark.createDataFrame(list(enumerate(queries.ids)), "_q int, item_id long")  # one block of queries
+    names = spark.createDataFrame([(q, i) for q, ids in enumerate(queries.ids) for i in ids], "_q int, item_id long")  # one block of queries
     found = found.withColumn("rank", rank).where(F.col("rank") <= most).join(F.broadcast(names), F.col("q") == F.col("_q"))
     return found.select("item_id", "rank", F.nullif("doc_id", F.lit(int(LAST))).alias("doc_id"), "score")
 

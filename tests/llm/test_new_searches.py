@@ -239,3 +239,17 @@ def test_blocks_are_skipped_where_documents_differ():
         blocks = [index["postings"][index["block_at"][b] : index["block_at"][b + 1]] for b in range(first, last)]
         assert sorted(np.concatenate(blocks)) == list(np.flatnonzero(shard.dense[:, t]))
         assert all(np.array_equal(m, shard.dense[np.ix_(b, coords)].max(0)) for m, b in zip(maxima, blocks))
+
+
+def test_files_of_the_index_stay_small(spark, tmp_path, monkeypatch):
+    """A task that builds many shards writes many files, so that a search takes in a few at a time; copies of an item are one query."""
+    prepare(spark)
+    monkeypatch.setattr(ranked_blocks, "SHARD_DOCS", 16)
+    monkeypatch.setattr(ranked_blocks, "scratch", lambda _, name: str(tmp_path / name))
+    d = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "concat('w', id % 7, ' w', id % 11, ' w', id % 13) as text")
+    i = spark.createDataFrame([(k, t) for k in range(6) for t in ("w1 w2", "w3 w5 W3")], "item_id long, text string")
+    assert [q.ids for q in ranked_blocks.blocks_of(i)] == [[list(range(6))] * 2]
+    got = ranked_blocks.ranked(d, i, 5).groupBy("item_id").count().collect()
+    assert {(r["item_id"], r["count"]) for r in got} == {(k, 10) for k in range(6)}
+    files = list((tmp_path / "posting_blocks").glob("*.parquet"))
+    assert len(files) == 13 and spark.read.parquet(str(tmp_path / "posting_blocks")).count() == 25
