@@ -1,9 +1,12 @@
 """The near-duplicate join against all pairs."""
 
+import pathlib
+
 import numpy as np
 import pytest
 
 from cityjobs.operators import similar
+from cityjobs.operators.urls import shared_folder
 
 
 def slow(rows, threshold):
@@ -53,3 +56,15 @@ def test_candidates_of_a_group_come_out_as_counts(spark, monkeypatch):
     df = spark.range(500).selectExpr("id", f"concat('{hot} ', 'x', id) as text")
     found = similar.near_duplicates(df, "id", "text")
     assert {r["links"] for r in found.collect()} == {499}
+
+
+def test_sets_that_meet_no_other_are_not_kept(spark):
+    """Of texts without likeness only the first few shingles of each are written down, not their whole sets."""
+    place = pathlib.Path(shared_folder(spark))
+    size = lambda: sum(f.stat().st_size for f in place.rglob("part-*"))
+    before = size()
+    df = spark.range(300).selectExpr("id", "array_join(transform(sequence(1, 504), k -> concat('w', id, '_', k)), ' ') as text")
+    df = df.unionByName(df.where("id < 2").selectExpr("id + 1000 as id", "concat(text, ' end') as text"))
+    found = sorted(map(tuple, similar.near_duplicates(df, "id", "text").collect()))
+    assert [r for r in found if r[2]] == [(0, 0, 1), (1, 1, 1), (1000, 1000, 1), (1001, 1001, 1)] and len(found) == 302
+    assert size() - before < 302 * 500 * 8 / 2
